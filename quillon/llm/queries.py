@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from quillon.llm import lookalike, mixing, packing, split
+from quillon.llm import lookalike, mixing, neardup, packing, split
 
 
 def queries() -> dict:
     return {
+        "p4_found": neardup.found,
+        "p4_groups": neardup.grouped,
         "p5_found": split.found,
         "p5_pieces": split.pieces,
         "p6_found": lookalike.found,
