@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.llm import lookalike, mixing, neardup, packing, split
+from quillon.llm import language, lookalike, mixing, neardup, packing, split
 
 
 def queries() -> dict:
@@ -13,6 +13,9 @@ def queries() -> dict:
         "p5_pieces": split.pieces,
         "p6_found": lookalike.found,
         "p6_canonical": lookalike.canonical,
+        "p7_found": language.found,
+        "p7_languages": language.languages,
+        "p7_segments": language.segments,
         "p8_assignments": packing.assignments,
         "p8_summary": packing.summary,
         "p9_mixture": mixing.mixture,
