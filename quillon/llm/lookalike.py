@@ -52,35 +52,24 @@ def letter_map() -> dict[str, str]:
 
 
 MAPPED = letter_map() | dict.fromkeys(HYPHENS, "-") | dict.fromkeys(SPACES, " ")
-FROM = "".join(MAPPED) + INVISIBLE
-TO = "".join(MAPPED.values())
-#: Strings of these characters alone are their own compatibility form.
-SAFE = (
-    "^["
-    + "".join(
-        f"\\x{{{c:x}}}"
-        for c in [*range(0x20, 0x7F), 9, 10, 13, *range(0xA1, 0x180), *range(0x370, 0x530), *range(0x2010, 0x2028), *range(0x2030, 0x205F)]
-        if unicodedata.normalize("NFKC", chr(c)) == chr(c) and not unicodedata.combining(chr(c))
-    )
-    + "]*$"
-)
+_TABLE = {ord(a): b for a, b in MAPPED.items()} | {ord(a): None for a in INVISIBLE}
 
 
-@F.pandas_udf(T.StringType())
-def _compose(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+def fold_text(s: str) -> str:
+    """The look-alike-mapped form of one string, canonically composed."""
+    if s.isascii():
+        return s
+    return unicodedata.normalize("NFC", unicodedata.normalize("NFKC", s).translate(_TABLE))
 
 
-def folded(raw: str) -> Column:
-    """The look-alike-mapped form. Only strings with unusual characters are sent to Python."""
-    unusual = F.when(~F.col(raw).rlike(SAFE), F.col(raw))
-    return F.translate(F.coalesce(_compose(unusual), F.col(raw)), FROM, TO)
+@F.pandas_udf(T.StringType())
+def _fold(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: None if x is None else fold_text(x))
 
 
-def fold_text(s: str) -> str:
-    """The same form of one string, canonically composed, for tests and small lookups."""
-    table = {ord(a): b for a, b in MAPPED.items()} | {ord(a): None for a in INVISIBLE}
-    return unicodedata.normalize("NFC", unicodedata.normalize("NFKC", s).translate(table))
+def folded(raw: str) -> Column:
+    """The look-alike-mapped form; Spark has no compatibility composition, so this is an Arrow UDF."""
+    return _fold(F.col(raw))
 
 
 def knowledge_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
