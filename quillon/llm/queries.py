@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.llm import language, lookalike, mixing, neardup, packing, split
+from quillon.llm import abuse, language, lookalike, mixing, neardup, packing, split
 
 
 def queries() -> dict:
@@ -16,6 +16,9 @@ def queries() -> dict:
         "p7_found": language.found,
         "p7_languages": language.languages,
         "p7_segments": language.segments,
+        "p10_found": abuse.found,
+        "p10_scores": abuse.scores,
+        "p10_rates": abuse.rates,
         "p8_assignments": packing.assignments,
         "p8_summary": packing.summary,
         "p9_mixture": mixing.mixture,
