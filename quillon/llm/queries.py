@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from quillon.llm import abuse, language, lookalike, mixing, neardup, packing, split
+from quillon.llm import abuse, language, lookalike, mixing, neardup, ocr, packing, split
 
 
 def queries() -> dict:
     return {
+        "p3_found": ocr.found,
+        "p3_paragraphs": ocr.paragraphs,
         "p4_found": neardup.found,
         "p4_groups": neardup.grouped,
         "p5_found": split.found,
