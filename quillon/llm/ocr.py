@@ -25,6 +25,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -56,11 +57,15 @@ def roman(n: int) -> str:
     return out
 
 
+@lru_cache(maxsize=20_000)
+def letter_pairs(s: str) -> frozenset[str]:
+    return frozenset(map("".join, zip(s, s[1:], strict=False)))
+
+
 def similar(a: str, b: str) -> float:
     """Share of common letter pairs."""
-    x, y = Counter(zip(a, a[1:], strict=False)), Counter(zip(b, b[1:], strict=False))
-    both = sum((x & y).values())
-    return 2 * both / max(1, sum(x.values()) + sum(y.values()))
+    x, y = letter_pairs(a), letter_pairs(b)
+    return 2 * len(x & y) / max(1, len(x) + len(y))
 
 
 def shape(line: str, page: int | None, titles: list[str], pack: str | None) -> str:
@@ -72,7 +77,7 @@ def shape(line: str, page: int | None, titles: list[str], pack: str | None) -> s
         return "pageno"
     core = re.sub(r"^[\s\d]+|[\s…\d.]+$", "", low)
     for t in titles:
-        if len(core) >= 5 and (similar(core, t) > 0.7 or len(core) > 10 and similar(core, t[: len(core)]) > 0.75):
+        if len(core) >= 5 and len(core) < 2 * len(t) and (similar(core, t) > 0.7 or "…" in low and len(core) > 10 and similar(core, t[: len(core)]) > 0.75):
             return "title"
     if pack and (pack.lower() in low or similar(re.split(r"\s[·|]\s", low)[0], pack.lower()) > 0.75):
         return "pack"
@@ -90,13 +95,12 @@ def observations(lines: list[str], page: int | None, titles: list[str], pack: st
     for k, i in enumerate(filled):
         line = lines[i].strip()
         top, bottom = min(k, 3), min(len(filled) - 1 - k, 3)
-        edge = k < 3 or bottom < 3
-        letters = [c for c in line if c.isalpha()]
+        kind = shape(line, page, known, pack) if k < 3 or bottom < 3 else "inner"
         before = lines[filled[k - 1]].strip() if k else ""
         out[i] = (
-            f"{top}{shape(line, page, known, pack) if edge else 'inner'}",
-            f"{bottom}{shape(line, page, known, pack) if edge else 'inner'}",
-            "caps" if len(letters) > 4 and all(c.isupper() for c in letters) else "low" if line[0].islower() else "up" if line[0].isupper() else "other",
+            f"{top}{kind}",
+            f"{bottom}{kind}",
+            "caps" if len(line) > 4 and line.isupper() else "low" if line[0].islower() else "up" if line[0].isupper() else "other",
             "none" if not before else "stop" if before[-1] in ".!?:»\")" else "open",
             "gap" if i and not lines[i - 1].strip() else "tight",
             "none" if not before else "short" if len(before) < 0.8 * width else "full",
@@ -143,29 +147,37 @@ class Model:
     unseen: list[np.ndarray]
     confusions: dict[str, list[tuple[str, float]]]  # wrong: (right, rate per occurrence of right)
     common: frozenset = field(default_factory=frozenset)
+    seen: dict = field(default_factory=dict)
+
+    def emission(self, o: tuple) -> list[float]:
+        """Log probabilities of a line's features in furniture, body and break."""
+        known = self.seen.get(o)
+        if known is None:
+            known = self.seen[o] = list(sum((self.emit[k].get(v, self.unseen[k]) for k, v in enumerate(o)), np.zeros(4))[:BLANK])
+        return known
 
     def label(self, seen: list[tuple | None]) -> list[int]:
-        """Most likely states of a page's lines."""
-        n = len(seen)
-        if not n:
+        """Most likely states of a page's lines (Viterbi; a blank line has one state, other lines three)."""
+        if not seen:
             return []
-        best = np.zeros((n, 4))
-        back = np.zeros((n, 4), np.int64)
-        for t, o in enumerate(seen):
-            if o is None:
-                e = np.array([-1e9, -1e9, -1e9, 0.0])
-            else:
-                e = sum((self.emit[k].get(v, self.unseen[k]) for k, v in enumerate(o)), np.zeros(4))
-                e[BLANK] = -1e9
-            if t == 0:
-                best[t] = self.start + e
+        start, move = self.start.tolist(), self.move.tolist()
+        before: list[tuple[int, float]] = []
+        back: list[dict[int, int]] = []
+        for o in seen:
+            options = [(BLANK, 0.0)] if o is None else list(enumerate(self.emission(o)))
+            if not before:
+                now, links = [(s, start[s] + e) for s, e in options], {}
             else:
-                step = best[t - 1][:, None] + self.move
-                back[t] = step.argmax(axis=0)
-                best[t] = step.max(axis=0) + e
-        path = [int(best[-1].argmax())]
-        for t in range(n - 1, 0, -1):
-            path.append(int(back[t][path[-1]]))
+                now, links = [], {}
+                for s, e in options:
+                    best, via = max([(p + move[q][s], q) for q, p in before])
+                    now.append((s, best + e))
+                    links[s] = via
+            back.append(links)
+            before = now
+        path = [max(before, key=lambda x: x[1])[0]]
+        for links in reversed(back[1:]):
+            path.append(links[path[-1]])
         return path[::-1]
 
 
@@ -298,7 +310,8 @@ def page_events(no: int, text: str | None, page: int | None, titles: list[str],
     for k, i in enumerate(body):
         line = lines[i]
         words = WORD.findall(line)
-        last = LAST.search(line)
+        tail = line.rsplit(None, 1)
+        last = LAST.search(tail[-1]) if tail else None
         marked = bool(last and last[2])
         following = FIRST.match(lines[body[k + 1]]) if k + 1 < len(body) else None
         for j, w in enumerate(words):
