@@ -69,7 +69,7 @@ def written(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataF
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(df.columns)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
