@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,7 +20,6 @@ K1, B = 1.2, 0.75
 
 def query_tokens(query: str) -> list[str]:
     """Distinct tokens of a query in order, normalised as texts are."""
-    import re
     import unicodedata
 
     q = unicodedata.normalize("NFKC", query).lower().replace("ё", "е")
@@ -53,24 +53,16 @@ def posting_lists(postings: DataFrame, longest: int = 50) -> DataFrame:
 
 
 def candidates(vocab: DataFrame, tokens: Sequence[str]) -> DataFrame:
-    """(query_token, token, df, match): exact, then the first 32 longer tokens in key order; near tokens only if there are neither.
+    """(query_token, token, df, match): exact tokens and, for words of two letters and more, the first 32 longer ones in key order.
 
-    The query is a handful of literals, so each part is a pushed-down filter of the vocabulary.
+    One scan of the vocabulary serves all query tokens; a group limit keeps 32 rows per token in every partition.
     """
-    spark = vocab.sparkSession
-    parts = []
-    for q in tokens:
-        exact = vocab.where(F.col("token") == q).select(F.lit(q).alias("query_token"), "token", "df", F.lit(1.0).alias("match"))
-        parts.append(exact)
-        if len(q) >= 2:
-            longer = vocab.where(F.col("token").startswith(q) & (F.col("token") != q)).orderBy("token").limit(PREFIX_CAP)
-            parts.append(longer.select(F.lit(q).alias("query_token"), "token", "df", F.lit(0.76).alias("match")))
-    if not parts:
-        return spark.createDataFrame([], "query_token string, token string, df long, match double")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    words = F.array(*[F.lit(t) for t in tokens]) if tokens else F.array().cast("array<string>")
+    hits = vocab.select(F.explode(F.filter(words, lambda t: F.col("token").startswith(t))).alias("query_token"), "token", "df")
+    hits = hits.where((F.col("token") == F.col("query_token")) | (F.length("query_token") >= 2)).withColumn("exact", F.col("token") == F.col("query_token"))
+    place = F.row_number().over(Window.partitionBy("query_token", "exact").orderBy("token"))
+    kept = hits.withColumn("place", place).where(F.col("place") <= PREFIX_CAP)
+    return kept.select("query_token", "token", "df", F.when(F.col("exact"), 1.0).otherwise(0.76).alias("match"))
 
 
 def fuzzy_candidates(vocab: DataFrame, tokens: Sequence[str], limit: int = FUZZY_CAP) -> DataFrame:
@@ -133,14 +125,13 @@ def ranked(scored: DataFrame, limit: int) -> DataFrame:
 def search_bm25(records: DataFrame, query: str, limit: int = 20, composed: bool = False) -> DataFrame:
     """BM25 with prefix terms and column weights: idf ln((N - n + .5) / (n + .5)), at least 1e-6; length over all columns."""
     tokens = query_tokens(query)
-    words = {f: tx.tokenize(F.col(f), composed) for f in BM25_WEIGHTS}
-    counted = records.select("id", "title", *[w.alias(f"w_{f}") for f, w in words.items()])
-    size = sum((F.size(f"w_{f}") for f in BM25_WEIGHTS), F.lit(0))
+    rows = records.select("id", "title", *[tx.normalize_text(F.coalesce(f, F.lit("")), composed).alias(f"n_{f}") for f in BM25_WEIGHTS])
+    size = sum((F.regexp_count(f"n_{f}", F.lit(tx.TOKEN)) for f in BM25_WEIGHTS), F.lit(0))
+    begins = lambda f, t: F.regexp_count(f"n_{f}", F.lit(r"(?<![\p{L}\p{N}])(?<![\p{L}\p{N}][+./-])" + re.escape(t)))
     hits = [
-        F.round(sum((F.size(F.filter(f"w_{f}", _starts(t))) * F.lit(w) for f, w in BM25_WEIGHTS.items()), F.lit(0.0)), 6).alias(f"f{i}")
-        for i, t in enumerate(tokens)
+        F.round(sum((begins(f, t) * F.lit(w) for f, w in BM25_WEIGHTS.items()), F.lit(0.0)), 6).alias(f"f{i}") for i, t in enumerate(tokens)
     ]
-    rows = counted.select("id", "title", size.alias("size"), *hits)
+    rows = rows.select("id", "title", size.alias("size"), *hits)
     stats = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("mean"), *[F.sum((F.col(f"f{i}") > 0).cast("long")).alias(f"n{i}") for i in range(len(tokens))]).first()
     total = F.lit(0.0)
     for i in range(len(tokens)):
@@ -151,10 +142,6 @@ def search_bm25(records: DataFrame, query: str, limit: int = 20, composed: bool
     return ranked(rows.withColumn("score", F.round(total, 6)).where("score > 0"), limit)
 
 
-def _starts(t: str) -> Callable[[Column], Column]:
-    return lambda w: w.startswith(t)
-
-
 def fallback_score(tokens: Sequence[str], query: str) -> Column:
     """Phrase and word points over normalised title, aliases, body and tags (columns n_title, n_aliases, n_body, n_tags)."""
     title, aliases, body, tags = (F.col(f"n_{c}") for c in ("title", "aliases", "body", "tags"))

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from quillon.functions import text as tx
 
 HEADING = r"^(#{1,6})\s+(.+?)\s*$"
+#: The places before heading lines.
+BEFORE_HEADING = r"(?md)(?=^#{1,6}[ \t\x0B\f]+[^\r\n])"
 DEFAULT_TITLE = "Содержание"
 MAX_SECTION = 5000
 
@@ -76,23 +78,21 @@ def packed(paragraphs: list[str], limit: int, slice_long: str = "single") -> lis
 def markdown_sections(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, section_no, level, title, line_start, body): lines under their heading; text before the first heading gets a default title.
 
-    All in the JVM: a document's lines are folded in place, so documents never meet in a shuffle.
+    The text is split before its headings in one pass of the JVM; only the few sections of a document meet again, to be numbered.
     """
-    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\r?\n")
-    head = F.transform(lines, lambda x: x.rlike(HEADING))
-    numbers = F.sequence(F.lit(1), F.size(lines))
-    starts = F.filter(numbers, lambda i: (i == 1) | F.get(head, i - 1))
-    each = docs.select(F.col(id_col), lines.alias("lines"), starts.alias("starts")).select(id_col, "lines", "starts", F.posexplode("starts").alias("at", "line_start"))
-    stop = F.coalesce(F.get("starts", F.col("at") + 1), F.size("lines") + 1)
-    first = F.get("lines", F.col("line_start") - 1)
+    parts = F.split(F.coalesce(F.col(text), F.lit("")), BEFORE_HEADING)
+    each = docs.select(F.col(id_col), F.posexplode(parts).alias("at", "part"))
+    first = F.regexp_extract("part", r"^([^\n]*?)\r?(?:\n|$)", 1)
     titled = first.rlike(HEADING)
+    above = Window.partitionBy(id_col).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     rows = each.select(
-        id_col, "line_start", F.when(titled, F.length(F.regexp_extract(first, HEADING, 1))).otherwise(0).alias("level"),
+        id_col, "at", (F.length("part") - F.length(F.replace("part", F.lit("\n"), F.lit("")))).alias("breaks"),
+        F.when(titled, F.length(F.regexp_extract(first, HEADING, 1))).otherwise(0).alias("level"),
         F.when(titled, F.regexp_extract(first, HEADING, 2)).otherwise(DEFAULT_TITLE).alias("title"),
-        tx.clean_text(F.array_join(F.slice("lines", F.col("line_start") + F.when(titled, 1).otherwise(0), F.greatest(stop - F.col("line_start") - F.when(titled, 1).otherwise(0), F.lit(0))), "\n")).alias("body"),
-    ).where("body <> ''")
-    w = Window.partitionBy(id_col).orderBy("line_start")
-    return rows.withColumn("section_no", F.row_number().over(w))
+        tx.clean_text(F.when(titled, F.regexp_replace("part", r"^[^\n]*(?:\n|$)", "")).otherwise(F.col("part"))).alias("body"),
+    ).withColumn("line_start", (F.coalesce(F.sum("breaks").over(above), F.lit(0)) + 1).cast("int"))
+    numbered = rows.where("body <> ''").withColumn("section_no", F.row_number().over(Window.partitionBy(id_col).orderBy("at")))
+    return numbered.select(id_col, "section_no", "level", "title", "line_start", "body")
 
 
 def plain_title(text: Column, limit: int = 120) -> Column:
