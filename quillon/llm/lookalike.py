@@ -90,17 +90,22 @@ def classes(strings: DataFrame) -> DataFrame:
     return strings.withColumn("look", F.collate(folded("raw"), "UNICODE"))
 
 
-def found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of rows with strings that look the same but are not: (table_name, row_a, row_b)."""
-    rows = classes(knowledge_strings(spark, sf_dir))
+def members(strings: DataFrame) -> DataFrame:
+    """Rows of the classes that hold more than one string, as a written table with the look under its collation."""
+    rows = classes(strings)
     rows.createOrReplaceTempView("quillon_looks")
-    several = spark.sql("SELECT table_name, look FROM quillon_looks GROUP BY table_name, look HAVING min(raw) <> max(raw)")
+    several = strings.sparkSession.sql("SELECT table_name, look FROM quillon_looks GROUP BY table_name, look HAVING min(raw) <> max(raw)")
     several = rt.written(several.select("table_name", F.collate("look", "UTF8_BINARY").alias("look")), "looks")
     several = several.select("table_name", F.collate("look", "UNICODE").alias("look"))
     small = several.limit(rt.BROADCAST_ROWS + 1).count() <= rt.BROADCAST_ROWS
     member = rows.join(F.broadcast(several) if small else several, ["table_name", "look"], "left_semi")
     member = rt.written(member.select("table_name", "row_id", "raw", F.collate("look", "UTF8_BINARY").alias("look")), "look-members")
-    member = member.select("table_name", "row_id", "raw", F.collate("look", "UNICODE").alias("look"))
+    return member.select("table_name", "row_id", "raw", F.collate("look", "UNICODE").alias("look"))
+
+
+def found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of rows with strings that look the same but are not: (table_name, row_a, row_b)."""
+    member = members(knowledge_strings(spark, sf_dir))
     a = member.select("table_name", "look", F.col("row_id").alias("row_a"), F.col("raw").alias("raw_a"))
     b = member.select("table_name", "look", F.col("row_id").alias("row_b"), F.col("raw").alias("raw_b"))
     pairs = a.join(b, ["table_name", "look"]).where("row_a < row_b and raw_a <> raw_b")
@@ -108,15 +113,20 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every string with its class's canonical member: (table_name, row_id, raw, canonical_form)."""
+    """Every string with its class's canonical member: (table_name, row_id, raw, canonical_form).
+
+    Only classes of several strings are grouped and joined back; the one string of any other class is its canonical form.
+    """
     strings = knowledge_strings(spark, sf_dir)
-    values = strings.groupBy("table_name", "raw").agg(F.count(F.lit(1)).alias("n"))
-    looks = rt.written(values.withColumn("look", folded("raw")), "look-values")
-    looks = looks.withColumn("look", F.collate("look", "UNICODE"))
-    looks.createOrReplaceTempView("quillon_look_values")
+    values = members(strings).groupBy("table_name", "look", "raw").agg(F.count(F.lit(1)).alias("n"))
+    values.createOrReplaceTempView("quillon_look_values")
     chosen = spark.sql(
         """SELECT table_name, look, min(struct(-n AS rarity, raw)).raw AS canonical_form
            FROM quillon_look_values GROUP BY table_name, look"""
     )
-    forms = looks.join(chosen, ["table_name", "look"]).select("table_name", "raw", "canonical_form")
-    return rt.skew_join(strings, forms, ["table_name", "raw"], "left").select("table_name", "row_id", "raw", "canonical_form")
+    forms = rt.written(values.join(chosen, ["table_name", "look"]).select("table_name", "raw", "canonical_form"), "look-forms")
+    if forms.limit(rt.BROADCAST_ROWS + 1).count() <= rt.BROADCAST_ROWS:
+        rows = strings.join(F.broadcast(forms), ["table_name", "raw"], "left")
+    else:
+        rows = rt.skew_join(strings, forms, ["table_name", "raw"], "left")
+    return rows.select("table_name", "row_id", "raw", F.coalesce("canonical_form", "raw").alias("canonical_form"))
