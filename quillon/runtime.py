@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 HOT_ROWS = 100_000
 #: Most keys ever salted; every other key has at most 1/HOT_KEYS of the rows.
 HOT_KEYS = 512
-#: Rows below which a side may be broadcast (checked by counting, see checked_semi_join).
+#: Rows below which a side may be broadcast (checked by counting, see fits_broadcast).
 BROADCAST_ROWS = 400_000
+#: Bytes of a broadcast side at most.
+BROADCAST_BYTES = 24 << 20
 
 _local_root: str | None = None
 
@@ -130,7 +132,16 @@ def skew_join(
     return left.join(right, [*keys, "__salt"], how).drop("__salt")
 
 
+def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether a (written) table was counted and measured small enough to be broadcast."""
+    width = F.lit(8 * len(df.columns))
+    for name, kind in df.dtypes:
+        if kind == "string" or kind.startswith("string collate"):
+            width = width + F.coalesce(F.octet_length(name), F.lit(0))
+    r = df.select(width.alias("w")).agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("b")).first()
+    return r["n"] <= rows and (r["b"] or 0) <= size
+
+
 def checked_semi_join(df: DataFrame, ids: DataFrame, key: str, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Rows of df whose key is in ids. ids is broadcast only if counted below limit, else shuffled."""
-    small = ids.limit(limit + 1).count() <= limit
-    return df.join(F.broadcast(ids) if small else ids, key, "left_semi")
+    """Rows of df whose key is in ids. ids is broadcast only if measured small, else shuffled."""
+    return df.join(F.broadcast(ids) if fits_broadcast(ids, limit) else ids, key, "left_semi")
