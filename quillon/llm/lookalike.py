@@ -97,8 +97,7 @@ def members(strings: DataFrame) -> DataFrame:
     several = strings.sparkSession.sql("SELECT table_name, look FROM quillon_looks GROUP BY table_name, look HAVING min(raw) <> max(raw)")
     several = rt.written(several.select("table_name", F.collate("look", "UTF8_BINARY").alias("look")), "looks")
     several = several.select("table_name", F.collate("look", "UNICODE").alias("look"))
-    small = several.limit(rt.BROADCAST_ROWS + 1).count() <= rt.BROADCAST_ROWS
-    member = rows.join(F.broadcast(several) if small else several, ["table_name", "look"], "left_semi")
+    member = rows.join(F.broadcast(several) if rt.fits_broadcast(several) else several, ["table_name", "look"], "left_semi")
     member = rt.written(member.select("table_name", "row_id", "raw", F.collate("look", "UTF8_BINARY").alias("look")), "look-members")
     return member.select("table_name", "row_id", "raw", F.collate("look", "UNICODE").alias("look"))
 
@@ -125,7 +124,7 @@ def canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
            FROM quillon_look_values GROUP BY table_name, look"""
     )
     forms = rt.written(values.join(chosen, ["table_name", "look"]).select("table_name", "raw", "canonical_form"), "look-forms")
-    if forms.limit(rt.BROADCAST_ROWS + 1).count() <= rt.BROADCAST_ROWS:
+    if rt.fits_broadcast(forms):
         rows = strings.join(F.broadcast(forms), ["table_name", "raw"], "left")
     else:
         rows = rt.skew_join(strings, forms, ["table_name", "raw"], "left")

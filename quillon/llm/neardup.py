@@ -163,13 +163,13 @@ class NearDuplicates:
         classes = features.groupBy("c1", "c2").agg(F.min("section_row").alias("rep"), F.count(F.lit(1)).alias("copies"))
         repeated = rt.written(classes.where("copies > 1"), "neardup-repeated")
         # rows of repeated texts: (section_row, rep); every other row represents itself
-        few = repeated.limit(rt.BROADCAST_ROWS + 1).count() <= rt.BROADCAST_ROWS
+        few = rt.fits_broadcast(repeated)
         keyed = features.select("section_row", "c1", "c2", "words")
         self.copies = rt.written(
             keyed.join(F.broadcast(repeated) if few else repeated, ["c1", "c2"]).select("section_row", "rep", "words"), "neardup-copies"
         )
         extra = self.copies.where("section_row <> rep").select("section_row")
-        few = extra.limit(rt.BROADCAST_ROWS + 1).count() <= rt.BROADCAST_ROWS
+        few = rt.fits_broadcast(extra)
         reps = features.where(f"words >= {WORDS}").join(F.broadcast(extra) if few else extra, "section_row", "left_anti")
         self.sections, self.features, self.spark = sections, features, spark
         self.pairs = rt.written(self._verified(self._candidates(reps), reps), "neardup-pairs")
