@@ -107,7 +107,5 @@ def layout(node_rows: DataFrame, width: int = 240, height: int = 64) -> DataFram
     """Columns by type, rows by label: (id, x, y)."""
     order = F.array_position(F.array(*map(F.lit, ["pack", "document", "section", "concept"])), F.col("type")) - 1
     keyed = node_rows.select("id", "type", F.coalesce("label", F.lit("")).alias("label"), order.alias("column"))
-    from pyspark.sql import Window
-
-    row = F.row_number().over(Window.partitionBy("type").orderBy("label", "id")) - 1
-    return keyed.select("id", (F.col("column") * width).cast("int").alias("x"), (row * height).cast("int").alias("y"))
+    rows = rt.row_numbers(keyed, ["type"], ["label", "id"], "row")
+    return rows.select("id", (F.col("column") * width).cast("int").alias("x"), ((F.col("row") - 1) * height).cast("int").alias("y"))

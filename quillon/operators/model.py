@@ -214,12 +214,8 @@ def installed_state(installed: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def unique_ids(df: DataFrame, scope: Sequence[str], id_col: str, order: str) -> DataFrame:
-    """Ids made unique in their scope: repeats get -2, -3 … in order; a taken suffix is skipped by one more round."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(*scope, id_col).orderBy(order)
-    out = df.withColumn("__n", F.row_number().over(w))
-    out = out.withColumn("unique_id", F.when(F.col("__n") == 1, F.col(id_col)).otherwise(F.concat(F.col(id_col), F.lit("-"), F.col("__n").cast("string"))))
-    again = Window.partitionBy(*scope, "unique_id").orderBy("__n", order)
-    out = out.withColumn("__m", F.row_number().over(again))
+    """Ids made unique in their scope: repeats get -2, -3 … in order; a suffix that an own id already has is marked once more."""
+    out = rt.row_numbers(df, [*scope, id_col], [order], "__n")
+    out = out.withColumn("unique_id", F.when(F.col("__n") == 1, F.col(id_col)).otherwise(F.concat(id_col, F.lit("-"), F.col("__n").cast("string"))))
+    out = rt.row_numbers(out, [*scope, "unique_id"], ["__n", order], "__m")
     return out.withColumn("unique_id", F.when(F.col("__m") == 1, F.col("unique_id")).otherwise(F.concat("unique_id", F.lit("-x"), F.col("__m").cast("string")))).drop("__n", "__m")

@@ -145,3 +145,23 @@ def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADC
 def checked_semi_join(df: DataFrame, ids: DataFrame, key: str, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Rows of df whose key is in ids. ids is broadcast only if measured small, else shuffled."""
     return df.join(F.broadcast(ids) if fits_broadcast(ids, limit) else ids, key, "left_semi")
+
+
+def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "row_no") -> DataFrame:
+    """df with the 1-based number of every row among the rows of its keys, in order; no key has to fit in one task.
+
+    Rows are range-partitioned by keys and order, so a hot key spreads over many partitions, numbered within each
+    partition, and shifted by the counts of the key's earlier partitions (at most one spanning key per boundary).
+    """
+    from pyspark.sql import Window
+
+    by = [*keys, *order]
+    ranged = written(df.repartitionByRange(*by).withColumn("__part", F.spark_partition_id()), "ranged")
+    counts = ranged.groupBy(*keys, "__part").agg(F.count(F.lit(1)).alias("__n"))
+    spanning = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("__parts")).where("__parts > 1").drop("__parts")
+    spans = counts.join(spanning, list(keys), "left_semi")
+    earlier = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    shift = spans.select(*keys, "__part", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__shift"))
+    own = F.row_number().over(Window.partitionBy("__part", *keys).orderBy(*order))
+    out = ranged.withColumn("__own", own).join(F.broadcast(shift), [*keys, "__part"], "left")  # one row per partition boundary
+    return out.withColumn(name, (F.col("__own") + F.coalesce("__shift", F.lit(0))).cast("int")).drop("__own", "__shift", "__part")

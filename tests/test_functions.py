@@ -135,3 +135,18 @@ def test_skew_join_equals_plain_join(spark):
     for how in ("left", "inner", "left_semi", "left_anti"):
         plain = sorted(map(str, many.join(one_side, "k", how).collect()))
         assert sorted(map(str, rt.skew_join(many, one_side, ["k"], how, salts=4, hot_rows=20).collect())) == plain
+
+
+def test_row_numbers_of_a_hot_key(spark):
+    from quillon import runtime as rt
+
+    r = random.Random(4)
+    rows = [(i, "hot" if i % 3 else f"k{i % 4}", r.random()) for i in range(900)]
+    df = spark.createDataFrame(rows, "id int, k string, o double").repartition(6)
+    got = {x["id"]: x["row_no"] for x in rt.row_numbers(df, ["k"], ["o", "id"]).collect()}
+    want = {}
+    for k in {x[1] for x in rows}:
+        for n, x in enumerate(sorted((x for x in rows if x[1] == k), key=lambda x: (x[2], x[0])), 1):
+            want[x[0]] = n
+    assert got == want
+    assert rt.row_numbers(df.limit(0), ["k"], ["o"]).count() == 0
