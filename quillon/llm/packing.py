@@ -29,6 +29,8 @@ GROUPS = 32
 #: Lengths above capacity / SMALL are grouped, the others fill gaps.
 SMALL = 10
 STEPS = 1024
+#: Container types a run may have; they are part of the plan.
+MOST_TYPES = 1000
 #: Configurations emptier than this are taken apart and their documents best-fitted.
 KEPT_FILL = 0.93
 
@@ -137,11 +139,14 @@ def assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document (in pieces of at most the capacity) in a container of each type."""
     sized = sized_documents(spark, sf_dir)
     blocks = max(1, round(sized.count() / BLOCK))
-    types = rt.table(spark, sf_dir, "containers", "container_type", F.col("capacity_tokens").cast("long").alias("capacity_tokens"))
-    types = types.where("container_type is not null and capacity_tokens > 0").dropDuplicates(["container_type"])
-    # every document in every container type is the stated task, not a search among pairs
-    kinds = types.groupBy().agg(F.collect_list(F.struct("container_type", "capacity_tokens")).alias("kinds"))
-    every = sized.join(F.broadcast(kinds)).select("doc_id", "tokens", F.inline("kinds"))
+    types = rt.table(spark, sf_dir, "containers", "container_type", "capacity_tokens").where("container_type is not null and capacity_tokens > 0")
+    types = types.groupBy("container_type").agg(F.max("capacity_tokens")).orderBy("container_type").limit(MOST_TYPES + 1).collect()
+    if len(types) > MOST_TYPES:
+        raise ValueError(f"at most {MOST_TYPES} container types")
+    kinds = [F.struct(F.lit(k).alias("container_type"), F.lit(int(c)).cast("long").alias("capacity_tokens")) for k, c in types]
+    if not kinds:
+        return spark.createDataFrame([], ASSIGNED)
+    every = sized.select("doc_id", "tokens", F.inline(F.array(*kinds)))
     pieces = every.select(
         "container_type", "capacity_tokens", "doc_id", F.col("tokens").alias("total"),
         F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"),
@@ -156,7 +161,7 @@ def assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per container type: documents, containers, tokens and the share of capacity left unused."""
-    types = rt.table(spark, sf_dir, "containers", "container_type", "capacity_tokens").dropDuplicates(["container_type"])
+    types = rt.table(spark, sf_dir, "containers", "container_type", "capacity_tokens").groupBy("container_type").agg(F.max("capacity_tokens").alias("capacity_tokens"))
     filled = assignments(spark, sf_dir).groupBy("container_type", "container_id").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("pieces"))
     per_type = filled.groupBy("container_type").agg(
         F.count(F.lit(1)).alias("containers"), F.sum("pieces").alias("pieces"), F.sum("tokens").alias("tokens"), F.max("tokens").alias("fullest")
