@@ -71,7 +71,21 @@ def written(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataF
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path).select(df.columns)
+    out = spark.read.schema(df.schema).parquet(path).select(df.columns)
+    _paths[id(out)] = (out, path)
+    return out
+
+
+#: Written tables by their DataFrame, so that they can be removed.
+_paths: dict[int, tuple[DataFrame, str]] = {}
+
+
+def forget(*tables: DataFrame) -> None:
+    """Remove written tables that nothing needs any more."""
+    for df in tables:
+        known = _paths.pop(id(df), None)
+        if known is not None:
+            drop_path(df.sparkSession, known[1])
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
