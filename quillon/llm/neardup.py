@@ -157,7 +157,6 @@ class NearDuplicates:
 
     def __init__(self, sections: DataFrame):
         """sections: (section_row, title, text)."""
-        spark = sections.sparkSession
         sections = sections.select(F.col("section_row").cast("long").alias("section_row"), "title", "text")
         features = rt.written(rt.spread(sections, "section_row").mapInArrow(_features, FEATURES), "neardup-features")
         classes = features.groupBy("c1", "c2").agg(F.min("section_row").alias("rep"), F.count(F.lit(1)).alias("copies"))
@@ -171,8 +170,9 @@ class NearDuplicates:
         extra = self.copies.where("section_row <> rep").select("section_row")
         few = rt.fits_broadcast(extra)
         reps = features.where(f"words >= {WORDS}").join(F.broadcast(extra) if few else extra, "section_row", "left_anti")
-        self.sections, self.features, self.spark = sections, features, spark
-        self.pairs = rt.written(self._verified(self._candidates(reps), reps), "neardup-pairs")
+        self.sections = sections
+        self.pairs = self._verified(self._candidates(reps), reps)
+        rt.forget(features, repeated)
 
     def _candidates(self, reps: DataFrame) -> DataFrame:
         lanes = [F.col("lanes")[k].alias(f"l{k}") for k in range(SECOND // 4)]
@@ -200,9 +200,11 @@ class NearDuplicates:
         )
         common = F.size(F.array_intersect("x", "y"))
         either = F.size("x") + F.size("y") - F.col("common")
-        return both.select("a", "b", common.alias("common"), "x", "y").select("a", "b", "common", either.alias("either")).where(
-            F.col("common") * THRESHOLD[1] >= F.col("either") * THRESHOLD[0]
-        )
+        sizes = both.select("a", "b", common.alias("common"), "x", "y").select("a", "b", "common", either.alias("either"))
+        near = sizes.where(F.col("common") * THRESHOLD[1] >= F.col("either") * THRESHOLD[0])
+        pairs = rt.written(near, "neardup-pairs")
+        rt.forget(screened, sets)
+        return pairs
 
     def row_pairs(self) -> DataFrame:
         """Every pair of rows: between classes, and within classes of equal texts."""
@@ -219,7 +221,7 @@ class NearDuplicates:
 
     def groups(self) -> DataFrame:
         """One row per section: class representative, group (least row of its component) and links to other texts."""
-        rows = self.features.select("section_row").join(self.copies.select("section_row", "rep"), "section_row", "left")
+        rows = self.sections.select("section_row").join(self.copies.select("section_row", "rep"), "section_row", "left")
         rows = rows.select("section_row", F.coalesce("rep", "section_row").alias("class_row"))
         ends = self.pairs.select(F.col("a").alias("class_row"), F.col("b").alias("other")).unionByName(
             self.pairs.select(F.col("b").alias("class_row"), F.col("a").alias("other"))
@@ -236,13 +238,15 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(id, label): label is the least id connected with id. Labels spread along edges and jump to their own label's label."""
     both = rt.written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
     labels = rt.written(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("label")).select("id", F.least("id", "label").alias("label")), "labels")
+    written = labels
     for _ in range(most_rounds):
         seen = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
         nearer = labels.join(seen, "id").select("id", F.least("label", "near").alias("label"), F.col("label").alias("old"))
         jump = labels.select(F.col("id").alias("label"), F.col("label").alias("further"))
         step = nearer.join(jump, "label", "left").select("id", "old", F.least("label", "further").alias("label"))
         step = rt.written(step, "labels")
-        labels = step.select("id", "label")
+        rt.forget(written)
+        written, labels = step, step.select("id", "label")
         if step.where("label <> old").isEmpty():
             return labels
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
