@@ -16,7 +16,7 @@ def inferred_category(*parts: Column) -> Column:
     text = F.lower(F.concat_ws(" ", *parts))
     both = F.array(F.struct(F.lit("pediatrics").alias("id"), F.lit(0.5).alias("weight")), F.struct(F.lit("dentistry").alias("id"), F.lit(0.5).alias("weight")))
     one = lambda name: F.array(F.struct(F.lit(name).alias("id"), F.lit(1.0).alias("weight")))
-    child = text.rlike(r"minimed|pediatr|детск|реб[её]н|младен|груднич")
+    child = text.rlike(r"pediatr|детск|реб[её]н|младен|груднич")
     tooth = text.rlike(r"dent|стомат|зуб")
     eruption = text.rlike(r"прорезыван[а-я]*\s+зуб|срок[а-я]*\s+прорезыван|tooth\s+eruption")
     return F.when(eruption | (child & tooth), both).when(child, one("pediatrics")).when(tooth, one("dentistry")).otherwise(F.array().cast("array<struct<id:string,weight:double>>"))
