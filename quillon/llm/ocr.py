@@ -39,6 +39,10 @@ FIT_PAGES = 1500
 COMMON = 50_000
 FURNITURE, BODY, BREAK, BLANK = range(4)
 MARKS = "-‐­¬"
+#: Mark of words that end or begin a line and so may be parts of one.
+EDGE = "|"
+#: A word without hyphen is broken if it is so many times as frequent as its rarer part is within lines.
+PART_RATIO = 3
 WORD = re.compile(r"[^\W_]+(?:['’ʼ-][^\W_]+)*")
 LAST = re.compile(rf"({WORD.pattern})([{MARKS}]?)[ \t]*$")
 FIRST = re.compile(rf"^[ \t]*({WORD.pattern})")
@@ -317,10 +321,11 @@ def page_events(no: int, text: str | None, page: int | None, titles: list[str],
         for j, w in enumerate(words):
             if j == 0 and begun or marked and j == len(words) - 1:
                 continue
+            edge = EDGE if j == 0 or last and j == len(words) - 1 else None
             if w in model.common:
-                counts[w] += 1
+                counts[w, edge] += 1
             else:
-                yield ("t", no, i + 1, w, None, None, None, None, None)
+                yield ("t", no, i + 1, w, None, edge, None, None, None)
         begun = marked
         if last and last[1][-1].isalpha():
             left, mark = last[1], last[2]
@@ -343,7 +348,7 @@ def events(pages: DataFrame, model: Model) -> DataFrame:
             rows: list[tuple] = []
             for no, text, page, title, pack_title, pack, path in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 rows += page_events(no, text, page, [title or "", pack_title or ""], pack, path, m, counts)
-            rows += [("w", None, None, w, None, None, None, None, n) for w, n in counts.items()]
+            rows += [("w", None, None, w, None, edge, None, None, n) for (w, edge), n in counts.items()]
             cols = list(zip(*rows, strict=True)) if rows else [[] for _ in _names]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _types, strict=True)], names=_names)
 
@@ -351,9 +356,9 @@ def events(pages: DataFrame, model: Model) -> DataFrame:
 
 
 def vocabulary(ev: DataFrame) -> DataFrame:
-    """(word, n) over all pages."""
-    words = ev.where("kind in ('w', 't')").select(F.col("a").alias("word"), F.coalesce("n", F.lit(1)).alias("n"))
-    return words.groupBy("word").agg(F.sum("n").alias("n"))
+    """(word, n, inner) over all pages: occurrences, and those of them that no line break touches."""
+    words = ev.where("kind in ('w', 't')").select(F.col("a").alias("word"), F.coalesce("n", F.lit(1)).alias("n"), "mark")
+    return words.groupBy("word").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("mark").isNull(), F.col("n")).otherwise(0)).alias("inner"))
 
 
 def misread_words(ev: DataFrame, vocab: DataFrame, model: Model) -> DataFrame:
@@ -361,7 +366,7 @@ def misread_words(ev: DataFrame, vocab: DataFrame, model: Model) -> DataFrame:
     spark = ev.sparkSession
     sent = spark.sparkContext.broadcast(model.confusions)
     known = spark.createDataFrame([(w,) for w in sorted(model.common)] or [("",)], "word string")  # at most COMMON words
-    rare = vocab.join(F.broadcast(known), "word", "left_anti")
+    rare = vocab.select("word", "n").join(F.broadcast(known), "word", "left_anti")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -396,17 +401,18 @@ def broken_lines(ev: DataFrame, vocab: DataFrame) -> DataFrame:
     soft = F.col("mark").isin("‐", "­", "¬")
     # of many lines with the same fragments one is looked up
     open_cases = every.where(~soft & F.col("b").isNotNull()).select("a", "b", F.coalesce("mark", F.lit("")).alias("mark")).distinct()
-    count_of = lambda name: vocab.select(F.col("word").alias(name), F.col("n").alias(f"{name}_n"))
+    count_of = lambda name, n="n": vocab.select(F.col("word").alias(name), F.col(n).alias(f"{name}_n"))
     looked = (
         open_cases.withColumn("joined", F.concat("a", "b")).withColumn("kept", F.concat("a", F.lit("-"), "b"))
         .join(count_of("joined"), "joined", "left").join(count_of("kept"), "kept", "left")
         .withColumn("left_word", F.col("a")).withColumn("right_word", F.col("b"))
-        .join(count_of("left_word"), "left_word", "left").join(count_of("right_word"), "right_word", "left")
+        .join(count_of("left_word", "inner"), "left_word", "left").join(count_of("right_word", "inner"), "right_word", "left")
     )
     j, k = F.coalesce("joined_n", F.lit(0)), F.coalesce("kept_n", F.lit(0))
     lower = F.substring("b", 1, 1) == F.lower(F.substring("b", 1, 1))
-    parts_unknown = (F.coalesce("left_word_n", F.lit(0)) < 3) | (F.coalesce("right_word_n", F.lit(0)) < 3)
-    verdict = F.when(F.col("mark") == "-", lower & ((j > k) | ((j == 0) & (k == 0)))).otherwise(lower & (j >= 2) & parts_unknown)
+    # fragments of unmarked breaks stand at line breaks only, so these occurrences say nothing about their being words
+    rarer_part = F.least(F.coalesce("left_word_n", F.lit(0)), F.coalesce("right_word_n", F.lit(0)))
+    verdict = F.when(F.col("mark") == "-", lower & ((j > k) | ((j == 0) & (k == 0)))).otherwise(lower & (j > PART_RATIO * rarer_part))
     judged = looked.select("a", "b", "mark", verdict.alias("broken")).where("broken")
     sure = every.where(soft | ((F.col("mark") == "-") & F.col("b").isNull())).select("candidate_no", "line_no")
     found_open = every.withColumn("mark", F.coalesce("mark", F.lit(""))).join(judged.select("a", "b", "mark"), ["a", "b", "mark"], "left_semi")

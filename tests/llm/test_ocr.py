@@ -80,6 +80,30 @@ def test_lines_and_paragraphs(spark, save):
     assert exact >= 0.85 * len(texts)
 
 
+def test_breaks_without_hyphen_at_any_size(spark, save):
+    """Fragments that many pages repeat stay breaks, two words in a row stay two words."""
+    rows, truth, _ = corpus()
+    pages, want = [], set()
+    for no, *rest in rows[:72]:
+        lines = rest[5].split("\n")
+        for i in range(no % 3, len(lines), 3):
+            if lines[i].rstrip("\r").endswith("-") and (i + 1, "broken_word") in truth[no]:
+                lines[i] = lines[i].replace("-\r", "\r").removesuffix("-")
+                want.add((no, i + 1))
+        rest[5] = "\n".join(lines)
+        pages.append((no, *rest))
+    save("catalog", [("p", "Pack", "x")], PACK)
+    found = []
+    for copies in (1, 6):
+        many = [(no + 1000 * c, pack, title, f"{c}{path}", *rest) for c in range(copies) for no, pack, title, path, *rest in pages]
+        where = save("ocr_candidates", many, OCR)
+        found.append({(r["candidate_no"], r["line_no"]) for r in ocr.found(spark, where).where("kind = 'broken_word'").collect()})
+    assert len(want) > 50 and len(want & found[0]) >= 0.95 * len(want)
+    assert {(no + 1000 * c, line) for c in range(6) for no, line in found[0]} == found[1]
+    every = {(no, line) for no, t in truth.items() for line, kind in t if kind == "broken_word"}
+    assert len(found[0] - every) <= 0.02 * len(every)
+
+
 def test_repairs_and_odd_words():
     forms = ocr.repairs("sh0ws", {"0": [("o", 0.01)]})
     assert "shows" in forms
