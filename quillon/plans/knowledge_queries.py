@@ -213,6 +213,12 @@ def compare_related(spark: SparkSession, d: str) -> DataFrame:
     return compare.signals(compare.paired(_claim_pairs(spark, d), res))
 
 
+def compare_discrepancies(spark: SparkSession, d: str) -> DataFrame:
+    """Discrepancies between any two live claims that no statement relation names yet."""
+    res = compare.resources(_claim_texts(spark, d), composed=True)
+    return compare.detect(res, res.limit(0), _claim_pairs(spark, d))
+
+
 def compare_subjects(spark: SparkSession, d: str) -> DataFrame:
     """Per pack, subject and dimension: claims and the number of different values they state."""
     rows = model.claims(spark, d).where("subject_id is not null")
@@ -354,7 +360,7 @@ def queries() -> dict:
         for f in (
             text_normalized, text_clean, text_snippets, text_files, text_claim_facts, text_stable_ids, text_statements, text_scope, text_slugs, model_records,
             model_resolved, model_packages, model_unique_sections, search_vocabulary, search_posting_lists, search_top, search_fuzzy, search_bm25, search_fallback,
-            search_suggest, search_corrections, search_stats, search_expansion, compare_related, compare_subjects, chrono_documents, chrono_intervals,
+            search_suggest, search_corrections, search_stats, search_expansion, compare_related, compare_discrepancies, compare_subjects, chrono_documents, chrono_intervals,
             chrono_editions, graph_nodes, graph_degrees, graph_ego, evidence_coverage, evidence_support, evidence_citations, evidence_budget, source_rows,
             source_markdown, source_json, ocr_review_state, task_latest, task_summary, task_runnable, task_speed, task_windows, sql_pricing, sql_top_customers,
         )

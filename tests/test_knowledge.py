@@ -1,5 +1,6 @@
 import json
 import math
+import random
 import sqlite3
 import zipfile
 from io import BytesIO
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.operators import compare, evidence, graph, model, search, tasks
+from quillon.plans import knowledge_queries
 from quillon.sources import database, documents, interchange, staging
 from quillon.streaming import queue
 
@@ -68,6 +70,42 @@ def test_discrepancies_equal_all_pairs(spark):
     assert ("a1", "a2") not in {(r["left_ref"], r["right_ref"]) for r in compare.detect(res, res.limit(0), known).collect()}
 
 
+def test_registered_discrepancies_equal_all_pairs(spark, monkeypatch, tmp_path):
+    """The query finds what all pairs of live claims give, but for those already related, with hot subjects and tokens salted."""
+    r = random.Random(4)
+    words = "the cabinet label record scale syrup tablet vaccine protocol reviewer".split()
+    rows = []
+    for i in range(120):
+        said = ["the", *r.sample(words[1:], r.randint(2, 7)), *r.choice([[], ["250 mg"], ["500 mg"], ["not"], ["2 hours"], ["children"], ["adults"]])]
+        rows.append((i, f"p{i % 3}", f"c{i}", " ".join(said), r.choice([None, "s1", "s1", f"s{i}"]), r.choice([None, "o1", "o2"])))
+    schema = "claim_order long, pack_id string, claim_id string, text string, subject_id string, object_id string"
+    empty = "cast(null as string) as {0}".format
+    data = spark.createDataFrame(rows, schema).selectExpr("*", "'reference' as authority", *map(empty, ("source_document_id", "source_section_id", "source_quote", "payload_json")), "timestamp'2025-01-01' as ingested_at", "if(claim_order % 10 = 7, timestamp'2025-02-01', null) as deleted_at")
+    data.write.parquet(f"{tmp_path}/lnote_claims.parquet")
+    related = [(i, f"p{i % 3}", f"r{i}", f"c{i}", f"p{(i + 1) % 3}::c{i + 1}") for i in range(0, 118, 2)]
+    spark.createDataFrame(related, "relation_order long, pack_id string, relation_id string, source_claim_id string, target_claim_id string").selectExpr(
+        "*", "'contradicts' as type", "'confirmed' as status", *map(empty, ("reason",))).write.parquet(f"{tmp_path}/lnote_statement_relations.parquet")
+    monkeypatch.setattr(compare, "HOT_CLAIMS", 5)
+    got = knowledge_queries.queries()["compare_discrepancies"](spark, str(tmp_path)).collect()
+    live = [f"{p}::{c}" for i, p, c, *_ in rows if i % 10 != 7]
+    known = {frozenset((f"{p}::{s}", t)) for _, p, _, s, t in related}
+    every = spark.createDataFrame([(a, b) for a in live for b in live if a < b and frozenset((a, b)) not in known], "left_ref string, right_ref string")
+    res = compare.resources(knowledge_queries._claim_texts(spark, str(tmp_path)))
+    want = compare.signals(compare.paired(every, res)).collect()
+    assert len(want) > 300 and sorted(map(tuple, got)) == sorted(map(tuple, want))
+    assert {s for x in got for s in x["signals"].split(",")} == {"numeric_difference", "negation_difference", "scope_difference", "object_difference"}
+
+
+def test_discrepancies_between_targets_and_references(spark):
+    rows = [claim(f"{k}{i}", f"Adults receive amoxil {i} mg twice daily") for k in "amz" for i in (100, 200)]
+    res = compare.resources(spark.createDataFrame(rows, CLAIM))
+    side = lambda k: res.where(F.col("claim_ref").startswith(k))
+    pairs = lambda df: sorted((r["left_ref"], r["right_ref"]) for r in df.collect())
+    across = [("m100", "a200"), ("m100", "z200"), ("m200", "a100"), ("m200", "z100")]
+    assert pairs(compare.detect(side("m"), res.where("claim_ref not like 'm%'"), internal=False)) == across
+    assert pairs(compare.detect(side("m"), res.where("claim_ref not like 'm%'"))) == sorted([*across, ("m100", "m200")])
+
+
 def test_reviews(spark):
     old = spark.createDataFrame([("1", "a", "b", "refines", "proposed"), ("2", "a", "c", "supports", "confirmed")], "id string, source_ref string, target_ref string, type string, status string")
     review = spark.createDataFrame([("1", "a", "b", "contradicts", None, "accept"), ("3", "x", "y", "supersedes", "refines", "accept"), ("4", "x", "z", "refines", None, "dismiss")], "id string, source_ref string, target_ref string, suggested_type string, selected_type string, decision string")
