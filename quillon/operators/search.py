@@ -9,6 +9,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon import runtime as rt
 from quillon.functions import text as tx
 
 # Weights of the fields of a record.
@@ -52,6 +53,26 @@ def posting_lists(postings: DataFrame, longest: int = 50) -> DataFrame:
     return vocabulary(postings).join(lists, "token")
 
 
+def record_token_scores(records: DataFrame, composed: bool = False) -> DataFrame:
+    """token_scores of records with unique ids: summed within each record, without a shuffle."""
+    small = [f for f in FIELD_WEIGHTS if f != "body"]
+    rows = records.select("id", *[F.array_distinct(tx.tokenize(F.col(f), composed)).alias(f"t_{f}") for f in FIELD_WEIGHTS])
+
+    def scored(start: float) -> Callable[[Column], Column]:
+        return lambda t: F.struct(t.alias("token"), sum((F.when(F.array_contains(f"t_{f}", t), w).otherwise(0.0) for f, w in FIELD_WEIGHTS.items() if f in small), F.lit(start)).alias("score"))
+
+    others = F.array_except(F.array_distinct(F.concat(*[F.col(f"t_{f}") for f in small])), F.col("t_body"))
+    return rows.select("id", F.inline(F.concat(F.transform("t_body", scored(FIELD_WEIGHTS["body"])), F.transform(others, scored(0.0)))))
+
+
+def ranked_postings(postings: DataFrame) -> DataFrame:
+    """The inverted index in long form: token, df, rank by descending score and id, id, score; whole lists, however long."""
+    numbered = rt.row_numbers(postings.withColumn("below", -F.col("score")), ["token"], ["below", "id"], "rank")
+    vocab = rt.written(vocabulary(postings), "vocabulary")
+    joined = numbered.join(F.broadcast(vocab), "token") if rt.fits_broadcast(vocab) else rt.skew_join(numbered, vocab, ["token"], "inner")
+    return joined.select("token", "df", "rank", "id", "score")
+
+
 def candidates(vocab: DataFrame, tokens: Sequence[str]) -> DataFrame:
     """(query_token, token, df, match): exact tokens and, for words of two letters and more, the first 32 longer ones in key order.
 

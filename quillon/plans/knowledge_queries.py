@@ -157,6 +157,14 @@ def search_vocabulary(spark: SparkSession, d: str) -> DataFrame:
     return postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.round(F.sum("score"), 4).alias("weight"))
 
 
+def search_index(spark: SparkSession, d: str) -> DataFrame:
+    """Every posting of every token; search_posting_lists reports the best of them."""
+    records = rt.written(_records(spark, d), "search-records")
+    unique = records.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    scores = search.record_token_scores if unique else search.token_scores
+    return search.ranked_postings(rt.written(scores(records, composed=True), "search-postings"))
+
+
 def search_posting_lists(spark: SparkSession, d: str) -> DataFrame:
     lists = search.posting_lists(search.token_scores(_records(spark, d), composed=True), 3)
     return lists.select("token", "df", F.array_join(F.transform("postings", lambda p: p["id"]), ";").alias("best"))
@@ -359,7 +367,7 @@ def queries() -> dict:
         f.__name__: f
         for f in (
             text_normalized, text_clean, text_snippets, text_files, text_claim_facts, text_stable_ids, text_statements, text_scope, text_slugs, model_records,
-            model_resolved, model_packages, model_unique_sections, search_vocabulary, search_posting_lists, search_top, search_fuzzy, search_bm25, search_fallback,
+            model_resolved, model_packages, model_unique_sections, search_vocabulary, search_index, search_posting_lists, search_top, search_fuzzy, search_bm25, search_fallback,
             search_suggest, search_corrections, search_stats, search_expansion, compare_related, compare_discrepancies, compare_subjects, chrono_documents, chrono_intervals,
             chrono_editions, graph_nodes, graph_degrees, graph_ego, evidence_coverage, evidence_support, evidence_citations, evidence_budget, source_rows,
             source_markdown, source_json, ocr_review_state, task_latest, task_summary, task_runnable, task_speed, task_windows, sql_pricing, sql_top_customers,
@@ -528,6 +536,7 @@ def oracle_sql() -> dict[str, str]:
         "search_vocabulary": f"WITH {POSTINGS} SELECT token, count(*) AS df, round(sum(score), 4) AS weight FROM posted GROUP BY token",
         "search_posting_lists": f"""WITH {POSTINGS}, best AS (SELECT token, id, row_number() OVER (PARTITION BY token ORDER BY score DESC, id) AS n FROM posted)
           SELECT token, df, string_agg(id, ';' ORDER BY n) AS best FROM best JOIN vocab USING (token) WHERE n <= 3 GROUP BY token, df""",
+        "search_index": f"WITH {POSTINGS} SELECT token, df, row_number() OVER (PARTITION BY token ORDER BY score DESC, id)::INTEGER AS rank, id, score FROM posted JOIN vocab USING (token)",
         "search_top": _sql_search_top(),
         "search_bm25": _sql_bm25(),
         "search_fallback": _sql_fallback(),

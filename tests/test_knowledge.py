@@ -46,6 +46,20 @@ def test_ranking(spark):
     assert search.search_postings(rec.limit(0), postings.limit(0), "amoxil").count() == 0
 
 
+def test_whole_postings_of_a_frequent_token(spark, monkeypatch):
+    monkeypatch.setattr(knowledge_queries, "_records", lambda *_: records(spark).withColumn("pack_id", F.lit("p")))
+    got = knowledge_queries.queries()["search_index"](spark, "").collect()
+    lists = {}
+    for r in got:
+        lists.setdefault(r["token"], []).append((r["rank"], r["id"], r["score"], r["df"]))
+    whole = sorted(lists["unrelated"])
+    assert [x[0] for x in whole] == list(range(1, 301)) and {x[3] for x in whole} == {300}
+    assert [x[1] for x in whole] == sorted(f"x{i}" for i in range(300))
+    same = lambda df: sorted((r["id"], r["token"], round(r["score"], 6)) for r in df.collect())
+    assert same(search.record_token_scores(records(spark))) == same(search.token_scores(records(spark)))
+    assert [x[1] for x in sorted(lists["amoxil"])] == ["r1", "n1", "r2"] and len(got) == search.token_scores(records(spark)).count()
+
+
 def claim(ref, text, subject=None, obj=None):
     return (ref, text, None, subject, obj)
 
