@@ -4,8 +4,8 @@ Two small collections of hashes are kept per text: FIRST bands of three minhashe
 and SECOND lanes of two. A table key is a pair (band i, lane j); forming keys by
 pairs makes 16 x 12 tables of five minhashes each from 72 minhashes instead of
 960. Texts are joined on the band half of the key, the lane halves ride along,
-and a pair is a candidate if it shares a band and at least two lanes with it, that
-is two whole table keys. Candidates are screened with all 72 minhashes (8 bits of
+and a pair is a candidate if it shares a band and a lane with it, that is one
+whole table key. Candidates are screened with all 72 minhashes (8 bits of
 each) and then verified on their exact shingle sets.
 
 Texts with the same words form one class, represented by its least row; only
@@ -34,7 +34,7 @@ THRESHOLD = (3, 5)  # a similarity of at least 3/5
 FIRST, FIRST_ROWS = 16, 3
 SECOND, SECOND_ROWS = 12, 2
 HASHES = FIRST * FIRST_ROWS + SECOND * SECOND_ROWS
-LANES_NEEDED = 2
+LANES_NEEDED = 1
 #: Of the 72 minhashes a candidate must share this many; at similarity 0.6 one pair in a thousand has fewer.
 SCREEN = 30
 WORD = re.compile(r"[^\W_]+")

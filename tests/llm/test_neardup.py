@@ -76,3 +76,18 @@ def test_empty(spark, save):
     where = save("lnote_sections", [], SEC)
     assert neardup.found(spark, where).count() == 0
     assert neardup.grouped(spark, where).count() == 0
+
+
+def test_expected_recall_at_the_threshold():
+    """Share of pairs at a similarity that bands, lanes and screen let through, by drawing which minhashes agree."""
+    import numpy as np
+
+    def recall(similarity):
+        agree = np.random.default_rng(1).random((200_000, neardup.HASHES)) < similarity
+        cut = neardup.FIRST * neardup.FIRST_ROWS
+        band = agree[:, :cut].reshape(-1, neardup.FIRST, neardup.FIRST_ROWS).all(2).any(1)
+        lanes = agree[:, cut:].reshape(-1, neardup.SECOND, neardup.SECOND_ROWS).all(2).sum(1)
+        return (band & (lanes >= neardup.LANES_NEEDED) & (agree.sum(1) >= neardup.SCREEN)).mean()
+
+    print([round(float(recall(s)), 3) for s in (0.6, 0.62, 0.65, 0.7)])
+    assert recall(0.6) > 0.965 and recall(0.65) > 0.99
