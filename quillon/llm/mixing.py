@@ -5,8 +5,8 @@ most max_repeats uses. A source then gives certain whole copies of all its
 documents, and the fraction that is left as inclusion probability lambda of each
 document; documents are ranked by (u / (1 - u)) / (lambda / (1 - lambda)) with u a
 hash of seed and doc_id, and the sample is the head of the ranking whose tokens
-come nearest to the tokens still due. Inclusion differs between sources (and,
-with a weight column, within them). The cut of the ranking is found from a
+come nearest to the tokens still due. Inclusion differs between sources,
+not within them. The cut of the ranking is found from a
 histogram of 4,096 rank classes per source, so no source is sorted in one task.
 
 Defined cases: documents of no listed source, or of none, take no part; a source
