@@ -15,6 +15,7 @@ not matter; repeated rows come out repeated.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from datetime import date, datetime, timedelta, timezone
 from functools import lru_cache
@@ -266,23 +267,39 @@ def _parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 class InstantDictionary:
-    """A persisted table of parsed distinct values; ``update`` adds what it does not hold yet."""
+    """A persisted table of parsed distinct values; ``update`` adds what it does not hold yet.
+
+    Opened on the path of an earlier one it goes on with its entries. A session that names a folder in
+    ``spark.quillon.instants`` keeps one dictionary there for all its queries and for later sessions; otherwise every
+    dictionary begins empty. Each update is one folder, which counts once its marker is written; should two writers
+    have added a value at once, it is read once.
+    """
 
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark = spark
-        self.path = path or rt.new_path(spark, "instants")
-        self.filled = False
+        self.path = path or spark.conf.get("spark.quillon.instants", None) or rt.new_path(spark, "instants")
+
+    def _parts(self) -> list[str]:
+        return rt.names_in(self.spark, f"{self.path}/complete")
 
     def read(self) -> DataFrame:
-        return self.spark.read.schema(ENTRY).parquet(self.path)
+        parts = self._parts()
+        if not parts:
+            return self.spark.createDataFrame([], ENTRY)
+        rows = self.spark.read.schema(ENTRY).parquet(*[f"{self.path}/entries/{p}" for p in parts])
+        return rows if len(parts) == 1 else rows.dropDuplicates(KEYS)
 
     def update(self, values: DataFrame) -> None:
         """values: (raw, zone, locale) of any rows, nulls in zone and locale written as ''."""
         new = values.where("raw is not null").dropDuplicates(KEYS).select(KEYS)
-        if self.filled:
+        if self._parts():
             new = new.join(self.read(), KEYS, "left_anti")
-        new.mapInArrow(_parse_batches, ENTRY).write.mode("append").parquet(self.path)
-        self.filled = True
+        part = uuid.uuid4().hex
+        new.mapInArrow(_parse_batches, ENTRY).write.parquet(f"{self.path}/entries/{part}")
+        if self._parts() and self.spark.read.schema(ENTRY).parquet(f"{self.path}/entries/{part}").isEmpty():
+            rt.drop_path(self.spark, f"{self.path}/entries/{part}")
+        else:
+            rt.touch(self.spark, f"{self.path}/complete/{part}")
 
 
 def document_values(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,6 +32,26 @@ WITH refs AS (
 )
 """
 
+#: State at the end of every batch: what had arrived, and had not been removed, by then.
+SNAPSHOT_SQL = """
+, delivered AS (
+  SELECT 'd' AS target, pack_id AS k1, document_id AS k2, '' AS k3, ingested_at, deleted_at FROM lnote_documents
+  UNION ALL SELECT 's', pack_id, document_id, section_id, ingested_at, deleted_at FROM lnote_sections
+  UNION ALL SELECT 'c', pack_id, claim_id, '', ingested_at, deleted_at FROM lnote_claims
+), quarters AS (SELECT DISTINCT date_trunc('quarter', t)::DATE AS q FROM (SELECT ingested_at AS t FROM delivered UNION ALL SELECT seen_at FROM refs) x WHERE t IS NOT NULL
+), batches AS (SELECT lead(q) OVER (ORDER BY q) AS until FROM quarters
+), live AS (
+  SELECT until, target, k1, k2, k3, min(ingested_at) AS first_at FROM delivered, batches
+  WHERE (until IS NULL OR coalesce(ingested_at < until, true)) AND (deleted_at IS NULL OR deleted_at >= until) GROUP BY ALL
+), state AS (
+  SELECT r.table_name, r.field_name, b.until, r.seen_at, l.first_at FROM refs r JOIN batches b ON b.until IS NULL OR coalesce(r.seen_at < b.until, true)
+  LEFT JOIN live l ON l.until IS NOT DISTINCT FROM b.until AND l.target = r.target AND l.k1 = r.k1 AND l.k2 = r.k2 AND l.k3 = r.k3
+)
+SELECT table_name, field_name, count(*) AS seen, sum((first_at IS NULL)::INT)::BIGINT AS waiting, sum(coalesce(first_at > seen_at, first_at IS NOT NULL)::INT)::BIGINT AS resolved_late,
+       CASE WHEN until IS NULL THEN 'all' ELSE 'before ' || strftime(until, '%Y-%m-%d') END AS snapshot
+FROM state GROUP BY ALL
+"""
+
 
 def queries() -> dict:
     return {
@@ -45,6 +65,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_snapshots": ORPHAN_SQL.split(", probed AS")[0].replace("), parents AS (", "), parents0 AS (") + SNAPSHOT_SQL,
         "p1_found": ORPHAN_SQL + "SELECT DISTINCT table_name, row_order, field_name FROM probed WHERE status <> 'resolved'",
         "p1_counts": ORPHAN_SQL
         + """SELECT table_name, field_name, strftime(seen_at, '%Y-%m') AS month, count(*) AS reference_count,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -14,8 +15,10 @@ from pyspark.sql import functions as F
 
 #: Rows of one key that a single task handles without trouble.
 HOT_ROWS = 100_000
-#: Most keys ever salted; every other key has at most 1/HOT_KEYS of the rows.
-HOT_KEYS = 512
+#: Most keys ever salted, the most frequent ones; any other key has less than 1/HOT_KEYS of the rows.
+HOT_KEYS = 100_000
+#: Members of one key that are compared with each other in a single task.
+PAIR_BLOCK = 4_000
 #: Rows below which a side may be broadcast (checked by counting, see fits_broadcast).
 BROADCAST_ROWS = 400_000
 #: Bytes of a broadcast side at most.
@@ -42,13 +45,17 @@ def build_session(app: str = "quillon", cores: str | int = "*", **conf: str) ->
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir of the session.
 
-    Only where the session names none (local mode, tests) a temporary folder is
-    made, set as the checkpoint folder and removed when the process ends.
+    Only in local mode (tests) may it be unset; then a temporary folder is made,
+    set as the checkpoint folder and removed when the process ends. A cluster
+    without the setting is an error, as no folder of one machine serves all.
     """
     global _local_root
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(?:\[[^\]]*\])?", master):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder all executors share (master {master})")
     if _local_root is None or not os.path.isdir(_local_root):
         _local_root = tempfile.mkdtemp(prefix="quillon-")
         atexit.register(shutil.rmtree, _local_root, ignore_errors=True)
@@ -72,27 +79,45 @@ def written(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataF
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     out = spark.read.schema(df.schema).parquet(path).select(df.columns)
-    _paths[id(out)] = (out, path)
+    out.__dict__["_written_at"] = path
     return out
 
 
-#: Written tables by their DataFrame, so that they can be removed.
-_paths: dict[int, tuple[DataFrame, str]] = {}
-
-
-def forget(*tables: DataFrame) -> None:
+def forget(*tables: DataFrame | None) -> None:
     """Remove written tables that nothing needs any more."""
     for df in tables:
-        known = _paths.pop(id(df), None)
-        if known is not None:
-            drop_path(df.sparkSession, known[1])
+        path = None if df is None else df.__dict__.pop("_written_at", None)
+        if path is not None:
+            drop_path(df.sparkSession, path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    """(file system, path) of the JVM."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _file_system(spark, path)
+    return fs.exists(at)
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Sorted names in a folder of a bounded number of entries; none if there is no such folder."""
+    fs, at = _file_system(spark, path)
+    return sorted(x.getPath().getName() for x in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def touch(spark: SparkSession, path: str) -> None:
+    """Create an empty file, which marks a write as complete."""
+    fs, at = _file_system(spark, path)
+    fs.create(at, True).close()
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
     """Remove an intermediate table."""
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    fs, at = _file_system(spark, path)
+    fs.delete(at, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -113,11 +138,15 @@ def spread(df: DataFrame, *keys: Column | str) -> DataFrame:
     return df.repartition(cores, *keys)
 
 
-def hot_hashes(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> list[int]:
-    """xxhash64 of the keys that have more than hot_rows rows, at most HOT_KEYS of them."""
-    counted = df.groupBy(F.xxhash64(*keys).alias("h")).agg(F.count(F.lit(1)).alias("n"))
-    top = counted.where(F.col("n") > hot_rows).orderBy(F.col("n").desc(), "h").limit(HOT_KEYS)
-    return [r["h"] for r in top.collect()]
+def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
+    """(keys, rows) of the keys with more than hot_rows rows as a written table, at most the HOT_KEYS most frequent; None if there are none.
+
+    Counts are aggregated before the shuffle.
+    """
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows")).where(F.col("__rows") > hot_rows)
+    if counted.agg(F.count(F.lit(1))).first()[0] == 0:
+        return None
+    return written(counted.orderBy(F.col("__rows").desc(), *keys).limit(HOT_KEYS), "hot-keys")
 
 
 def skew_join(
@@ -134,18 +163,42 @@ def skew_join(
     these are salted: their rows are spread over `salts` partitions, the matching
     rows of `one` are repeated once per salt. Results equal a plain join.
     """
-    hot = hot_hashes(many, keys, hot_rows)
-    if not hot:
-        return many.join(one, list(keys), how)
-    is_hot = F.xxhash64(*keys).isin(hot)
-    # by the row's own values, so that a recomputed task salts its rows alike
-    salt = F.when(is_hot, F.pmod(F.xxhash64(*many.columns), F.lit(salts)).cast("int")).otherwise(F.lit(0))
-    left = many.withColumn("__salt", salt)
-    every = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    right = one.withColumn("__salt", F.explode(every))
+    keys = list(keys)
+    hot = hot_keys(many, keys, hot_rows)
+    if hot is None:
+        return many.join(one, keys, how)
+    hot = F.broadcast(hot.select(*keys, F.lit(True).alias("__hot")))  # at most HOT_KEYS keys
+    # by the row's own values and its input partition: a recomputed task salts its rows alike, and equal rows spread too
+    salt = F.pmod(F.xxhash64(*many.columns) + F.spark_partition_id(), F.lit(salts)).cast("int")
+    left = many.withColumn("__own", salt).join(hot, keys, "left")
+    left = left.withColumn("__salt", F.when(F.col("__hot"), F.col("__own")).otherwise(F.lit(0))).drop("__own", "__hot")
+    every = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    right = one.join(hot, keys, "left").withColumn("__salt", F.explode(every)).drop("__hot")
     return left.join(right, [*keys, "__salt"], how).drop("__salt")
 
 
+def pairs_within(df: DataFrame, keys: Sequence[str], id_col: str, block: int = PAIR_BLOCK) -> DataFrame:
+    """(x, y): structs of the other columns of any two rows of equal keys, every pair once, x with the lower id.
+
+    A key with more than `block` rows is cut into blocks by a hash of the id, and every pair of blocks is a join key of its
+    own, so that no task compares more than 2 x `block` rows. Rows of equal id are no pair; null keys meet nothing.
+    """
+    keys = list(keys)
+    body = F.struct(*[c for c in df.columns if c not in keys])
+    hot = hot_keys(df, keys, block)
+    if hot is None:
+        x, y = df.select(*keys, body.alias("x")), df.select(*keys, body.alias("y"))
+        return x.join(y, keys).where(F.col(f"x.{id_col}") < F.col(f"y.{id_col}")).select("x", "y")
+    sized = df.join(F.broadcast(hot), keys, "left").select(*keys, body.alias("r"), F.coalesce(F.ceil(F.col("__rows") / block).cast("int"), F.lit(1)).alias("n"))
+    sized = sized.withColumn("own", F.pmod(F.xxhash64(F.lit(block), F.col(f"r.{id_col}")), F.col("n")).cast("int"))
+    first = sized.select(*keys, F.col("r").alias("x"), F.col("own").alias("i"), F.explode(F.sequence("own", F.col("n") - 1)).alias("j"))
+    second = sized.select(*keys, F.col("r").alias("y"), F.col("own").alias("j"), F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"))
+    met = first.join(second, [*keys, "i", "j"])
+    lower = F.col(f"x.{id_col}") < F.col(f"y.{id_col}")
+    met = met.where(F.when(F.col("i") == F.col("j"), lower).otherwise(F.col(f"x.{id_col}") != F.col(f"y.{id_col}")))
+    return met.select(F.when(lower, F.col("x")).otherwise(F.col("y")).alias("x"), F.when(lower, F.col("y")).otherwise(F.col("x")).alias("y"))
+
+
 def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
     """Whether a (written) table was counted and measured small enough to be broadcast."""
     width = F.lit(8 * len(df.columns))

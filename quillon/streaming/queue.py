@@ -60,7 +60,11 @@ def session_activity(events: DataFrame, gap: str = "30 minutes", late: str = "10
 
 
 def orphan_sink(tracker: OrphanTracker) -> Callable[[DataFrame, int], None]:
-    """foreachBatch sink for a change feed with the columns of parents and references and `change` of parent, removal, reference."""
+    """foreachBatch sink for a change feed with the columns of parents and references and `change` of parent, removal, reference.
+
+    The number of the micro-batch is the batch id of the tracker, so that a replayed one is not counted twice; the state is in the
+    tracker's folder, so that a query started again goes on with a tracker opened on the same path.
+    """
     parent = ["target", "k1", "k2", "k3", "parent_row", "arrived_at", "removed_at"]
     ref = ["table_name", "row_order", "field_name", "target", "k1", "k2", "k3", "arrived_at"]
 
@@ -68,7 +72,7 @@ def orphan_sink(tracker: OrphanTracker) -> Callable[[DataFrame, int], None]:
         batch = batch.persist()
         tracker.step(
             batch.where("change = 'parent'").select(parent), batch.where("change = 'reference'").select(ref),
-            batch.where("change = 'removal'").select("target", "k1", "k2", "k3", "parent_row", "removed_at"), f"batch {number}",
+            batch.where("change = 'removal'").select(parent), f"batch {number}", number,
         )
         batch.unpersist()
 

@@ -79,7 +79,12 @@ def test_found_and_dictionary(spark, save):
     values = instants.document_values(spark, where)
     d.update(values.where("document_order = 1"))
     d.update(values)
-    assert d.read().count() == values.select("raw", "zone", "locale").distinct().count()
+    distinct = values.select("raw", "zone", "locale").distinct().count()
+    assert d.read().count() == distinct
+    again = instants.InstantDictionary(spark, d.path)  # opened anew, as by a later session
+    parts = again._parts()
+    assert instants.resolve(values, again).count() == values.count()
+    assert again._parts() == parts and again.read().count() == distinct
 
 
 def test_empty(spark, save):
