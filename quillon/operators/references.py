@@ -115,6 +115,8 @@ STATES = {
 }
 #: Folders by key hash that a state has, and log entries after which they are merged into one.
 BUCKETS, COMPACT_AFTER = 8, 24
+#: Keys, and their bytes, that a batch may have for its keys to be broadcast to the state.
+SMALL_BATCH, SMALL_BATCH_BYTES = 50_000, 4 << 20
 REFERENCE = ["table_name", "row_order", "field_name"]
 
 
@@ -215,11 +217,11 @@ class OrphanTracker:
             keys = key(new_parents, False)
             if len(rest) > 1:
                 keys = keys.unionByName(key(rest[1], True))
-            small = rest[0]["n"] <= rt.HOT_ROWS
+            small = rest[0]["n"] <= SMALL_BATCH
             if small:  # of a small batch also the keys it looks up, so that no others are aggregated
                 keys = keys.unionByName(key(refs, None))
             keys = rt.written(keys.groupBy(*KEYS).agg(F.max("gone").alias("gone")), "batch-keys")
-            few = rt.fits_broadcast(keys)
+            few = rt.fits_broadcast(keys, SMALL_BATCH, SMALL_BATCH_BYTES)
             only = keys.select(KEYS) if small and few else None
         index = self._index(buckets, seqs, only)
         if before:

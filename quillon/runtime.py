@@ -178,7 +178,7 @@ def skew_join(
 
 
 def pairs_within(df: DataFrame, keys: Sequence[str], id_col: str, block: int = PAIR_BLOCK) -> DataFrame:
-    """(x, y): structs of the other columns of any two rows of equal keys, every pair once, x with the lower id.
+    """(keys, x, y): x and y are structs of the other columns of any two rows of equal keys, every pair once, x with the lower id.
 
     A key with more than `block` rows is cut into blocks by a hash of the id, and every pair of blocks is a join key of its
     own, so that no task compares more than 2 x `block` rows. Rows of equal id are no pair; null keys meet nothing.
@@ -188,7 +188,7 @@ def pairs_within(df: DataFrame, keys: Sequence[str], id_col: str, block: int = P
     hot = hot_keys(df, keys, block)
     if hot is None:
         x, y = df.select(*keys, body.alias("x")), df.select(*keys, body.alias("y"))
-        return x.join(y, keys).where(F.col(f"x.{id_col}") < F.col(f"y.{id_col}")).select("x", "y")
+        return x.join(y, keys).where(F.col(f"x.{id_col}") < F.col(f"y.{id_col}"))
     sized = df.join(F.broadcast(hot), keys, "left").select(*keys, body.alias("r"), F.coalesce(F.ceil(F.col("__rows") / block).cast("int"), F.lit(1)).alias("n"))
     sized = sized.withColumn("own", F.pmod(F.xxhash64(F.lit(block), F.col(f"r.{id_col}")), F.col("n")).cast("int"))
     first = sized.select(*keys, F.col("r").alias("x"), F.col("own").alias("i"), F.explode(F.sequence("own", F.col("n") - 1)).alias("j"))
@@ -196,7 +196,7 @@ def pairs_within(df: DataFrame, keys: Sequence[str], id_col: str, block: int = P
     met = first.join(second, [*keys, "i", "j"])
     lower = F.col(f"x.{id_col}") < F.col(f"y.{id_col}")
     met = met.where(F.when(F.col("i") == F.col("j"), lower).otherwise(F.col(f"x.{id_col}") != F.col(f"y.{id_col}")))
-    return met.select(F.when(lower, F.col("x")).otherwise(F.col("y")).alias("x"), F.when(lower, F.col("y")).otherwise(F.col("x")).alias("y"))
+    return met.select(*keys, F.when(lower, F.col("x")).otherwise(F.col("y")).alias("x"), F.when(lower, F.col("y")).otherwise(F.col("x")).alias("y"))
 
 
 def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
