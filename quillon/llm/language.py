@@ -26,7 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon import runtime as rt
@@ -34,7 +34,7 @@ from quillon import runtime as rt
 DIM = 4096
 CLUSTERS = 3
 #: Bounds of the fitting sample.
-FIT_DOCS = 3000
+FIT_DOCS, FIT_CHARS = 3000, 60_000_000
 FIT_UNITS = 1200
 #: A unit much longer than this is cut at a space.
 UNIT = 240
@@ -63,6 +63,15 @@ NAMES = {
     "sv": "swe swedish svenska", "da": "dan danish dansk", "no": "nor norwegian norsk", "fi": "fin finnish suomi", "el": "ell gre greek ελληνικά",
     "tr": "tur turkish türkçe", "ar": "ara arabic العربية", "he": "heb hebrew עברית", "fa": "fas per persian فارسی", "hi": "hin hindi हिन्दी",
     "zh": "zho chi chinese 中文", "ja": "jpn japanese 日本語", "ko": "kor korean 한국어", "vi": "vie vietnamese", "th": "tha thai ไทย", "id": "ind indonesian",
+    "af": "afr afrikaans", "sq": "sqi alb albanian shqip", "am": "amh amharic", "hy": "hye arm armenian", "az": "aze azerbaijani", "eu": "eus baq basque euskara",
+    "bn": "ben bengali", "bs": "bos bosnian bosanski", "my": "mya bur burmese", "cy": "cym wel welsh cymraeg", "eo": "epo esperanto", "ga": "gle irish gaeilge",
+    "gl": "glg galician galego", "gu": "guj gujarati", "ha": "hau hausa", "ig": "ibo igbo", "is": "isl ice icelandic íslenska", "jv": "jav javanese", "ka": "kat geo georgian",
+    "km": "khm khmer", "kn": "kan kannada", "ku": "kur kurdish", "ky": "kir kyrgyz", "lb": "ltz luxembourgish", "lo": "lao", "mg": "mlg malagasy", "mi": "mri mao maori",
+    "mk": "mkd mac macedonian македонски", "ml": "mal malayalam", "mn": "mon mongolian", "mr": "mar marathi", "ms": "msa may malay", "mt": "mlt maltese malti",
+    "ne": "nep nepali", "nb": "nob", "nn": "nno", "pa": "pan punjabi", "ps": "pus pashto", "rm": "roh romansh", "sa": "san sanskrit", "si": "sin sinhala",
+    "sl": "slv slovene slovenian slovenščina", "so": "som somali", "sw": "swa swahili kiswahili", "ta": "tam tamil", "te": "tel telugu", "tg": "tgk tajik",
+    "tk": "tuk turkmen", "tl": "tgl tagalog", "tt": "tat tatar татарча", "ug": "uig uyghur", "ur": "urd urdu", "uz": "uzb uzbek", "xh": "xho xhosa", "yi": "yid yiddish",
+    "yo": "yor yoruba", "zu": "zul zulu",
     "ca": "cat catalan català", "et": "est estonian eesti", "lv": "lav latvian latviešu", "lt": "lit lithuanian lietuvių", "la": "lat latin latina", "kk": "kaz kazakh қазақша",
 }
 LANGUAGE_OF = {c: c for c in CODES.split()} | {n: code for code, names in NAMES.items() for n in names.split()}
@@ -361,8 +370,12 @@ def fitted(spark: SparkSession, sf_dir: str) -> Model:
     frequencies = document_frequencies(docs.select("text"))
     labelled = docs.where(F.coalesce(F.length(F.trim("lang")), F.lit(0)) >= 2)
     share = min(1.0, FIT_DOCS / max(1, labelled.count()))
-    sample = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("lang", "text").limit(2 * FIT_DOCS).collect()
-    pairs = [(r["text"] or "", named_language(r["lang"])) for r in sample]
+    sample = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000)).limit(2 * FIT_DOCS)
+    sample = rt.written(sample, "language-sample")
+    # whole texts up to FIT_CHARS characters in order of a hash; the rows are bounded
+    so_far = F.sum(F.coalesce(F.length("text"), F.lit(0))).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    got = sample.withColumn("chars", so_far).where(F.col("chars") <= FIT_CHARS).drop("chars").collect()
+    pairs = [(r["text"] or "", named_language(r["lang"])) for r in sorted(got, key=lambda r: r["doc_id"])]
     return fit([(t, code) for t, code in pairs if code], frequencies)
 
 

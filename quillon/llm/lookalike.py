@@ -91,24 +91,24 @@ def classes(strings: DataFrame) -> DataFrame:
 
 
 def members(strings: DataFrame) -> DataFrame:
-    """Rows of the classes that hold more than one string, as a written table with the look under its collation."""
+    """(table_name, row_id, raw, look) of the rows in classes that hold more than one string, as a written table; look is one mapped form per class."""
     rows = classes(strings)
-    rows.createOrReplaceTempView("quillon_looks")
-    several = strings.sparkSession.sql("SELECT table_name, look FROM quillon_looks GROUP BY table_name, look HAVING min(raw) <> max(raw)")
-    several = rt.written(several.select("table_name", F.collate("look", "UTF8_BINARY").alias("look")), "looks")
-    several = several.select("table_name", F.collate("look", "UNICODE").alias("look"))
-    member = rows.join(F.broadcast(several) if rt.fits_broadcast(several) else several, ["table_name", "look"], "left_semi")
-    member = rt.written(member.select("table_name", "row_id", "raw", F.collate("look", "UTF8_BINARY").alias("look")), "look-members")
-    return member.select("table_name", "row_id", "raw", F.collate("look", "UNICODE").alias("look"))
+    several = strings.sparkSession.sql(
+        "SELECT table_name, collate(look, 'UTF8_BINARY') AS form FROM {rows} GROUP BY table_name, look HAVING min(raw) <> max(raw)", rows=rows
+    )
+    several = rt.written(several, "looks")
+    known = several.select("table_name", F.collate("form", "UNICODE").alias("look"), "form")
+    if rt.fits_broadcast(several):
+        member = rows.join(F.broadcast(known), ["table_name", "look"])
+    else:
+        member = rt.skew_join(rows, known, ["table_name", "look"], "inner")
+    return rt.written(member.select("table_name", "row_id", "raw", F.col("form").alias("look")), "look-members")
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of rows with strings that look the same but are not: (table_name, row_a, row_b)."""
-    member = members(knowledge_strings(spark, sf_dir))
-    a = member.select("table_name", "look", F.col("row_id").alias("row_a"), F.col("raw").alias("raw_a"))
-    b = member.select("table_name", "look", F.col("row_id").alias("row_b"), F.col("raw").alias("raw_b"))
-    pairs = a.join(b, ["table_name", "look"]).where("row_a < row_b and raw_a <> raw_b")
-    return pairs.select("table_name", "row_a", "row_b").distinct()
+    """Pairs of rows with strings that look the same but are not: (table_name, row_a, row_b). Large classes are compared in blocks."""
+    pairs = rt.pairs_within(members(knowledge_strings(spark, sf_dir)), ["table_name", "look"], "row_id").where("x.raw <> y.raw")
+    return pairs.select("table_name", F.col("x.row_id").alias("row_a"), F.col("y.row_id").alias("row_b")).distinct()
 
 
 def canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,10 +118,8 @@ def canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     strings = knowledge_strings(spark, sf_dir)
     values = members(strings).groupBy("table_name", "look", "raw").agg(F.count(F.lit(1)).alias("n"))
-    values.createOrReplaceTempView("quillon_look_values")
     chosen = spark.sql(
-        """SELECT table_name, look, min(struct(-n AS rarity, raw)).raw AS canonical_form
-           FROM quillon_look_values GROUP BY table_name, look"""
+        "SELECT table_name, look, min(struct(-n AS rarity, raw)).raw AS canonical_form FROM {valued} GROUP BY table_name, look", valued=values
     )
     forms = rt.written(values.join(chosen, ["table_name", "look"]).select("table_name", "raw", "canonical_form"), "look-forms")
     if rt.fits_broadcast(forms):

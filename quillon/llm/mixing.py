@@ -2,17 +2,20 @@
 
 The largest total T is taken at which every source can give its share with at
 most max_repeats uses. A source then gives certain whole copies of all its
-documents, and the fraction that is left as inclusion probability lambda of each
-document; documents are ranked by (u / (1 - u)) / (lambda / (1 - lambda)) with u a
-hash of seed and doc_id, and the sample is the head of the ranking whose tokens
-come nearest to the tokens still due. Inclusion differs between sources,
-not within them. The cut of the ranking is found from a
-histogram of 4,096 rank classes per source, so no source is sorted in one task.
+documents; of the tokens still due it draws documents with unequal probabilities,
+in proportion to their size: lambda = min(1, theta x tokens), theta such that the
+expected tokens are those due, so that documents of the largest sizes may be
+certain too. Documents are ranked by (u / (1 - u)) / (lambda / (1 - lambda)) with
+u a hash of seed and doc_id, and the sample is the head of the ranking whose
+tokens come nearest to the tokens due. theta comes from sums per size class
+(a sixteenth of an octave) and the cut of the ranking from sums per rank class
+(BINS classes, and BINS within the class of the cut), so no source is sorted in
+one task and no such sums reach the driver.
 
 Defined cases: documents of no listed source, or of none, take no part; a source
 without tokens, or with a null or non-positive share or max_repeats of 0, gives
 nothing and does not hold T back; a null max_repeats counts as 1; documents
-without tokens have a rank like others.
+without tokens are in the whole copies but never drawn.
 """
 
 from __future__ import annotations
@@ -25,7 +28,8 @@ from pyspark.sql import functions as F
 from quillon import runtime as rt
 from quillon.llm.tokens import with_tokens
 
-BINS = 4096
+#: Rank classes per source at each of two levels, and size classes per octave.
+BINS, SIZE_CLASSES = 4096, 16
 #: Most sources a mixture may list; the plan of a mixture is made on the driver.
 MAX_SOURCES = 10_000
 SEED = 20240501
@@ -81,32 +85,63 @@ def sized_sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[Sha
     return sized, plan([(r["source"], r["target_share"] or 0.0, r["max_repeats"], tokens.get(r["source"]) or 0) for r in sorted(listed)])
 
 
+def inclusion(sized: DataFrame, dues: DataFrame) -> DataFrame:
+    """(source, theta): chances min(1, theta x tokens) of the documents have the expected tokens `due`; dues: (source, due).
+
+    Of the size classes from the largest on, the fewest are certain that leave all others a chance of at most 1.
+    """
+    x = F.col("tokens").cast("double")
+    sums = sized.where("tokens > 0").groupBy("source", F.floor(F.log2(x) * SIZE_CLASSES).alias("class")).agg(
+        F.sum(x).alias("sum"), F.sum(x * x).alias("squares"), F.max(x).alias("most")
+    )  # some hundred classes per source
+    classes = sums.join(F.broadcast(dues), "source")
+    larger = Window.partitionBy("source").orderBy(F.col("class").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    rest = Window.partitionBy("source").orderBy("class")
+    tried = classes.withColumn("theta", (F.col("due") - F.coalesce(F.sum("sum").over(larger), F.lit(0.0))) / F.sum("squares").over(rest))
+    good = tried.where((F.col("theta") > 0) & (F.col("theta") * F.col("most") <= 1))
+    best = good.groupBy("source").agg(F.max_by("theta", "class").alias("theta"))
+    # where even the smallest class must be partly certain, all its documents are near 1
+    return dues.select("source").join(best, "source", "left").withColumn("theta", F.coalesce("theta", F.lit(1.0)))
+
+
+def _cut(ranked: DataFrame, dues: DataFrame, place: Column) -> DataFrame:
+    """(source, cut, rest): the rank class in which the tokens due are reached, and how many are due within it."""
+    sums = ranked.groupBy("source", place.alias("cut")).agg(F.sum("tokens").alias("n"))  # at most BINS per source
+    so_far = F.sum("n").over(Window.partitionBy("source").orderBy("cut"))
+    reached = sums.join(F.broadcast(dues), "source").withColumn("rest", F.col("due") - (so_far - F.col("n"))).where("rest > 0")
+    return reached.groupBy("source").agg(F.max("cut").alias("cut"), F.min("rest").alias("rest"))
+
+
 def select(sized: DataFrame, shares: list[Share], seed: int = SEED) -> DataFrame:
     """(source, doc_id, tokens, copies) of the documents that the mixture uses."""
     spark = sized.sparkSession
     sampled = [x for x in shares if 0 < x.fraction < 1 and x.due >= 1]
-    base = spark.createDataFrame([(x.source, x.whole, x.fraction) for x in shares if x.whole or x in sampled], "source string, whole int, chance double")
-    # one row per listed source, at most MAX_SOURCES
-    ranked = sized.join(F.broadcast(base), "source").withColumn("rank", rank(uniform(seed, "doc_id"), F.col("chance")))
+    base = spark.createDataFrame([(x.source, x.whole) for x in shares if x.whole or x in sampled], "source string, whole int")
+    dues = spark.createDataFrame([(x.source, float(x.due)) for x in sampled], "source string, due double")
     if not sampled:
-        return ranked.where("whole > 0").select("source", "doc_id", "tokens", F.col("whole").alias("copies"))
-    bins = F.floor(F.col("rank") * BINS).cast("int")
-    names = [x.source for x in sampled]
-    hist = ranked.where(F.col("source").isin(names)).groupBy("source", bins.alias("bin")).agg(F.sum("tokens").alias("tokens")).collect()
-    cuts = []
-    for x in sampled:
-        rest = x.due
-        for b, n in sorted((r["bin"], r["tokens"]) for r in hist if r["source"] == x.source):
-            if n >= rest:
-                break
-            rest -= n
-        cuts.append((x.source, b, float(rest)))
-    cut = spark.createDataFrame(cuts, "source string, cut_bin int, rest double")
-    ranked = ranked.withColumn("bin", bins).join(F.broadcast(cut), "source", "left")
-    edge = ranked.where("bin = cut_bin")  # 1/4096 of a source
+        chosen = sized.join(F.broadcast(base), "source").where("whole > 0")
+        return chosen.select("source", "doc_id", "tokens", F.col("whole").alias("copies"))
+    # sides of one row per listed source, at most MAX_SOURCES
+    theta = rt.written(inclusion(sized, dues), "inclusion")
+    chance = F.least(F.lit(1.0), F.col("theta") * F.col("tokens"))
+    ranked = sized.join(F.broadcast(base), "source").join(F.broadcast(theta), "source", "left")
+    drawn = F.col("theta").isNotNull() & (F.col("tokens") > 0)
+    ranked = ranked.withColumn("rank", F.when(drawn, rank(uniform(seed, "doc_id"), chance)))
+    bin1 = F.least(F.floor(F.col("rank") * BINS), F.lit(BINS - 1)).cast("int")
+    bin2 = F.least(F.floor((F.col("rank") * BINS - bin1) * BINS), F.lit(BINS - 1)).cast("int")
+    ranked = ranked.withColumns({"bin": bin1, "part": bin2})
+    one = rt.written(_cut(ranked.where("rank is not null"), dues, F.col("bin")).withColumnRenamed("cut", "cut_bin").withColumnRenamed("rest", "due"), "mixture-cut")
+    near = ranked.join(F.broadcast(one.select("source", "cut_bin")), "source").where("bin = cut_bin")
+    two = rt.written(_cut(near, one.select("source", "due"), F.col("part")).withColumnRenamed("cut", "cut_part"), "mixture-cut")
+    cuts = one.drop("due").join(two, "source", "left")
+    ranked = ranked.join(F.broadcast(cuts), "source", "left")
+    below = (F.col("bin") < F.col("cut_bin")) | ((F.col("bin") == F.col("cut_bin")) & (F.col("part") < F.col("cut_part")))
+    at = F.coalesce((F.col("bin") == F.col("cut_bin")) & (F.col("part") == F.col("cut_part")), F.lit(False))
+    kept = ["source", "doc_id", "tokens", "whole"]
+    edge = ranked.where(at)  # 1 / BINS squared of a source
     before = F.coalesce(F.sum("tokens").over(Window.partitionBy("source").orderBy("rank", "doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    edge = edge.withColumn("taken", before + F.col("tokens") / 2 <= F.col("rest")).select("source", "doc_id", "tokens", "whole", "taken")
-    others = ranked.where("cut_bin is null or bin <> cut_bin").select("source", "doc_id", "tokens", "whole", F.coalesce(F.col("bin") < F.col("cut_bin"), F.lit(False)).alias("taken"))
+    edge = edge.select(*kept, (before + F.col("tokens") / 2 <= F.col("rest")).alias("taken"))
+    others = ranked.where(~at).select(*kept, F.coalesce(below, F.lit(False)).alias("taken"))
     both = others.unionByName(edge)
     return both.select("source", "doc_id", "tokens", (F.col("whole") + F.col("taken").cast("int")).alias("copies")).where("copies > 0")
 

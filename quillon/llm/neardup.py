@@ -3,10 +3,16 @@
 Two small collections of hashes are kept per text: FIRST bands of three minhashes
 and SECOND lanes of two. A table key is a pair (band i, lane j); forming keys by
 pairs makes 16 x 12 tables of five minhashes each from 72 minhashes instead of
-960. Texts are joined on the band half of the key, the lane halves ride along,
-and a pair is a candidate if it shares a band and a lane with it, that is one
-whole table key. Candidates are screened with all 72 minhashes (8 bits of
-each) and then verified on their exact shingle sets.
+960. A pair is a candidate if it shares one whole table key. Where few texts
+share a band they are joined on it and the lane halves, which ride along, are
+compared after the join; a band that more than rt.PAIR_BLOCK texts share (a
+boilerplate) is joined on whole table keys, and keys that are still hot in
+blocks. Candidates are screened with all 72 minhashes (8 bits of each) and then
+verified on their exact shingle sets.
+
+``exact=True`` finds candidates without hashing instead: two texts of the
+similarity share one of the rarest shingles of either (prefix filter). It loses
+no pair but explodes all shingles, and serves to measure the recall.
 
 Texts with the same words form one class, represented by its least row; only
 representatives are compared, and all rows are put back at the end.
@@ -34,9 +40,8 @@ THRESHOLD = (3, 5)  # a similarity of at least 3/5
 FIRST, FIRST_ROWS = 16, 3
 SECOND, SECOND_ROWS = 12, 2
 HASHES = FIRST * FIRST_ROWS + SECOND * SECOND_ROWS
-LANES_NEEDED = 1
-#: Of the 72 minhashes a candidate must share this many; at similarity 0.6 one pair in a thousand has fewer.
-SCREEN = 30
+#: Of the 72 minhashes a candidate must share this many; at similarity 0.6 about three pairs in a million have fewer.
+SCREEN = 24
 WORD = re.compile(r"[^\W_]+")
 CHUNK = 150_000
 CACHE = 400_000
@@ -155,8 +160,8 @@ def same_lanes(a: str, b: str) -> Column:
 class NearDuplicates:
     """Classes of equal texts and the verified pairs between their representatives, as written tables."""
 
-    def __init__(self, sections: DataFrame):
-        """sections: (section_row, title, text)."""
+    def __init__(self, sections: DataFrame, exact: bool = False):
+        """sections: (section_row, title, text); exact: candidates by prefix filter."""
         sections = sections.select(F.col("section_row").cast("long").alias("section_row"), "title", "text")
         features = rt.written(rt.spread(sections, "section_row").mapInArrow(_features, FEATURES), "neardup-features")
         classes = features.groupBy("c1", "c2").agg(F.min("section_row").alias("rep"), F.count(F.lit(1)).alias("copies"))
@@ -171,27 +176,50 @@ class NearDuplicates:
         few = rt.fits_broadcast(extra)
         reps = features.where(f"words >= {WORDS}").join(F.broadcast(extra) if few else extra, "section_row", "left_anti")
         self.sections = sections
-        self.pairs = self._verified(self._candidates(reps), reps)
+        self.pairs = self._verified(self._prefix_candidates(reps) if exact else self._candidates(reps), None if exact else reps)
         rt.forget(features, repeated)
 
     def _candidates(self, reps: DataFrame) -> DataFrame:
-        lanes = [F.col("lanes")[k].alias(f"l{k}") for k in range(SECOND // 4)]
-        keyed = reps.select(F.col("section_row").alias("id"), *lanes, F.posexplode("bands").alias("band", "half"))
+        lanes = [f"l{k}" for k in range(SECOND // 4)]
+        keyed = reps.select(F.col("section_row").alias("id"), *[F.col("lanes")[k].alias(n) for k, n in enumerate(lanes)], F.posexplode("bands").alias("band", "half"))
         key = F.shiftleft(F.col("band").cast("long"), 32).bitwiseOR(F.col("half").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
-        keyed = keyed.select(key.alias("key"), "id", *(f"l{k}" for k in range(SECOND // 4)))
-        other = keyed.select("key", F.col("id").alias("id_b"), *(F.col(f"l{k}").alias(f"r{k}") for k in range(SECOND // 4)))
-        joined = keyed.join(other.hint("merge"), "key").where((F.col("id") < F.col("id_b")) & (same_lanes("l", "r") >= LANES_NEEDED))
-        return joined.select(F.col("id").alias("a"), F.col("id_b").alias("b")).distinct()
-
-    def _verified(self, candidates: DataFrame, reps: DataFrame) -> DataFrame:
-        sketch = reps.select(F.col("section_row").alias("id"), "sketch")
-        screened = (
-            candidates.join(sketch.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a")
-            .join(sketch.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b")
-            .where(F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda e: e)) >= SCREEN)
-            .select("a", "b")
-        )
-        screened = rt.written(screened, "neardup-screened")
+        keyed = keyed.select(key.alias("key"), "id", *lanes)
+        hot = rt.hot_keys(keyed, ["key"], rt.PAIR_BLOCK)
+        plain = keyed if hot is None else keyed.join(F.broadcast(hot), "key", "left_anti")
+        other = plain.select("key", F.col("id").alias("id_b"), *(F.col(n).alias(n.replace("l", "r")) for n in lanes))
+        joined = plain.join(other.hint("merge"), "key").where((F.col("id") < F.col("id_b")) & (same_lanes("l", "r") > 0))
+        pairs = joined.select(F.col("id").alias("a"), F.col("id_b").alias("b"))
+        if hot is not None:
+            each = [F.shiftrightunsigned(n, 16 * k).bitwiseAND(F.lit(0xFFFF)) for n in lanes for k in range(4)]
+            whole = keyed.join(F.broadcast(hot), "key", "left_semi").select("key", "id", F.posexplode(F.array(*each)).alias("lane", "lane_half"))
+            met = rt.pairs_within(whole, ["key", "lane", "lane_half"], "id")
+            pairs = pairs.unionByName(met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")))
+        return pairs.distinct()
+
+    def _prefix_candidates(self, reps: DataFrame) -> DataFrame:
+        """Pairs that share one of the n - ceil(0.6 n) + 1 rarest shingles of both, as any pair of the similarity does."""
+        few = reps.select("section_row")
+        sets = rt.written(rt.checked_semi_join(self.sections, few, "section_row").mapInArrow(_exact_sets, "id long, shingles array<long>"), "neardup-all-sets")
+        each = sets.select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+        often = rt.written(each.groupBy("s").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "neardup-shingles")
+        ranked = rt.skew_join(each, often, ["s"], "inner").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("shared"))
+        # shingles of one text only come first in the order; they fill the prefix but meet nothing
+        prefix = F.col("n") - F.ceil(F.col("n") * (THRESHOLD[0] / THRESHOLD[1]) - 1e-9) + 1 - (F.col("n") - F.size("shared"))
+        rows = ranked.select("id", "n", F.explode(F.slice("shared", F.lit(1), F.greatest(prefix.cast("int"), F.lit(0)))).alias("p"))
+        met = rt.pairs_within(rows.select(F.col("p.s").alias("s"), "id", "n"), ["s"], "id")
+        near = met.where((F.least("x.n", "y.n") * THRESHOLD[1] >= F.greatest("x.n", "y.n") * THRESHOLD[0]))
+        return near.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+
+    def _verified(self, candidates: DataFrame, reps: DataFrame | None) -> DataFrame:
+        if reps is not None:
+            sketch = reps.select(F.col("section_row").alias("id"), "sketch")
+            candidates = (
+                candidates.join(sketch.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a")
+                .join(sketch.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b")
+                .where(F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda e: e)) >= SCREEN)
+                .select("a", "b")
+            )
+        screened = rt.written(candidates, "neardup-screened")
         ids = screened.select(F.explode(F.array("a", "b")).alias("section_row")).distinct()
         texts = rt.checked_semi_join(self.sections, ids, "section_row")
         sets = rt.written(texts.mapInArrow(_exact_sets, "id long, shingles array<long>"), "neardup-sets")
@@ -207,17 +235,15 @@ class NearDuplicates:
         return pairs
 
     def row_pairs(self) -> DataFrame:
-        """Every pair of rows: between classes, and within classes of equal texts."""
-        members = self.copies.select("rep", "section_row")
-        side = lambda id_col, out: (
-            F.col(id_col), F.coalesce("section_row", F.col(id_col)).alias(out),
-        )
-        one = self.pairs.join(members.withColumnRenamed("rep", "a"), "a", "left").select("b", *side("a", "x"))
-        two = one.join(members.withColumnRenamed("rep", "b"), "b", "left").select("x", F.coalesce("section_row", F.col("b")).alias("y"))
+        """Every pair of rows: between classes, and within classes of equal texts; hot classes are spread over tasks."""
+        ids = self.pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+        alone = ids.join(self.copies.select("rep").distinct(), "rep", "left_anti").select("rep", F.col("rep").alias("row"))
+        members = rt.written(self.copies.join(ids, "rep", "left_semi").select("rep", F.col("section_row").alias("row")).unionByName(alone), "neardup-members")
+        one = rt.skew_join(members.select(F.col("rep").alias("a"), F.col("row").alias("x")), self.pairs.select("a", "b"), ["a"], "inner")
+        two = rt.skew_join(one.select("b", "x"), members.select(F.col("rep").alias("b"), F.col("row").alias("y")), ["b"], "inner")
         across = two.select(F.least("x", "y").alias("section_row_a"), F.greatest("x", "y").alias("section_row_b"))
-        equal = self.copies.where(f"words >= {WORDS}").select("rep", "section_row")
-        inside = equal.withColumnRenamed("section_row", "section_row_a").join(equal.withColumnRenamed("section_row", "section_row_b"), "rep")
-        return across.unionByName(inside.where("section_row_a < section_row_b").select("section_row_a", "section_row_b"))
+        inside = rt.pairs_within(self.copies.where(f"words >= {WORDS}").select("rep", "section_row"), ["rep"], "section_row")
+        return across.unionByName(inside.select(F.col("x.section_row").alias("section_row_a"), F.col("y.section_row").alias("section_row_b")))
 
     def groups(self) -> DataFrame:
         """One row per section: class representative, group (least row of its component) and links to other texts."""

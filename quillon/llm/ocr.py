@@ -29,13 +29,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon import runtime as rt
 
-#: Bounds of the fitting sample and of the words it declares common.
-FIT_PAGES = 1500
+#: Bounds of the fitting sample, in pages and characters, and of the words it declares common.
+FIT_PAGES, FIT_CHARS = 1500, 40_000_000
 COMMON = 50_000
 FURNITURE, BODY, BREAK, BLANK = range(4)
 MARKS = "-‐­¬"
@@ -258,7 +258,7 @@ def repairs(word: str, confusions: dict[str, list[tuple[str, float]]]) -> dict[s
                 put(word.replace(wrong, right), rate)
             at = word.find(wrong, at + 1)
     if any(c.isdigit() for c in word) and len(word) > 2:
-        for form, rate in singles[:40]:
+        for form, rate in singles:
             for wrong, options in confusions.items():
                 if wrong[0].isdigit() and wrong in form:
                     for right, other in options:
@@ -392,6 +392,11 @@ def misread_words(ev: DataFrame, vocab: DataFrame, model: Model) -> DataFrame:
     return best.select("word", F.col("best.form").alias("repaired"))
 
 
+def small_join(many: DataFrame, one: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Join of occurrences with judged words: broadcast if these were measured small, else with hot words spread over tasks."""
+    return many.join(F.broadcast(one), keys, how) if rt.fits_broadcast(one) else rt.skew_join(many, one, keys, how)
+
+
 def broken_lines(ev: DataFrame, vocab: DataFrame) -> DataFrame:
     """(candidate_no, line_no) of the lines whose last word goes on in the next body line and is written without a hyphen."""
     first = ev.where("kind = '1'").groupBy("path", F.col("page").alias("next_page")).agg(F.min(F.struct("candidate_no", "a")).getField("a").alias("b"))
@@ -415,7 +420,7 @@ def broken_lines(ev: DataFrame, vocab: DataFrame) -> DataFrame:
     verdict = F.when(F.col("mark") == "-", lower & ((j > k) | ((j == 0) & (k == 0)))).otherwise(lower & (j > PART_RATIO * rarer_part))
     judged = looked.select("a", "b", "mark", verdict.alias("broken")).where("broken")
     sure = every.where(soft | ((F.col("mark") == "-") & F.col("b").isNull())).select("candidate_no", "line_no")
-    found_open = every.withColumn("mark", F.coalesce("mark", F.lit(""))).join(judged.select("a", "b", "mark"), ["a", "b", "mark"], "left_semi")
+    found_open = small_join(every.withColumn("mark", F.coalesce("mark", F.lit(""))), rt.written(judged.select("a", "b", "mark"), "ocr-broken"), ["a", "b", "mark"], "left_semi")
     return sure.unionByName(found_open.select("candidate_no", "line_no")).distinct()
 
 
@@ -439,7 +444,7 @@ class Repair:
     def lines(self) -> DataFrame:
         """(candidate_no, line_no, kind)."""
         tokens = self.events.where("kind = 't'").select("candidate_no", "line_no", F.col("a").alias("word"))
-        bad = tokens.join(self.misread.select("word"), "word", "left_semi").select("candidate_no", "line_no", F.lit("misread_word").alias("kind"))
+        bad = small_join(tokens, self.misread.select("word"), ["word"], "left_semi").select("candidate_no", "line_no", F.lit("misread_word").alias("kind"))
         furniture = self.furniture().withColumn("kind", F.lit("furniture"))
         broken = self.broken.select("candidate_no", "line_no", F.lit("broken_word").alias("kind"))
         return furniture.unionByName(broken).unionByName(bad).distinct()
@@ -459,13 +464,16 @@ def repair(spark: SparkSession, sf_dir: str) -> Repair:
     accepted = rows.where("decision = 'accept' and text is not null and originaltext is not null")
     share = min(1.0, FIT_PAGES / max(1, rt.table(spark, sf_dir, "ocr_candidates", "decision").where("decision = 'accept'").count()))
     sample = accepted.where(F.pmod(F.xxhash64("candidate_no"), F.lit(1_000_000)) < int(share * 1_000_000)).limit(2 * FIT_PAGES)
-    got = sample.select("candidate_no", "originaltext", "text", "page", "document_title", "pack_title", "pack_id").collect()
+    sample = rt.written(sample.select("candidate_no", "originaltext", "text", "page", "document_title", "pack_title", "pack_id"), "ocr-sample")
+    # whole pages up to FIT_CHARS characters in order of a hash; the rows are bounded
+    so_far = F.sum(F.length("originaltext") + F.length("text")).over(Window.orderBy(F.xxhash64("candidate_no"), "candidate_no"))
+    got = sample.withColumn("chars", so_far).where(F.col("chars") <= FIT_CHARS).drop("chars").collect()
     got = sorted(got, key=lambda r: r["candidate_no"])
     model = fit([(lines_of(r[1]), r[2], r[3], [r[4] or "", r[5] or ""], r[6]) for r in got])
     pages = rows.select("candidate_no", "originaltext", "page", "document_title", "pack_title", "pack_id", "source_path")
     ev = rt.written(events(pages, model), "ocr-events", ["kind"])
     vocab = rt.written(vocabulary(ev), "ocr-vocabulary")
-    return Repair(pages, model, ev, misread_words(ev, vocab, model), broken_lines(ev, vocab))
+    return Repair(pages, model, ev, rt.written(misread_words(ev, vocab, model), "ocr-misread"), broken_lines(ev, vocab))
 
 
 def found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -498,7 +506,7 @@ def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = repair(spark, sf_dir)
     of = lambda df, kind, name: df.groupBy("candidate_no").agg(F.collect_set("line_no").alias(name))  # noqa: E731, ARG005
     tokens = r.events.where("kind = 't'").select("candidate_no", F.col("a").alias("word"))
-    fixes = tokens.join(r.misread.where("repaired is not null"), "word").groupBy("candidate_no").agg(F.collect_set(F.struct("word", "repaired")).alias("fixes"))
+    fixes = small_join(tokens, r.misread.where("repaired is not null"), ["word"], "inner").groupBy("candidate_no").agg(F.collect_set(F.struct("word", "repaired")).alias("fixes"))
     # the collected sets are the lines and words of one page
     pages = (
         r.pages.select("candidate_no", "originaltext")

@@ -36,19 +36,29 @@ BOUNDARIES = [
     ("word", re.compile(r"\s+")),
 ]
 CLUSTER = regex.compile(r"\X")
+#: Characters looked back at first for the start of a grapheme cluster.
 CLUSTER_REACH = 64
 
 
 def cluster_start(text: str, at: int, low: int) -> int:
-    """The largest start of a grapheme cluster not after `at` and above `low`; `at` itself if there is none."""
-    base = max(low, at - CLUSTER_REACH)
-    best = None
-    for m in CLUSTER.finditer(text, base):
-        if m.start() > at:
-            break
-        if m.start() > base:
-            best = m.start()
-    return at if best is None else best
+    """The largest start of a grapheme cluster not after `at` and above `low`; `at` itself if there is none.
+
+    Looks back CLUSTER_REACH characters, and twice as far as long as these lie within one cluster.
+    """
+    reach = CLUSTER_REACH
+    while True:
+        base = max(low, at - reach)
+        best = None
+        for m in CLUSTER.finditer(text, base):
+            if m.start() > at:
+                break
+            if m.start() > base:
+                best = m.start()
+        if best is not None:
+            return best
+        if base == low:
+            return at
+        reach *= 2
 
 
 def strongest(text: str, low: int, high: int, wanted: int) -> tuple[int, str] | None:
@@ -134,38 +144,67 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return oversized(sections).where(F.size("cuts") > 1).select("section_row")
 
 
+#: Rounds in which sections whose ids are taken try their next form. Forms hold the row number, so few rounds suffice.
+MOST_ROUNDS = 50
+#: The beginning of an id of the form of a piece's.
+STEM = r"^(.*)-part-\d+$"
+
+
+def stems(sections: DataFrame) -> DataFrame:
+    """(section_row, stem) of the oversized sections; stem-part-k is unique in the document, whatever ids it has.
+
+    The first delivery of section s tries the stem ``s``, any other delivery, and a section without id, ``s-row<section_row>``;
+    where another section wants the same stem, or an id of the document begins with it as a piece's id does, the next form
+    ``s-row<section_row>-2``, ``-3`` … is tried. An id of that form ends with ``-part-`` and a number in one way only, so pieces
+    have equal ids only if they have equal stems. Null packs, documents and ids are values like others.
+    """
+    place, own = F.to_json(F.struct("pack_id", "document_id")), F.to_json(F.struct("section_id"))
+    ids = sections.select("section_row", place.alias("place"), own.alias("own"), "section_id", (F.length("text") > LIMIT).alias("long"))
+    taken = ids.select("place", F.regexp_extract("section_id", STEM, 1).alias("stem")).where(F.col("section_id").rlike(STEM)).distinct()
+    taken = rt.written(taken, "taken-stems")
+    long = ids.where("long").groupBy("section_row").agg(*[F.min(c).alias(c) for c in ("place", "own", "section_id")])
+    first = long.groupBy("place", "own").agg(F.min("section_row").alias("first_row"))
+    left = rt.written(long.join(first, ["place", "own"]), "long-sections")
+    done, row = None, F.col("section_row").cast("string")
+    base = F.coalesce("section_id", F.lit("section"))
+    for turn in range(MOST_ROUNDS):
+        if turn:
+            form = F.concat(base, F.lit("-row"), row, F.lit(f"-{turn + 1}"))
+        else:
+            form = F.when((F.col("section_row") == F.col("first_row")) & F.col("section_id").isNotNull(), base).otherwise(F.concat(base, F.lit("-row"), row))
+        tried = left.withColumn("stem", form)
+        free = tried.groupBy("place", "stem").agg(F.count(F.lit(1)).alias("n")).where("n = 1").drop("n").join(taken, ["place", "stem"], "left_anti")
+        judged = rt.written(tried.join(free.withColumn("free", F.lit(True)), ["place", "stem"], "left"), "stems")
+        got = judged.where("free")
+        done = got if done is None else done.unionByName(got)
+        left = judged.where("free is null").drop("free", "stem")
+        if left.isEmpty():
+            return done.select("section_row", "stem")
+        taken = taken.unionByName(got.select("place", "stem"))
+    raise RuntimeError(f"no free ids after {MOST_ROUNDS} forms")
+
+
+def _piece_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    shape = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("kind", pa.string()), ("text", pa.string())]))
+    for batch in batches:
+        out = [[{"start": a, "stop": b, "kind": k, "text": t[a:b]} for a, b, k in cut(t)] for t in batch.column(5).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(out, shape)], names=["section_row", "pack_id", "document_id", "section_id", "title", "cuts"])
+
+
 def pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pieces of every oversized section with ids that are unique in the document.
+    """The pieces of every oversized section with ids that are unique in the document (see stems).
 
-    Piece k of the first delivery of section s is ``s-part-k``; other deliveries
-    of the same id get ``s-row<section_row>-part-k``. Where the document already
-    has ids of that form for s, more hyphens are put before ``part``.
+    A row that is delivered again with its own number is the same section: its pieces come out again under the same ids.
     """
     sections = rt.table(spark, sf_dir, "lnote_sections", "section_row", "pack_id", "document_id", "section_id", "title", "text")
-    keys = ["pack_id", "document_id", "section_id"]
-    long = sections.where(F.length("text") > LIMIT)
-    first = long.groupBy(*keys).agg(F.min("section_row").alias("first_row"))
-    form = r"^(.*?)(?:-row\d+)?(-+)part-\d+$"
-    taken = (
-        sections.select("pack_id", "document_id", F.regexp_extract("section_id", form, 1).alias("base"), F.regexp_extract("section_id", form, 2).alias("dashes"))
-        .where("dashes <> ''")
-        .groupBy("pack_id", "document_id", F.col("base").alias("section_id"))
-        .agg(F.max(F.length("dashes")).alias("dashes"))
-    )
-    own = first.join(taken, keys, "left").withColumn("dashes", F.repeat(F.lit("-"), F.coalesce("dashes", F.lit(0)) + 1))
-    rows = rt.skew_join(long, own, keys, "left").select(
-        "section_row", *keys, "title", "text",
-        F.concat(
-            "section_id",
-            F.when(F.col("section_row") == F.col("first_row"), "").otherwise(F.concat(F.lit("-row"), F.col("section_row").cast("string"))),
-            "dashes", F.lit("part-"),
-        ).alias("stem"),
-    )
-    cuts = oversized(rows)
-    each = cuts.select("section_row", F.size("cuts").alias("piece_count"), F.posexplode("cuts").alias("at", "c"))
-    return each.join(rows, "section_row").select(
-        "section_row", *keys, "title", (F.col("at") + 1).alias("piece_no"), "piece_count",
-        F.concat("stem", (F.col("at") + 1).cast("string")).alias("piece_section_id"),
-        F.col("c.start").alias("start"), F.col("c.stop").alias("stop"), F.col("c.kind").alias("boundary"),
-        F.expr("substring(text, c.start + 1, c.stop - c.start)").alias("piece_text"),
+    sections = sections.withColumn("section_row", F.col("section_row").cast("long"))
+    shape = "section_row long, pack_id string, document_id string, section_id string, title string, cuts array<struct<start:int, stop:int, kind:string, text:string>>"
+    cuts = sections.where(F.length("text") > LIMIT).mapInArrow(_piece_batches, shape)
+    named = rt.written(stems(sections), "piece-stems")
+    each = cuts.join(F.broadcast(named) if rt.fits_broadcast(named) else named, "section_row")
+    each = each.select("*", F.size("cuts").alias("piece_count"), F.posexplode("cuts").alias("at", "c"))
+    return each.select(
+        "section_row", "pack_id", "document_id", "section_id", "title", (F.col("at") + 1).alias("piece_no"), "piece_count",
+        F.concat("stem", F.lit("-part-"), (F.col("at") + 1).cast("string")).alias("piece_section_id"),
+        F.col("c.start").alias("start"), F.col("c.stop").alias("stop"), F.col("c.kind").alias("boundary"), F.col("c.text").alias("piece_text"),
     )

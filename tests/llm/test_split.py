@@ -75,6 +75,19 @@ def test_piece_ids_are_unique_and_rows_are_whole(spark, save):
         assert own[-1][1] == len(text[row])
 
 
+def test_ids_of_nulls_and_lookalike_ids(spark, save):
+    long = "Ein Satz. " * 900
+    rows = [
+        (5, "p", "d", "s", "t", long, "x"), (6, "p", "d", "s", "t", long, "x"), (7, "p", "d", "s-row6", "t", long, "x"), (8, "p", "d", "s-row6-2-part-9", "t", "x", "x"),
+        (9, None, "d", "s", "t", long, "x"), (10, None, None, None, "t", long, "x"), (11, None, None, None, "t", long, "x"), (12, "p", "d", "s-row7", "t", long, "x"),
+    ]
+    out = split.pieces(spark, save("lnote_sections", rows, SEC)).collect()
+    ids = [(r["pack_id"], r["document_id"], r["piece_section_id"]) for r in out]
+    assert len(ids) == len(set(ids)) and all(i[2] for i in ids)
+    assert {r["section_row"] for r in out} == {5, 6, 7, 9, 10, 11, 12}
+    assert ("p", "d", "s-row6-2-part-1") not in ids and ("p", "d", "s-part-1") in ids
+
+
 def test_empty_table(spark, save):
     where = save("lnote_sections", [], SEC)
     assert split.found(spark, where).count() == 0
