@@ -90,7 +90,7 @@ def slugify(c: Column, fallback: str = "item", composed: bool = False) -> Column
 def snippet_around(text: Column, terms: list[str], length: int = 260) -> Column:
     """About `length` characters from 32 % before the first term of the normalised text, with ellipses at cut ends."""
     source = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
-    normal = normalize_text(source, composed=True)
+    normal = normalize_text(source)
     places = [F.when(F.locate(t, normal) > 0, F.locate(t, normal) - 1) for t in terms]
     first = F.least(*places, F.lit(None).cast("int")) if len(places) > 0 else F.lit(None).cast("int")
     start = F.greatest(F.lit(0), F.coalesce(first - int(length * 0.32), F.lit(0)))
@@ -225,7 +225,7 @@ def mime_type(c: Column) -> Column:
     return F.coalesce(table[e], F.when(e.isin(TEXTUAL), "text/plain").otherwise("application/octet-stream"))
 
 
-def stable_id(first: Column, *rest: Column, composed: bool = True) -> Column:
+def stable_id(first: Column, *rest: Column, composed: bool = False) -> Column:
     """slug(first) and twelve hex digits of the SHA-256 of all parts joined by U+241F."""
     return F.concat_ws(".", slugify(first, composed=composed), F.substring(F.sha2(F.concat_ws("␟", first, *rest), 256), 1, 12))
 
@@ -372,7 +372,7 @@ def short_hash(s: pd.Series) -> pd.Series:
 
 def highlight_ranges(text: Column, terms: list[str]) -> Column:
     """Merged [start, stop) ranges of the terms in the normalised text, from left to right."""
-    normal = normalize_text(text, composed=True)
+    normal = normalize_text(text)
     found = [
         F.transform(
             F.filter(F.sequence(F.lit(1), F.greatest(F.length(normal), F.lit(1))), _starts(normal, t)),

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon import runtime as rt
 from quillon.functions import text as tx
 
 
@@ -23,6 +24,65 @@ class Mode:
 MODES = {"compact": Mode(4, 1300, 5600), "detailed": Mode(8, 1700, 11000, 3)}
 
 
+def search_limit(mode: str) -> int:
+    """Results a question's search asks for."""
+    return max(18, 4 * MODES[mode].sources)
+
+
+def base_sources(results: DataFrame, mode: str = "compact") -> DataFrame:
+    """(answer_id, ord, section_ref): the best sections among the ranked results (answer_id, rank, id, kind) of a question, few per answer."""
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.partitionBy("answer_id").orderBy("rank"))
+    best = results.where("kind = 'section'").withColumn("ord", place).where(F.col("ord") <= MODES[mode].sources)
+    return best.select("answer_id", "ord", F.col("id").alias("section_ref"))
+
+
+def collected(base: DataFrame, records: DataFrame, claims: DataFrame, notes: DataFrame, conflicts: DataFrame, query: str, mode: str = "compact") -> dict[str, DataFrame]:
+    """What an answer to a question may rest on.
+
+    base: see base_sources; records: search records of sections; claims (claim_ref, section_ref, text, quote); notes as
+    normalised; conflicts (section_ref, counterpart) of confirmed discrepancies. Returns
+
+    * sources (answer_id, source_no, source_id, section_ref, supplemental, title, document_title, body, claims), the other sides of
+      discrepancies after the sources they differ from,
+    * notes about one of the claims, or whose title or body holds the question, and conflicts, those that contradict or supersede.
+
+    Questions have few sources, so all but the records and claims they look up is small.
+    """
+    refs = discrepancy_expansion(base, conflicts.join(F.broadcast(base.select("section_ref").distinct()), "section_ref", "left_semi"), MODES[mode].discrepancies)
+    refs = rt.written(refs, "evidence-refs")
+    wanted = F.broadcast(refs.select("section_ref").distinct())  # at most sources + discrepancies per answer
+    body = records.select(F.col("id").alias("section_ref"), "title", "document_title", "body").join(wanted, "section_ref", "left_semi")
+    said = rt.written(claims.join(wanted, "section_ref", "left_semi"), "evidence-claims")
+    per = said.groupBy("section_ref").agg(F.count(F.lit(1)).alias("claims"))
+    sources = refs.join(body, "section_ref").join(per, "section_ref", "left").select(
+        "answer_id", "source_no", F.concat(F.lit("S"), "source_no").alias("source_id"), "section_ref", "supplemental", "title", "document_title", "body",
+        F.coalesce("claims", F.lit(0)).alias("claims"),
+    )
+    holds = lambda c: F.contains(F.lower(c), F.lit(query.strip().lower()))
+    about = said.select(F.element_at(F.split("claim_ref", "::"), -1).alias("claim_id")).distinct().withColumn("about", F.lit(True))
+    related = notes.join(F.broadcast(about), "claim_id", "left").where(F.col("about") | holds("title") | holds("body")).drop("about")
+    return {"sources": sources, "claims": said, "notes": related, "conflicts": related.where("relation in ('contradicts', 'supersedes')")}
+
+
+def fragments(sources: DataFrame, claims: DataFrame) -> DataFrame:
+    """(answer_id, source_id, fragment): sentences of the fields of every source and of its claims, each once by its normalised form."""
+    own = sources.select("answer_id", "source_id", F.posexplode(F.array("title", "body", "document_title")).alias("at", "value"))
+    said = sources.select("answer_id", "source_id", "section_ref").join(claims, "section_ref")
+    said = said.select("answer_id", "source_id", F.posexplode(F.array("text", "quote")).alias("at", "value")).withColumn("at", F.col("at") + 3)
+    each = own.unionByName(said).select("answer_id", "source_id", "at", F.posexplode(tx.split_statements(F.col("value"))).alias("n", "sentence"))
+    clean = each.withColumn("fragment", tx.strip_markup(F.col("sentence"))).withColumn("key", tx.normalize_text(F.col("fragment"))).where("key <> ''")
+    first = clean.groupBy("answer_id", "source_id", "key").agg(F.min(F.struct("at", "n", "fragment")).getField("fragment").alias("fragment"))
+    return first.select("answer_id", "source_id", "fragment")
+
+
+def discrepancy_block(sides: DataFrame) -> DataFrame:
+    """Neutral two-sided text of discrepancies: sides (id, type, source_text, source_document, target_text, target_document)."""
+    line = lambda n, s: F.concat(F.lit(f"{n}) "), tx.clip_text(F.coalesce(f"{s}_text", F.lit("")), 600), F.lit(" — "), F.coalesce(f"{s}_document", F.lit("")))
+    return sides.select("id", F.concat_ws("\n", F.concat(F.lit("["), "type", F.lit("]")), line(1, "source"), line(2, "target")).alias("block"))
+
+
 def citation_check(answers: DataFrame, sources: DataFrame) -> DataFrame:
     """answers (answer_id, text), sources (answer_id, source_id) → valid and invalid citations; grounded with at least one valid and none invalid."""
     allowed = sources.groupBy("answer_id").agg(F.collect_set("source_id").alias("allowed"))  # the few sources of one answer

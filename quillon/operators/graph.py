@@ -48,7 +48,7 @@ def nodes_raw(spark: SparkSession, d: str) -> DataFrame:
     dc, dp = own(inferred_category(F.col("title"), F.col("summary"), F.col("tags_json")), F.col("pack_categories"))
     docs = doc.select(*row(F.concat_ws(":", F.lit("document"), "pack_id", "document_id"), "document", F.col("title"), F.col("document_order"), dc, dp))
     sec = rt.skew_join(
-        model.sections(spark, d).select("section_row", "pack_id", "document_id", "section_id", "title", "tags_json"),
+        model.sections(spark, d, False).select("section_row", "pack_id", "document_id", "section_id", "title", "tags_json"),
         doc.select("pack_id", "document_id", dc.alias("document_categories")), ["pack_id", "document_id"], "inner",
     )
     sc, sp = own(inferred_category(F.col("title"), F.col("tags_json")), F.col("document_categories"))
@@ -83,7 +83,7 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
     """contains and mentions edges between existing nodes, each once, without loops: (type, source, target)."""
     pack = model.packs(spark, d).select(F.col("id").alias("pack_id"))
     doc = model.documents(spark, d).join(pack, "pack_id").select("pack_id", "document_id")
-    sec = rt.skew_join(model.sections(spark, d).select("pack_id", "document_id", "section_id", "entity_ids_json"), doc, ["pack_id", "document_id"], "left_semi")
+    sec = rt.skew_join(model.sections(spark, d, False).select("pack_id", "document_id", "section_id", "entity_ids_json"), doc, ["pack_id", "document_id"], "left_semi")
     node = lambda kind, *c: F.concat_ws(":", F.lit(kind), *c)
     edge = lambda df, kind, a, b: df.select(F.lit(kind).alias("type"), a.alias("source"), b.alias("target"))
     refs = sec.select("pack_id", "document_id", "section_id", F.explode(model.strings("entity_ids_json")).alias("entity_id"))

@@ -16,10 +16,22 @@ def strings(c: str | Column) -> Column:
     return F.coalesce(F.from_json(c, "array<string>"), F.array().cast("array<string>"))
 
 
-def live(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """The last delivery that is not deleted of every key (aggregated before the shuffle, so hot keys do no harm)."""
+def live(df: DataFrame, keys: Sequence[str], order: str, texts: bool = False) -> DataFrame:
+    """The last delivery that is not deleted of every key (aggregated before the shuffle, so hot keys do no harm).
+
+    order is a unique row number. texts: rows hold long texts; then only keys and numbers are aggregated, and the rows of
+    earlier deliveries, which are few, are left out of a scan that does not shuffle.
+    """
     if "deleted_at" in df.columns:
-        df = df.where("deleted_at is null")
+        df = df.where("deleted_at is null").drop("deleted_at")
+    if texts:
+        slim = df.select(*keys, order)
+        last = slim.groupBy(*keys).agg(F.max(order).alias("__last"), F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
+        last = rt.written(last, "delivered-again")
+        last = F.broadcast(last) if rt.fits_broadcast(last) else last
+        same = [slim[k].eqNullSafe(last[k]) for k in keys]
+        earlier = rt.written(slim.join(last, same).where(F.col(order) < F.col("__last")).select(slim[order]), "earlier-deliveries")
+        return df.join(F.broadcast(earlier) if rt.fits_broadcast(earlier) else earlier, order, "left_anti").select(df.columns)
     rest = [c for c in df.columns if c not in (*keys, order)]
     last = df.groupBy(*keys).agg(F.max(F.struct(order, *rest)).alias("r"))
     return last.select(*keys, F.col(f"r.{order}").alias(order), *[F.col(f"r.{c}").alias(c) for c in rest])
@@ -30,9 +42,10 @@ def documents(spark: SparkSession, d: str) -> DataFrame:
     return live(rt.table(spark, d, "lnote_documents", *cols), ["pack_id", "document_id"], "document_order")
 
 
-def sections(spark: SparkSession, d: str, *extra: str) -> DataFrame:
-    cols = ["section_row", "pack_id", "document_id", "section_id", "section_order", "title", "text", "entity_ids_json", "tags_json", "deleted_at", *extra]
-    return live(rt.table(spark, d, "lnote_sections", *cols), ["pack_id", "document_id", "section_id"], "section_row")
+def sections(spark: SparkSession, d: str, text: bool = True) -> DataFrame:
+    """Live sections, with their texts or without."""
+    cols = ["section_row", "pack_id", "document_id", "section_id", "section_order", "title", "entity_ids_json", "tags_json", "deleted_at", *(["text"] if text else [])]
+    return live(rt.table(spark, d, "lnote_sections", *cols), ["pack_id", "document_id", "section_id"], "section_row", text)
 
 
 def entities(spark: SparkSession, d: str) -> DataFrame:
@@ -133,16 +146,84 @@ def conflict_sides(spark: SparkSession, d: str) -> DataFrame:
         F.col("pack_id").alias("p"), F.col("document_id").alias("source_document_id"), F.col("title").alias("document_title"),
         F.coalesce("effective_from", F.get_json_object("source_json", "$.publishedAt"), F.get_json_object("source_json", "$.date")).alias("date"),
     )
-    cla = claims(spark, d).withColumn("p", F.col("pack_id")).join(doc, ["p", "source_document_id"], "left")
+    cla = rt.skew_join(claims(spark, d).withColumn("p", F.col("pack_id")), doc, ["p", "source_document_id"], "left")
     side = lambda s: cla.select(
         tx.qualify(F.col("pack_id"), F.col("claim_id")).alias(f"{s}_ref"), F.col("text").alias(f"{s}_text"),
         F.coalesce("document_title", F.col("source_document_id")).alias(f"{s}_document"), F.col("date").alias(f"{s}_date"),
     )
-    return rel.join(side("source"), "source_ref", "left").join(side("target"), "target_ref", "left").withColumn(
+    found = rt.skew_join(rt.skew_join(rel, side("source"), ["source_ref"], "left"), side("target"), ["target_ref"], "left")
+    return found.withColumn(
         "resolved", F.col("source_text").isNotNull() & F.col("target_text").isNotNull()
     )
 
 
+# Types and states of statement relations.
+RELATION_TYPES = ["supports", "contradicts", "refines", "supersedes", "equivalent", "different_scope"]
+RELATION_STATES = ["proposed", "confirmed", "dismissed"]
+
+
+def relation_violations(relation_rows: DataFrame, claim_rows: DataFrame) -> DataFrame:
+    """(relation_order, rule) of the rules that statement relations break.
+
+    relation_rows: (relation_order, pack_id, relation_id, source_claim_id, target_claim_id, type, status, confidence);
+    claim_rows: (pack_id, claim_id). A relation names two different claims, has a type and a state of the lists and a confidence
+    from 0 to 1, has an id of its own in its pack, and claims of its own pack exist. A null state or confidence is none.
+    """
+    blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    ref = {s: tx.qualify(F.col("pack_id"), F.col(f"{s}_claim_id")) for s in ("source", "target")}
+    rows = relation_rows.withColumns({f"{s}_ref": c for s, c in ref.items()})
+    weight = F.col("confidence").cast("double")
+    own = F.array_compact(F.array(
+        F.when(blank(F.col("relation_id")), "id_missing"), F.when(F.col("source_ref") == "", "source_missing"), F.when(F.col("target_ref") == "", "target_missing"),
+        F.when((F.col("source_ref") != "") & (F.col("source_ref") == F.col("target_ref")), "same_statement"),
+        F.when(~F.coalesce(F.col("type").isin(RELATION_TYPES), F.lit(False)), "type_unsupported"),
+        F.when(F.col("status").isNotNull() & ~F.col("status").isin(RELATION_STATES), "status_unsupported"),
+        F.when(F.col("confidence").isNotNull() & ~F.coalesce(weight.between(0, 1), F.lit(False)), "confidence_out_of_range"),
+    ))
+    broken = rows.select("relation_order", F.explode(own).alias("rule"))
+    named = rows.where(~blank(F.col("relation_id"))).select("relation_order", "pack_id", F.trim("relation_id").alias("id"))
+    first = named.groupBy("pack_id", "id").agg(F.min("relation_order").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    again = named.join(first, ["pack_id", "id"]).where("relation_order > first").select("relation_order", F.lit("id_repeated").alias("rule"))
+    local = rows.select("relation_order", "pack_id", F.explode(F.array("source_ref", "target_ref")).alias("claim_ref")).where(F.col("claim_ref").startswith(F.concat("pack_id", F.lit("::"))))
+    known = claim_rows.select(tx.qualify(F.col("pack_id"), F.col("claim_id")).alias("claim_ref")).distinct()
+    missing = rt.skew_join(local, known, ["claim_ref"], "left_anti").select("relation_order", F.lit("statement_unknown").alias("rule"))
+    return broken.unionByName(again).unionByName(missing)
+
+
+def conflict_sections(spark: SparkSession, d: str) -> DataFrame:
+    """(section_ref, counterpart): ids of search records whose claims a confirmed diverging relation connects, in both directions."""
+    sides = conflict_sides(spark, d).where("resolved and status = 'confirmed'").select("source_ref", "target_ref")
+    place = claims(spark, d).select(
+        tx.qualify(F.col("pack_id"), F.col("claim_id")).alias("claim_ref"),
+        F.concat(F.lit("section:"), "pack_id", F.lit(":"), "source_document_id", F.lit(":"), "source_section_id").alias("ref"),
+    ).where("ref is not null")
+    a = rt.skew_join(sides, place.select(F.col("claim_ref").alias("source_ref"), F.col("ref").alias("section_ref")), ["source_ref"], "inner")
+    both = rt.skew_join(a, place.select(F.col("claim_ref").alias("target_ref"), F.col("ref").alias("counterpart")), ["target_ref"], "inner")
+    both = both.select("section_ref", "counterpart").where("section_ref <> counterpart")
+    return both.unionByName(both.select(F.col("counterpart").alias("section_ref"), F.col("section_ref").alias("counterpart"))).distinct()
+
+
+def conflict_annotations(spark: SparkSession, d: str) -> DataFrame:
+    """Where conflicts are shown in a section: after the exact quote of a claim in conflict, else at the end of the text.
+
+    (section_row, position, exact, claims, conflicts), one row per position; positions count characters from 0.
+    """
+    sides = conflict_sides(spark, d).where("resolved")
+    ends = sides.select("relation_order", F.explode(F.array_distinct(F.array("source_ref", "target_ref"))).alias("claim_ref"))
+    cla = claims(spark, d).select(
+        tx.qualify(F.col("pack_id"), F.col("claim_id")).alias("claim_ref"), "pack_id", F.col("source_document_id").alias("document_id"),
+        F.col("source_section_id").alias("section_id"), F.trim(F.coalesce("source_quote", F.lit(""))).alias("quote"),
+    )
+    told = rt.skew_join(ends, cla, ["claim_ref"], "inner")
+    body = sections(spark, d).select("section_row", "pack_id", "document_id", "section_id", F.coalesce("text", F.lit("")).alias("text"))
+    placed = rt.skew_join(told, body, ["pack_id", "document_id", "section_id"], "inner")
+    at = F.when(F.col("quote") != "", F.expr("locate(quote, text)")).otherwise(0)
+    placed = placed.select("section_row", "claim_ref", "relation_order", (at > 0).alias("exact"), F.when(at > 0, at - 1 + F.length("quote")).otherwise(F.length("text")).alias("position"))
+    return placed.groupBy("section_row", "position").agg(
+        F.max("exact").alias("exact"), F.count_distinct("claim_ref").alias("claims"), F.count_distinct("relation_order").alias("conflicts")
+    )
+
+
 def conflicts_by_claim(spark: SparkSession, d: str) -> DataFrame:
     """Symmetric index: per claim the number of diverging relations with resolved sides."""
     c = conflict_sides(spark, d).where("resolved")
@@ -180,7 +261,7 @@ def catalog_reconciliation(spark: SparkSession, d: str) -> DataFrame:
 
 def mentions(spark: SparkSession, d: str) -> DataFrame:
     """Per entity: sections that list it, and the least of their ids."""
-    refs = sections(spark, d).select("pack_id", "document_id", "section_id", F.explode(F.array_distinct(strings("entity_ids_json"))).alias("entity_id"))
+    refs = sections(spark, d, False).select("pack_id", "document_id", "section_id", F.explode(F.array_distinct(strings("entity_ids_json"))).alias("entity_id"))
     known = rt.skew_join(refs, entities(spark, d).select("pack_id", "entity_id"), ["pack_id", "entity_id"], "left_semi")
     return known.groupBy("pack_id", "entity_id").agg(F.count(F.lit(1)).alias("section_count"), F.min(F.concat_ws("/", "document_id", "section_id")).alias("first_section"))
 
@@ -191,10 +272,10 @@ def detected_entities(spark: SparkSession, d: str) -> DataFrame:
     An equi-join on the term's first token, then the exact test, replaces a nested loop over all pairs.
     """
     term = F.explode(F.concat(F.array("name"), strings("aliases_json"))).alias("term")
-    ent = entities(spark, d).select("pack_id", "entity_id", term).select("pack_id", "entity_id", tx.normalize_text(F.col("term"), composed=True).alias("name"))
+    ent = entities(spark, d).select("pack_id", "entity_id", term).select("pack_id", "entity_id", tx.normalize_text(F.col("term")).alias("name"))
     ent = ent.where("name <> ''").distinct()
     ent = ent.withColumn("token", F.get(F.regexp_extract_all("name", F.lit(tx.TOKEN), F.lit(0)), F.lit(0))).where("token is not null")
-    said = claims(spark, d).select("claim_order", "pack_id", tx.normalize_text(F.col("text"), composed=True).alias("body"))
+    said = claims(spark, d).select("claim_order", "pack_id", tx.normalize_text(F.col("text")).alias("body"))
     words = said.select("claim_order", "pack_id", "body", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit(tx.TOKEN), F.lit(0)))).alias("token"))
     first = ent.select("pack_id", "token").distinct()
     hits = rt.skew_join(words.drop("body"), first, ["pack_id", "token"], "left_semi")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,17 +11,48 @@ from quillon import runtime as rt
 from quillon.functions import chronology as ch
 from quillon.functions import quantities as qt
 from quillon.functions import text as tx
-from quillon.operators import compare, evidence, graph, model, search, tasks
+from quillon.operators import compare, evidence, graph, model, notes, search, tasks
 from quillon.sources import database, documents as docs_src
 
 QUERY = "urine sample storage проба мочи"
 PREFIX = "sam"
+EXPANDED = "Vudobibezil infant formula and Lugosaditral"
 EGO = "pack:kb.babivinodor.en"
 
 
 # ---------------------------------------------------------------- SQL building blocks
+def _compatibility() -> tuple[list[tuple[str, str]], str, str]:
+    """What compatibility composition does to single characters, made by rule: (one to several), and one to one as two strings."""
+    several, one, other = [], [], []
+    for c in [*range(0xA0, 0xD800), *range(0xF900, 0x10000), *range(0x1D400, 0x1D800)]:
+        to = unicodedata.normalize("NFKC", chr(c))
+        if to != unicodedata.normalize("NFC", chr(c)) and "'" not in to:
+            if len(to) == 1:
+                one.append(chr(c))
+                other.append(to)
+            elif 0x2000 <= c < 0x2200 or c < 0x250 or 0xFB00 <= c < 0xFB07:
+                several.append((chr(c), to))
+    return several, "".join(one), "".join(other)
+
+
+SEVERAL, ONE, OTHER = _compatibility()
+
+
+def s_nfkc(x: str) -> str:
+    """Compatibility composition in DuckDB, which has the canonical one only. Of the mappings to several characters those of
+    letters, punctuation, letterlike signs, fractions and ligatures are stated."""
+    marks = "".join(a for a, _ in SEVERAL)
+    out = f"translate({x}, '{ONE}', '{OTHER}')"
+    each = f"CASE WHEN regexp_matches({x}, '[{marks}]') THEN "
+    for a, b in SEVERAL:
+        each += "replace("
+    each += out + "".join(f", '{a}', '{b}')" for a, b in SEVERAL) + f" ELSE {out} END"
+    return f"CASE WHEN regexp_matches({x}, '[^\x00-\x7F]') THEN nfc_normalize({each}) ELSE {x} END"
+
+
 def s_norm(x: str) -> str:
-    x = f"translate(replace(lower(coalesce({x}, '')), 'ё', 'е'), '{tx.DASHES}', '{'-' * len(tx.DASHES)}')"
+    x = s_nfkc(f"coalesce({x}, '')")
+    x = f"translate(replace(lower({x}), 'ё', 'е'), '{tx.DASHES}', '{'-' * len(tx.DASHES)}')"
     x = f"regexp_replace({x}, '[^\\p{{L}}\\p{{N}}+%./-]+', ' ', 'g')"
     return f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
 
@@ -98,13 +131,13 @@ def text_files(spark: SparkSession, d: str) -> DataFrame:
 def text_claim_facts(spark: SparkSession, d: str) -> DataFrame:
     """Negation and quantities of every claim."""
     rows = rt.table(spark, d, "lnote_claims", "claim_order", "text")
-    facts = F.transform(qt.quantities(F.col("text")), lambda x: F.concat(x["dimension"], F.lit("="), F.format_string("%.6f", x["value"])))
-    return rows.select("claim_order", tx.claim_negation(F.col("text"), True).alias("negated"), F.array_join(F.array_sort(facts), ";").alias("quantities"))
+    facts = F.transform(qt.quantities(F.col("text")), lambda x: F.concat(x["dimension"], F.lit("="), F.format_string("%.9f", x["value"])))
+    return rows.select("claim_order", tx.claim_negation(F.col("text")).alias("negated"), F.array_join(F.array_sort(facts), ";").alias("quantities"))
 
 
 def text_stable_ids(spark: SparkSession, d: str) -> DataFrame:
     rows = rt.table(spark, d, "lnote_entities", "entity_order", "pack_id", "entity_id")
-    return rows.select("entity_order", F.substring(F.sha2(F.concat_ws("␟", "pack_id", "entity_id"), 256), 1, 12).alias("digest"))
+    return rows.select("entity_order", F.element_at(F.split(tx.stable_id(F.col("pack_id"), F.col("entity_id")), r"\."), -1).alias("digest"))
 
 
 def text_statements(spark: SparkSession, d: str) -> DataFrame:
@@ -131,6 +164,13 @@ def model_resolved(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("relation_order", "type", "status", "source_ref", "target_ref", "source_document", "target_document", "resolved")
 
 
+def model_relation_violations(spark: SparkSession, d: str) -> DataFrame:
+    """Rules that delivered statement relations break, against the live claims."""
+    rows = rt.table(spark, d, "lnote_statement_relations", "relation_order", "pack_id", "relation_id", "source_claim_id", "target_claim_id", "type", "status", "payload_json")
+    rows = rows.withColumn("confidence", F.get_json_object("payload_json", "$.confidence")).drop("payload_json")
+    return model.relation_violations(rows, model.claims(spark, d).select("pack_id", "claim_id"))
+
+
 def model_packages(spark: SparkSession, d: str) -> DataFrame:
     catalog = model.packs(spark, d).select("id", "version")
     used = rt.table(spark, d, "lnote_documents", "pack_id").distinct().select(F.col("pack_id").alias("id"), F.lit("1.0.0").alias("version"))
@@ -143,64 +183,64 @@ def model_unique_sections(spark: SparkSession, d: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- search
+SOURCES = ["lnote_sections", "lnote_documents", "lnote_entities", "lnote_claims", "catalog"]
+
+
 def _records(spark: SparkSession, d: str) -> DataFrame:
     return model.search_records(spark, d).withColumn("relation", F.lit(None).cast("string"))
 
 
-def _postings(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    records = rt.written(_records(spark, d), "search-records")
-    return records, rt.written(search.token_scores(records, composed=True), "search-postings")
+def _index(spark: SparkSession, d: str) -> search.SearchIndex:
+    """The written index of the tables, built by the first query that needs it."""
+    return search.SearchIndex.opened(spark, rt.files_state(spark, *[f"{d}/{t}.parquet" for t in SOURCES]), lambda: _records(spark, d))
 
 
 def search_vocabulary(spark: SparkSession, d: str) -> DataFrame:
-    postings = search.token_scores(_records(spark, d), composed=True)
-    return postings.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.round(F.sum("score"), 4).alias("weight"))
+    return _index(spark, d).vocabulary.withColumn("weight", F.round("weight", 4))
 
 
 def search_index(spark: SparkSession, d: str) -> DataFrame:
-    """Every posting of every token; search_posting_lists reports the best of them."""
-    records = rt.written(_records(spark, d), "search-records")
-    unique = records.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
-    scores = search.record_token_scores if unique else search.token_scores
-    return search.ranked_postings(rt.written(scores(records, composed=True), "search-postings"))
+    """Every posting of every token; search_best_postings reports the best of them."""
+    return search.ranked_postings(_index(spark, d).postings.select("token", "id", "score"))
 
 
-def search_posting_lists(spark: SparkSession, d: str) -> DataFrame:
-    lists = search.posting_lists(search.token_scores(_records(spark, d), composed=True), 3)
+def search_best_postings(spark: SparkSession, d: str) -> DataFrame:
+    """A report: the three best postings of every token."""
+    lists = search.posting_lists(_index(spark, d).postings, 3)
     return lists.select("token", "df", F.array_join(F.transform("postings", lambda p: p["id"]), ";").alias("best"))
 
 
 def search_top(spark: SparkSession, d: str) -> DataFrame:
-    return search.search_postings(*_postings(spark, d), QUERY, fuzzy=False)
+    return _index(spark, d).search(QUERY, fuzzy=False)
 
 
 def search_fuzzy(spark: SparkSession, d: str) -> DataFrame:
-    return search.search_postings(*_postings(spark, d), "urnie sampel protocl", fuzzy=True)
+    return _index(spark, d).search("urnie sampel protocl", fuzzy=True)
 
 
 def search_bm25(spark: SparkSession, d: str) -> DataFrame:
-    return search.search_bm25(rt.written(_records(spark, d), "search-records"), QUERY, composed=True)
+    return _index(spark, d).bm25(QUERY)
 
 
 def search_fallback(spark: SparkSession, d: str) -> DataFrame:
-    return search.search_fallback(_records(spark, d), QUERY, composed=True)
+    return search.search_fallback(_records(spark, d), QUERY)
 
 
 def search_suggest(spark: SparkSession, d: str) -> DataFrame:
-    return search.suggest(search.vocabulary(search.token_scores(_records(spark, d), composed=True)), PREFIX, 5)
+    return search.suggest(_index(spark, d).vocabulary.select("token", "df"), PREFIX, 5)
 
 
 def search_corrections(spark: SparkSession, d: str) -> DataFrame:
-    return search.corrections(search.vocabulary(_postings(spark, d)[1]), ["sampel", "protocl", "urnie"])
+    return search.corrections(_index(spark, d).vocabulary.select("token", "df"), ["sampel", "protocl", "urnie"])
 
 
 def search_stats(spark: SparkSession, d: str) -> DataFrame:
-    return search.index_stats(search.token_scores(_records(spark, d), composed=True))
+    return search.index_stats(_index(spark, d).postings)
 
 
 def search_expansion(spark: SparkSession, d: str) -> DataFrame:
     ents = rt.table(spark, d, "lnote_entities", F.col("entity_order").alias("entity_id"), "name", model.strings("aliases_json").alias("aliases"))
-    return search.expanded_query(ents, "Vudobibezil infant formula and Lugosaditral")
+    return search.expanded_query(ents, EXPANDED)
 
 
 # ---------------------------------------------------------------- compare, chronology
@@ -210,20 +250,37 @@ def _claim_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _claim_texts(spark: SparkSession, d: str) -> DataFrame:
-    return model.claims(spark, d).select(
-        tx.qualify(F.col("pack_id"), F.col("claim_id")).alias("claim_ref"), "text", F.col("source_quote").alias("quote"), F.col("subject_id").alias("subject"), F.col("object_id").alias("object")
+    """Live claims with what comparison reads of them and of their documents."""
+    said = lambda f: F.get_json_object("source_json", f"$.{f}")
+    edition = lambda f: F.get_json_object("source_json", f"$.edition.{f}")
+    docs = model.documents(spark, d).select(
+        "pack_id", F.col("document_id").alias("source_document_id"),
+        F.struct(
+            F.concat_ws("::", "pack_id", "document_id").alias("document_ref"), F.col("document_id").alias("document_id"),
+            F.coalesce(said("publishedAt"), said("date")).alias("published_at"), F.col("effective_from").alias("valid_from"), said("effectiveUntil").alias("valid_until"),
+            edition("seriesId").alias("series_id"), edition("identifier").alias("identifier"), edition("comparisonAlgorithm").alias("algorithm"),
+            edition("predecessor").alias("predecessor"), edition("relationToPredecessor").alias("relation_to_predecessor"),
+        ).alias("side"),
+    )
+    named = model.entities(spark, d).select("pack_id", F.col("entity_id"), "name")
+    cla = rt.skew_join(model.claims(spark, d), docs, ["pack_id", "source_document_id"], "left")
+    for c in ("subject", "object"):
+        cla = rt.skew_join(cla, named.select("pack_id", F.col("entity_id").alias(f"{c}_id"), F.col("name").alias(f"{c}_name")), ["pack_id", f"{c}_id"], "left")
+    return cla.select(
+        tx.qualify(F.col("pack_id"), F.col("claim_id")).alias("claim_ref"), "text", F.coalesce("source_quote", "text").alias("quote"),
+        F.coalesce("subject_name", "subject_id").alias("subject"), F.coalesce("object_name", "object_id").alias("object"), "side",
     )
 
 
 def compare_related(spark: SparkSession, d: str) -> DataFrame:
     """Discrepancy signals of the claim pairs that statement relations name."""
-    res = compare.resources(_claim_texts(spark, d), composed=True)
+    res = compare.resources(_claim_texts(spark, d))
     return compare.signals(compare.paired(_claim_pairs(spark, d), res))
 
 
 def compare_discrepancies(spark: SparkSession, d: str) -> DataFrame:
     """Discrepancies between any two live claims that no statement relation names yet."""
-    res = compare.resources(_claim_texts(spark, d), composed=True)
+    res = compare.resources(_claim_texts(spark, d))
     return compare.detect(res, res.limit(0), _claim_pairs(spark, d))
 
 
@@ -245,7 +302,8 @@ def chrono_intervals(spark: SparkSession, d: str) -> DataFrame:
     li = rt.table(spark, d, "lineitem", F.col("l_orderkey").alias("o_orderkey"), "l_shipdate")
     rows = li.join(o, "o_orderkey")
     day = lambda c, n: F.col(c) + F.expr(f"INTERVAL {n} DAYS")
-    rel = ch.validity_relation(F.col("o_orderdate"), day("o_orderdate", 30), F.col("l_shipdate"), day("l_shipdate", 10))
+    bounds = [F.col("o_orderdate"), day("o_orderdate", 30), F.col("l_shipdate"), day("l_shipdate", 10)]
+    rel = ch.validity_relation(*[ch.instant(c) for c in bounds])
     return rows.groupBy(rel.alias("relation")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -275,7 +333,7 @@ def evidence_coverage(spark: SparkSession, d: str) -> DataFrame:
     pairs = _claim_pairs(spark, d).join(texts.select(F.col("claim_ref").alias("left_ref"), F.col("text").alias("statement")), "left_ref").join(
         texts.select(F.col("claim_ref").alias("right_ref"), F.col("text").alias("fragment")), "right_ref"
     )
-    return evidence.fragment_support(pairs, composed=True).select("left_ref", "right_ref", "terms", "matched", "coverage", "negation_mismatch")
+    return evidence.fragment_support(pairs).select("left_ref", "right_ref", "terms", "matched", "coverage", "negation_mismatch")
 
 
 def evidence_support(spark: SparkSession, d: str) -> DataFrame:
@@ -293,6 +351,42 @@ def evidence_citations(spark: SparkSession, d: str) -> DataFrame:
     return evidence.citation_check(answers, given)
 
 
+def _claims_by_section(spark: SparkSession, d: str) -> DataFrame:
+    place = F.concat(F.lit("section:"), "pack_id", F.lit(":"), "source_document_id", F.lit(":"), "source_section_id")
+    return model.claims(spark, d).select(tx.qualify(F.col("pack_id"), F.col("claim_id")).alias("claim_ref"), place.alias("section_ref"), "text", F.col("source_quote").alias("quote"))
+
+
+def _collected(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    found = _index(spark, d).search(QUERY, evidence.search_limit("compact"), fuzzy=False, personal_priority=True)
+    results = rt.written(found.select(F.lit(1).cast("long").alias("answer_id"), "rank", "id", F.lit("section").alias("kind")), "results")
+    none = notes.normalized_notes(spark.createDataFrame([], notes.NOTE))
+    return evidence.collected(evidence.base_sources(results), _records(spark, d), _claims_by_section(spark, d), none, model.conflict_sections(spark, d), QUERY)
+
+
+def evidence_base(spark: SparkSession, d: str) -> DataFrame:
+    """The sources of a question before discrepancies are added."""
+    rows = _collected(spark, d)["sources"].where("not supplemental")
+    return rows.select(F.col("section_ref").alias("id"), "title", "document_title", F.md5("body").alias("digest"), "claims")
+
+
+def evidence_sources(spark: SparkSession, d: str) -> DataFrame:
+    """All sources of a question in the order of their numbers, with the other sides of discrepancies."""
+    return _collected(spark, d)["sources"].select("source_id", "section_ref", "supplemental", "title", "document_title", "claims")
+
+
+def evidence_fragments(spark: SparkSession, d: str) -> DataFrame:
+    """Sentences that statements of an answer are checked against."""
+    got = _collected(spark, d)
+    return evidence.fragments(got["sources"], got["claims"])
+
+
+def evidence_prompt(spark: SparkSession, d: str) -> DataFrame:
+    """Source blocks that fit a prompt's budget, for every document as a question of its own."""
+    s = model.sections(spark, d)
+    rows = s.select(F.xxhash64("pack_id", "document_id").alias("answer_id"), F.col("section_row").alias("ord"), F.concat(F.coalesce("title", F.lit("")), F.lit("\n")).alias("heading"), F.col("text").alias("body"))
+    return evidence.packed_prompt(rows).groupBy("answer_id").agg(F.count(F.lit(1)).alias("blocks"), F.sum(F.length("block")).alias("chars"))
+
+
 def evidence_budget(spark: SparkSession, d: str) -> DataFrame:
     """Sources per document that a compact prompt takes."""
     s = model.sections(spark, d)
@@ -367,29 +461,31 @@ def queries() -> dict:
         f.__name__: f
         for f in (
             text_normalized, text_clean, text_snippets, text_files, text_claim_facts, text_stable_ids, text_statements, text_scope, text_slugs, model_records,
-            model_resolved, model_packages, model_unique_sections, search_vocabulary, search_index, search_posting_lists, search_top, search_fuzzy, search_bm25, search_fallback,
+            model_resolved, model_relation_violations, model_packages, model_unique_sections, search_vocabulary, search_index, search_best_postings, search_top, search_fuzzy, search_bm25, search_fallback,
             search_suggest, search_corrections, search_stats, search_expansion, compare_related, compare_discrepancies, compare_subjects, chrono_documents, chrono_intervals,
-            chrono_editions, graph_nodes, graph_degrees, graph_ego, evidence_coverage, evidence_support, evidence_citations, evidence_budget, source_rows,
+            chrono_editions, graph_nodes, graph_degrees, graph_ego, evidence_coverage, evidence_support, evidence_citations, evidence_budget, evidence_base, evidence_sources, evidence_fragments, evidence_prompt, source_rows,
             source_markdown, source_json, ocr_review_state, task_latest, task_summary, task_runnable, task_speed, task_windows, sql_pricing, sql_top_customers,
         )
     }
     named |= {
         "model_merged_entities": model.merged_entities, "model_violations": model.violations, "model_conflicts": model.conflicts_by_claim,
-        "model_reconciliation": model.catalog_reconciliation, "model_mentions": model.mentions, "model_detected_entities": model.detected_entities,
+        "model_reconciliation": model.catalog_reconciliation, "model_mentions": model.mentions, "model_annotations": model.conflict_annotations, "model_detected_entities": model.detected_entities,
     }
     return named
 
 
-def _facts_sql() -> str:
+def _facts_sql(key: str, source: str) -> str:
     units = ", ".join(f"'{u}': '{d}'" for u, (d, _) in qt.UNIT_OF.items())
     factors = ", ".join(f"'{u}': {f!r}::DOUBLE" for u, (_, f) in qt.UNIT_OF.items())
-    text = "replace(lower(coalesce(text, '')), 'ё', 'е')"
+    text = f"replace(lower({s_nfkc("coalesce(text, '')")}), 'ё', 'е')"
     pattern = qt.NUMBER_UNIT.replace("'", "''")
-    return f"""SELECT {{key}}, coalesce(map {{{{{units}}}}}[u], 'number') AS dimension, round(replace(n, ',', '.')::DOUBLE * coalesce(map {{{{{factors}}}}}[u], 1.0), 6) AS value
-      FROM (SELECT {{key}}, unnest(regexp_extract_all({text}, '{pattern}', 1)) AS n, coalesce(unnest(regexp_extract_all({text}, '{pattern}', 2)), '') AS u FROM {{source}}) z"""
+    scale = "pow(10.0, 11 - floor(log10(abs(v))))"
+    return f"""SELECT {key}, coalesce(map {{{units}}}[u], 'number') AS dimension, CASE WHEN v = 0 THEN 0.0 ELSE round(v * {scale}) / {scale} END AS value
+      FROM (SELECT {key}, u, replace(n, ',', '.')::DOUBLE * coalesce(map {{{factors}}}[u], 1.0) AS v FROM (SELECT
+        {key}, unnest(regexp_extract_all(t, '{pattern}', 1)) AS n, coalesce(unnest(regexp_extract_all(t, '{pattern}', 2)), '') AS u FROM (SELECT *, {text} AS t FROM {source}) w) y) z"""
 
 
-def _sql_search_top() -> str:
+def _sql_search_top(first: int = 160) -> str:
     parts = []
     for t in search.query_tokens(QUERY):
         parts.append(f"SELECT '{t}' AS q, token, df, 1.0::DOUBLE AS m FROM vocab WHERE token = '{t}'")
@@ -397,7 +493,7 @@ def _sql_search_top() -> str:
             parts.append(f"SELECT * FROM (SELECT '{t}' AS q, token, df, 0.76::DOUBLE AS m FROM vocab WHERE starts_with(token, '{t}') AND token <> '{t}' ORDER BY token LIMIT 32)")
     return (
         "WITH " + POSTINGS + ", hits AS (" + " UNION ALL ".join(parts) + "), raw AS (SELECT id, sum(score * m / greatest(1.0, log2(2.0 + df))) AS raw FROM posted JOIN hits USING (token) GROUP BY id "
-        "ORDER BY raw DESC, id LIMIT 160), scored AS (SELECT id, title, round(raw * CASE WHEN authority = 'reference' THEN 1.04 ELSE 1.0 END, 6) AS score FROM raw JOIN records USING (id)) " + RANKED.format(40)
+        f"ORDER BY raw DESC, id LIMIT {max(first, 80)}), scored AS (SELECT id, title, round(raw * CASE WHEN authority = 'reference' THEN 1.04 ELSE 1.0 END, 6) AS score FROM raw JOIN records USING (id)) " + RANKED.format(40)
     )
 
 
@@ -455,6 +551,10 @@ def _sql_qualify(ref: str) -> str:
     return f"CASE WHEN contains(trim({ref}), '::') THEN trim({ref}) ELSE pack_id || '::' || trim({ref}) END"
 
 
+def _sql_qualify_or_empty(ref: str) -> str:
+    return f"CASE WHEN coalesce(trim({ref}), '') = '' THEN '' ELSE {_sql_qualify(ref)} END"
+
+
 SIDES = f"""WITH d AS {DOCS}, c0 AS {CLAIMS}, c AS (SELECT c0.pack_id || '::' || claim_id AS ref, text, coalesce(d.title, source_document_id) AS document
     FROM c0 LEFT JOIN d ON d.pack_id = c0.pack_id AND d.document_id = c0.source_document_id),
   rel AS (SELECT relation_order, type, coalesce(status, 'confirmed') AS status, {_sql_qualify('source_claim_id')} AS source_ref, {_sql_qualify('target_claim_id')} AS target_ref
@@ -490,9 +590,8 @@ def _sql_graph_edges() -> str:
 def oracle_sql() -> dict[str, str]:
     clean = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '[ \\t]+\\n', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '^\\s+', ''), '\\s+$', '')"
     source = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
-    facts = _facts_sql()
     negations = ", ".join(f"'{w}'" for w in tx.NEGATIONS)
-    words = "trim(regexp_replace(regexp_replace(replace(lower(trim(coalesce(text, ''))), 'ё', 'е'), '[^\\p{L}\\p{N}%.,°-]+', ' ', 'g'), '\\s+', ' ', 'g'))"
+    words = f"trim(regexp_replace(regexp_replace(replace(lower(trim({s_nfkc("coalesce(text, '')")})), 'ё', 'е'), '[^\\p{{L}}\\p{{N}}%.,°-]+', ' ', 'g'), '\\s+', ' ', 'g'))"
     ext = "regexp_extract(lower(regexp_extract(source_path, '([^/]*)$', 1)), '[^.](\\.[^.]+)$', 1)"
     iso = "^\\d{4}-\\d{2}-\\d{2}T\\d{2}:\\d{2}(:\\d{2}(\\.\\d{1,9})?)?(Z|[+-]\\d{2}:\\d{2})$"
     a, b, c_, d_ = "o_orderdate", "o_orderdate + INTERVAL 30 DAY", "l_shipdate", "l_shipdate + INTERVAL 10 DAY"
@@ -505,9 +604,12 @@ def oracle_sql() -> dict[str, str]:
           SELECT section_row, CASE WHEN length(s) <= 260 THEN s ELSE CASE WHEN a > 0 THEN '…' ELSE '' END || trim(substr(s, a + 1, b - a)) || CASE WHEN b < length(s) THEN '…' ELSE '' END END AS snippet FROM g""",
         "text_files": f"""SELECT candidate_no, {ext} AS extension, trim(regexp_replace(regexp_replace(regexp_extract(source_path, '([^/]*)$', 1), '\\.[^.]+$', ''), '[-_]+', ' ', 'g')) AS title,
           CASE WHEN {ext} = '.pdf' THEN 'pdf' ELSE 'attachment' END AS kind, CASE WHEN {ext} = '.pdf' THEN 'application/pdf' ELSE 'application/octet-stream' END AS mime FROM ocr_candidates""",
-        "text_claim_facts": f"""WITH f AS (SELECT claim_order, string_agg(DISTINCT dimension || '=' || printf('%.6f', value), ';' ORDER BY dimension || '=' || printf('%.6f', value)) AS q
-          FROM ({facts.format(key='claim_order', source='lnote_claims')}) x GROUP BY claim_order)
+        "text_claim_facts": f"""WITH f AS (SELECT claim_order, string_agg(DISTINCT dimension || '=' || printf('%.9f', value), ';' ORDER BY dimension || '=' || printf('%.9f', value)) AS q
+          FROM ({_facts_sql('claim_order', 'lnote_claims')}) x GROUP BY claim_order)
           SELECT claim_order, list_has_any(string_split({words}, ' '), [{negations}]) AS negated, coalesce(q, '') AS quantities FROM lnote_claims LEFT JOIN f USING (claim_order)""",
+        "text_statements": """WITH l AS (SELECT doc_id, unnest(string_split_regex(regexp_replace(coalesce(text, ''), '([.!?])\\s+([\\p{Lu}\\p{N}])', '\\1' || chr(10) || '\\2', 'g'), '\\n+')) AS s,
+          generate_subscripts(string_split_regex(regexp_replace(coalesce(text, ''), '([.!?])\\s+([\\p{Lu}\\p{N}])', '\\1' || chr(10) || '\\2', 'g'), '\\n+'), 1) AS i FROM documents)
+          SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INTEGER AS statement_no, trim(s) AS statement FROM l WHERE trim(s) <> ''""",
         "text_stable_ids": "SELECT entity_order, substr(sha256(pack_id || '␟' || entity_id), 1, 12) AS digest FROM lnote_entities",
         "model_records": f"WITH {RECORDS} SELECT * REPLACE (md5(body) AS body) FROM records",
         "model_merged_entities": f"""WITH e AS {ENTS} SELECT entity_id, arg_min(name, entity_order) AS name, count(DISTINCT pack_id) AS pack_count,
@@ -516,6 +618,20 @@ def oracle_sql() -> dict[str, str]:
         "model_resolved": SIDES + " SELECT relation_order, type, status, source_ref, target_ref, source_document, target_document, resolved FROM sides",
         "model_conflicts": SIDES + """ SELECT claim_ref, count(*) AS conflicts, sum((status = 'confirmed')::INT)::BIGINT AS confirmed FROM
           (SELECT unnest(list_distinct([source_ref, target_ref])) AS claim_ref, status FROM sides WHERE resolved) x GROUP BY claim_ref""",
+        "model_relation_violations": f"""WITH c AS (SELECT DISTINCT {_sql_qualify('claim_id')} AS ref FROM {CLAIMS} x),
+          r AS (SELECT *, {_sql_qualify_or_empty('source_claim_id')} AS s, {_sql_qualify_or_empty('target_claim_id')} AS t, trim(coalesce(relation_id, '')) AS i, payload_json->>'confidence' AS w FROM lnote_statement_relations),
+          n AS (SELECT relation_order, row_number() OVER (PARTITION BY pack_id, i ORDER BY relation_order) AS k FROM r WHERE i <> '')
+          SELECT relation_order, 'id_missing' AS rule FROM r WHERE i = '' UNION ALL SELECT relation_order, 'source_missing' FROM r WHERE s = '' UNION ALL SELECT relation_order, 'target_missing' FROM r WHERE t = ''
+          UNION ALL SELECT relation_order, 'same_statement' FROM r WHERE s <> '' AND s = t UNION ALL SELECT relation_order, 'type_unsupported' FROM r WHERE NOT coalesce({_like('type', model.RELATION_TYPES)}, false)
+          UNION ALL SELECT relation_order, 'status_unsupported' FROM r WHERE status IS NOT NULL AND NOT {_like('status', model.RELATION_STATES)}
+          UNION ALL SELECT relation_order, 'confidence_out_of_range' FROM r WHERE w IS NOT NULL AND NOT coalesce(try_cast(w AS DOUBLE) BETWEEN 0 AND 1, false)
+          UNION ALL SELECT relation_order, 'id_repeated' FROM n WHERE k > 1
+          UNION ALL SELECT relation_order, 'statement_unknown' FROM (SELECT relation_order, pack_id, unnest([s, t]) AS ref FROM r) z WHERE starts_with(ref, pack_id || '::') AND ref NOT IN (SELECT ref FROM c)""",
+        "model_annotations": SIDES.replace("SELECT c0.pack_id || '::' || claim_id AS ref, text,", "SELECT c0.pack_id || '::' || claim_id AS ref, text, c0.pack_id, source_document_id, source_section_id, trim(coalesce(source_quote, '')) AS quote,")
+        + f""", s AS {SECS}, k AS (SELECT DISTINCT relation_order, unnest([source_ref, target_ref]) AS ref FROM sides WHERE resolved),
+          p AS (SELECT section_row, k.ref, relation_order, quote <> '' AND contains(coalesce(s.text, ''), quote) AS exact, strpos(coalesce(s.text, ''), quote) AS place, length(quote) AS q, length(coalesce(s.text, '')) AS n
+                FROM k JOIN c ON c.ref = k.ref JOIN s ON s.pack_id = c.pack_id AND s.document_id = c.source_document_id AND s.section_id = c.source_section_id)
+          SELECT section_row, (CASE WHEN exact THEN place - 1 + q ELSE n END)::INTEGER AS position, max(exact) AS exact, count(DISTINCT ref) AS claims, count(DISTINCT relation_order) AS conflicts FROM p GROUP BY 1, 2""",
         "model_packages": """WITH a AS (SELECT DISTINCT pack_id, '1.0.0' AS installed_version FROM lnote_documents), b AS (SELECT id AS pack_id, version AS catalog_version FROM catalog)
           SELECT coalesce(a.pack_id, b.pack_id) AS pack_id, installed_version, catalog_version, CASE WHEN installed_version IS NULL THEN 'available' WHEN catalog_version IS NULL THEN 'local'
           WHEN installed_version = catalog_version THEN 'current' ELSE 'update' END AS state FROM a FULL JOIN b ON a.pack_id = b.pack_id""",
@@ -534,16 +650,19 @@ def oracle_sql() -> dict[str, str]:
           SELECT DISTINCT claim_order, entity_id FROM s JOIN f USING (pack_id) WHERE token IS NOT NULL AND contains(body, name)
             AND list_contains(regexp_extract_all(body, '[\\p{{L}}\\p{{N}}]+(?:[+./-][\\p{{L}}\\p{{N}}]+)*'), token)""",
         "search_vocabulary": f"WITH {POSTINGS} SELECT token, count(*) AS df, round(sum(score), 4) AS weight FROM posted GROUP BY token",
-        "search_posting_lists": f"""WITH {POSTINGS}, best AS (SELECT token, id, row_number() OVER (PARTITION BY token ORDER BY score DESC, id) AS n FROM posted)
+        "search_best_postings": f"""WITH {POSTINGS}, best AS (SELECT token, id, row_number() OVER (PARTITION BY token ORDER BY score DESC, id) AS n FROM posted)
           SELECT token, df, string_agg(id, ';' ORDER BY n) AS best FROM best JOIN vocab USING (token) WHERE n <= 3 GROUP BY token, df""",
         "search_index": f"WITH {POSTINGS} SELECT token, df, row_number() OVER (PARTITION BY token ORDER BY score DESC, id)::INTEGER AS rank, id, score FROM posted JOIN vocab USING (token)",
         "search_top": _sql_search_top(),
         "search_bm25": _sql_bm25(),
         "search_fallback": _sql_fallback(),
         "search_suggest": f"WITH {POSTINGS} SELECT token, df FROM (SELECT * FROM vocab WHERE starts_with(token, '{PREFIX}') ORDER BY token LIMIT 25) x ORDER BY df DESC, token LIMIT 5",
+        "search_expansion": f"""WITH n AS (SELECT entity_order, unnest(list_concat([name], {LIST.format('aliases_json')})) AS addition FROM lnote_entities),
+          m AS (SELECT entity_order, addition, {s_norm('addition')} AS x FROM n WHERE addition IS NOT NULL)
+          SELECT DISTINCT addition FROM m WHERE entity_order IN (SELECT entity_order FROM m WHERE x <> '' AND contains('{' '.join(search.query_tokens(EXPANDED))}', x))""",
         "search_stats": f"WITH {POSTINGS} SELECT count(DISTINCT id) AS records, count(DISTINCT token) AS tokens, count(*) AS postings FROM posted",
         "compare_subjects": f"""SELECT pack_id, subject_id, dimension, count(DISTINCT claim_id) AS claims, count(DISTINCT value) AS different_values FROM
-          ({facts.format(key='pack_id, subject_id, claim_id', source=f'(SELECT * FROM {CLAIMS} c1 WHERE subject_id IS NOT NULL) c2')}) x GROUP BY ALL""",
+          ({_facts_sql('pack_id, subject_id, claim_id', f'(SELECT * FROM {CLAIMS} c1 WHERE subject_id IS NOT NULL) c2')}) x GROUP BY ALL""",
         "chrono_documents": f"""WITH v AS (SELECT document_order, trim(effective_from) AS v FROM lnote_documents),
           t AS (SELECT document_order, CASE WHEN regexp_matches(v, '^\\d{{4}}$') THEN 'year' WHEN regexp_matches(v, '^\\d{{4}}-\\d{{2}}$') THEN 'month' WHEN regexp_matches(v, '^\\d{{4}}-\\d{{2}}-\\d{{2}}$') THEN 'day'
           WHEN regexp_matches(v, '{iso}') THEN 'instant' END AS precision,
@@ -560,6 +679,9 @@ def oracle_sql() -> dict[str, str]:
         "evidence_citations": """WITH a AS (SELECT claim_order AS answer_id, list_distinct(regexp_extract_all(text || ' [S' || (claim_order % 5) || '] [S1]', '\\[(S\\d+)\\]', 1)) AS c FROM lnote_claims),
           v AS (SELECT answer_id, len(list_filter(c, lambda x: x IN ('S0', 'S1', 'S2')))::INTEGER AS valid, len(list_filter(c, lambda x: x NOT IN ('S0', 'S1', 'S2')))::INTEGER AS invalid FROM a)
           SELECT *, valid > 0 AND invalid = 0 AS grounded FROM v""",
+        "evidence_base": _sql_search_top(72).replace("SELECT id, title, score, row_number()", ", ranked AS (SELECT id, title, score, row_number()")
+        + """) SELECT r.id, r.title, document_title, md5(body) AS digest, (SELECT count(*) FROM c x WHERE 'section:' || x.pack_id || ':' || source_document_id || ':' || source_section_id = r.id) AS claims
+          FROM (SELECT * FROM ranked ORDER BY rank LIMIT 4) r JOIN records USING (id)""",
         "evidence_budget": f"""WITH s AS {SECS}, r AS (SELECT pack_id || '/' || document_id AS answer_id, section_row % 2 = 0 AS supplemental,
           row_number() OVER (PARTITION BY pack_id || '/' || document_id, section_row % 2 = 0 ORDER BY section_row) AS n FROM s)
           SELECT answer_id, count(*) AS taken, sum(supplemental::INT)::BIGINT AS supplemental FROM r WHERE n <= CASE WHEN supplemental THEN 2 ELSE 4 END GROUP BY answer_id""",

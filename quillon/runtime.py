@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import os
 import re
 import shutil
@@ -120,6 +121,19 @@ def drop_path(spark: SparkSession, path: str) -> None:
     fs.delete(at, True)
 
 
+def files_state(spark: SparkSession, *paths: str) -> str:
+    """Digest of names, sizes and times of the files below the paths: it changes when they do. Lists files, reads none."""
+    digest = hashlib.sha256()
+    for path in paths:
+        fs, at = _file_system(spark, path)
+        found, each = [], fs.listFiles(at, True)
+        while each.hasNext():
+            f = each.next()
+            found.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+        digest.update("\n".join(sorted(found)).encode())
+    return digest.hexdigest()[:24]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """One input table; naming the columns prunes the scan and drops unknown extra columns."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")

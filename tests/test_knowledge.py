@@ -8,6 +8,7 @@ from io import BytesIO
 import pytest
 from pyspark.sql import functions as F
 
+from quillon import runtime as rt
 from quillon.operators import compare, evidence, graph, model, search, tasks
 from quillon.plans import knowledge_queries
 from quillon.sources import database, documents, interchange, staging
@@ -37,7 +38,9 @@ def test_ranking(spark):
     assert score["n1"] == pytest.approx(n1, abs=1e-5)
     assert search.search_postings(rec, postings, "amoxli", 10).count() == 3  # corrected
     assert search.search_postings(rec, postings, "zzzzzz", 10).count() == 0
-    assert search.search_bm25(rec, "amoxil").first()["id"] == "r1"
+    index = search.SearchIndex.build(rec, rt.new_path(spark, "index"))
+    assert index.bm25("amoxil").orderBy("rank").first()["id"] == "r1" and index.bm25("").count() == 0
+    assert sorted(map(str, index.search("amoxil dosing", 10).collect())) == sorted(map(str, search.search_postings(rec, postings, "amoxil dosing", 10).collect()))
     assert search.search_fallback(rec, "amoxil").orderBy("rank").first()["id"] in ("r1", "n1")
     assert [r["token"] for r in search.suggest(search.vocabulary(postings), "amox", 5).collect()] == ["amoxil", "amoxicillin"]
     fixed = search.corrections(search.vocabulary(postings), ["amoxli"]).collect()
@@ -46,20 +49,28 @@ def test_ranking(spark):
     assert search.search_postings(rec.limit(0), postings.limit(0), "amoxil").count() == 0
 
 
-def test_whole_postings_of_a_frequent_token(spark, monkeypatch):
-    monkeypatch.setattr(knowledge_queries, "_records", lambda *_: records(spark).withColumn("pack_id", F.lit("p")))
-    got = knowledge_queries.queries()["search_index"](spark, "").collect()
+def test_whole_postings_of_a_frequent_token(spark):
+    got = search.ranked_postings(search.token_scores(records(spark)).select("token", "id", "score")).collect()
     lists = {}
     for r in got:
         lists.setdefault(r["token"], []).append((r["rank"], r["id"], r["score"], r["df"]))
     whole = sorted(lists["unrelated"])
     assert [x[0] for x in whole] == list(range(1, 301)) and {x[3] for x in whole} == {300}
     assert [x[1] for x in whole] == sorted(f"x{i}" for i in range(300))
-    same = lambda df: sorted((r["id"], r["token"], round(r["score"], 6)) for r in df.collect())
-    assert same(search.record_token_scores(records(spark))) == same(search.token_scores(records(spark)))
     assert [x[1] for x in sorted(lists["amoxil"])] == ["r1", "n1", "r2"] and len(got) == search.token_scores(records(spark)).count()
 
 
+def test_index_is_built_once_per_state(spark):
+    built = []
+    make = lambda: built.append(1) or records(spark)
+    one = search.SearchIndex.opened(spark, "state-a", make)
+    two = search.SearchIndex.opened(spark, "state-a", make)
+    search.SearchIndex.opened(spark, "state-b", make)
+    assert one.path == two.path and len(built) == 2
+    wide = records(spark).withColumn("title", F.regexp_replace("title", "Amoxil", "Ａｍｏｘｉｌ"))  # full-width letters
+    assert "r1" in [r["id"] for r in search.search_postings(wide, search.token_scores(wide), "dosing amoxil", 10, fuzzy=False).collect()]
+
+
 def claim(ref, text, subject=None, obj=None):
     return (ref, text, None, subject, obj)
 
