@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.llm import abuse, language, lookalike, mixing, neardup, ocr, packing, split
+from quillon.llm import abuse, language, lookalike, mixing, neardup, ocr, packing, split, sql_parts
 
 
 def queries() -> dict:
@@ -29,6 +29,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
-        "p5_found": "SELECT section_row FROM lnote_sections WHERE length(text) > 5000",
-    }
+    return sql_parts.oracle_sql()
