@@ -121,7 +121,7 @@ def split_statements(c: Column) -> Column:
     """Sentences: lines, cut after . ! ? before a capital letter or a digit."""
     lines = F.split(F.coalesce(c, F.lit("")), r"\n+")
     parts = F.flatten(F.transform(lines, lambda x: F.split(x, r"(?<=[.!?])\s+(?=[\p{Lu}\p{N}])")))
-    return F.filter(F.transform(parts, F.trim), lambda x: F.length(x) > 0)
+    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: F.length(x) > 0)
 
 
 def content_terms(c: Column, composed: bool = False) -> Column:
@@ -371,8 +371,8 @@ def short_hash(s: pd.Series) -> pd.Series:
 
 
 def highlight_ranges(text: Column, terms: list[str]) -> Column:
-    """Merged [start, stop) ranges of the terms in the normalised text, from left to right."""
-    normal = normalize_text(text)
+    """Merged [start, stop) ranges of the terms in the normalised text, from left to right; text in compatibility form (see compose)."""
+    normal = normalize_text(text, composed=True)
     found = [
         F.transform(
             F.filter(F.sequence(F.lit(1), F.greatest(F.length(normal), F.lit(1))), _starts(normal, t)),

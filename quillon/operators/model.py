@@ -172,7 +172,7 @@ def relation_violations(relation_rows: DataFrame, claim_rows: DataFrame) -> Data
     blank = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
     ref = {s: tx.qualify(F.col("pack_id"), F.col(f"{s}_claim_id")) for s in ("source", "target")}
     rows = relation_rows.withColumns({f"{s}_ref": c for s, c in ref.items()})
-    weight = F.col("confidence").cast("double")
+    weight = F.col("confidence").try_cast("double")
     own = F.array_compact(F.array(
         F.when(blank(F.col("relation_id")), "id_missing"), F.when(F.col("source_ref") == "", "source_missing"), F.when(F.col("target_ref") == "", "target_missing"),
         F.when((F.col("source_ref") != "") & (F.col("source_ref") == F.col("target_ref")), "same_statement"),

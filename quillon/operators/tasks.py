@@ -57,27 +57,32 @@ def smoothed(values: Column) -> Column:
 
 
 class KeyedStore:
-    """Rows by key in a parquet table: put, delete, clear, get; every write makes a new version and removes the old one."""
+    """Rows by key in a parquet table: put, delete, clear, get; every write makes a new version and removes the old one.
+
+    Of several rows of one key in one put the last by all its columns counts. Frames read before a write are not to be used after it.
+    """
 
     def __init__(self, rows: DataFrame, key: str = "id"):
         self.key = key
         self.rows = rt.written(rows, "store")
 
     def all(self) -> DataFrame:
-        return self.rows
+        return self.rows.select("*")
 
     def one(self, value: object) -> DataFrame:
         return self.rows.where(F.col(self.key) == F.lit(value)).limit(1)
 
     def put(self, rows: DataFrame) -> None:
-        kept = self.rows.join(rows.select(self.key), self.key, "left_anti")
-        self._replace(kept.unionByName(rows.select(self.rows.columns)))
+        new = rows.select(self.rows.columns).groupBy(self.key).agg(F.max(F.struct(*self.rows.columns)).alias("r")).select("r.*")
+        kept = self.rows.join(new.select(self.key), self.key, "left_anti")
+        self._replace(kept.select(self.rows.columns).unionByName(new))
 
     def delete(self, keys: DataFrame) -> None:
-        self._replace(self.rows.join(keys.select(self.key), self.key, "left_anti"))
+        self._replace(self.rows.join(keys.select(self.key).distinct(), self.key, "left_anti").select(self.rows.columns))
 
     def clear(self) -> None:
         self._replace(self.rows.limit(0))
 
     def _replace(self, rows: DataFrame) -> None:
-        self.rows = rt.written(rows, "store")
+        old, self.rows = self.rows, rt.written(rows, "store")
+        rt.forget(old)

@@ -12,7 +12,8 @@ from quillon.functions import chronology as ch
 from quillon.functions import quantities as qt
 from quillon.functions import text as tx
 from quillon.operators import compare, evidence, graph, model, notes, search, tasks
-from quillon.sources import database, documents as docs_src
+from quillon.sources import database, documents as docs_src, interchange, staging
+from quillon.streaming import queue
 
 QUERY = "urine sample storage проба мочи"
 PREFIX = "sam"
@@ -409,6 +410,113 @@ def source_json(spark: SparkSession, d: str) -> DataFrame:
     return docs_src.json_leaves(rt.table(spark, d, "lnote_documents", "document_order", "source_json"), "document_order", "source_json")
 
 
+def source_plain(spark: SparkSession, d: str) -> DataFrame:
+    """The documents read as plain text, in sections of at most 5,000 characters."""
+    rows = docs_src.plain_documents(rt.table(spark, d, "documents", "doc_id", "text"))
+    cut = docs_src.sized(rows).select("doc_id", "section_id", "document_title", "title", F.length("body").alias("chars"))
+    return cut
+
+
+def source_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The documents read as Markdown: title and sections of at most 5,000 characters."""
+    cut = docs_src.sized(docs_src.markdown_documents(rt.table(spark, d, "documents", "doc_id", "text")))
+    return cut.select("doc_id", "document_title", "at", "part_at", "section_id", "title", F.md5("body").alias("digest"))
+
+
+def source_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Sections of the scanned pages' texts."""
+    rows = rt.table(spark, d, "ocr_candidates", F.col("candidate_no").cast("string").alias("document_id"), F.coalesce("page", F.lit(0)).alias("page"), F.col("originaltext").alias("text"))
+    return docs_src.page_sections(rows).select("document_id", "section_id", "title", F.length("body").alias("chars"))
+
+
+def _packs_json(spark: SparkSession, d: str) -> DataFrame:
+    """(pack_id, json) of every pack, of its live documents, sections, entities and claims."""
+    order = lambda df, by, *value: df.groupBy("pack_id").agg(F.array_sort(F.collect_list(F.struct(by, F.struct(*value).alias("v")))).alias("x"))
+    secs = model.sections(spark, d).select("pack_id", "document_id", F.struct("section_row", F.struct(F.col("section_id").alias("id"), "title", "text", "tags_json").alias("v")).alias("s"))
+    secs = secs.groupBy("pack_id", "document_id").agg(F.array_sort(F.collect_list("s")).alias("s"))
+    docs = model.documents(spark, d).join(secs, ["pack_id", "document_id"], "left")
+    docs = order(docs, "document_order", F.col("document_id").alias("id"), "title", "effective_from", F.coalesce(F.transform("s", lambda s: s["v"]), F.array().cast("array<struct<id:string,title:string,text:string,tags_json:string>>")).alias("sections"))
+    ents = order(model.entities(spark, d), "entity_order", F.col("entity_id").alias("id"), "name", "aliases_json")
+    cla = order(model.claims(spark, d), "claim_order", F.col("claim_id").alias("id"), "text", "subject_id", "source_quote")
+    out = model.packs(spark, d).select(F.col("id").alias("pack_id"), F.struct("id", "version", "title", "bytes").alias("head"))
+    for name, df in (("documents", docs), ("entities", ents), ("claims", cla)):
+        out = out.join(df.select("pack_id", F.transform("x", lambda x: x["v"]).alias(name)), "pack_id", "left")
+    return out.select("pack_id", F.to_json(F.struct("head.*", "documents", "entities", "claims")).alias("json"))
+
+
+def interchange_round(spark: SparkSession, d: str) -> DataFrame:
+    """Packs exported to the relational tables and restored: records per pack and whether the pack is the same again."""
+    packs = rt.written(_packs_json(spark, d), "packs")
+    tables = interchange.export(packs)
+    back = interchange.restore(tables).select("pack_id", F.col("json").alias("back"))
+    plain = lambda c: F.to_json(F.parse_json(c))
+    out = packs.join(back, "pack_id").select("pack_id", (plain(F.col("json")) == plain(F.col("back"))).alias("same"))
+    for name in ("documents", "sections", "entities", "claims"):
+        out = out.join(tables[name].groupBy("pack_id").agg(F.count(F.lit(1)).alias(name)), "pack_id", "left").fillna(0, [name])
+    return out
+
+
+def staging_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Two tables staged by a configuration: provenance and staged rows."""
+    config = {"schemaVersion": 1, "sources": [{"type": "parquet", "path": f"{t}.parquet", "table": f"staged_{t}"} for t in ("customer", "supplier")]}
+    out = rt.new_path(spark, "staging")
+    meta = staging.stage(spark, staging.plan(config, d), out, "2025-01-01T00:00:00Z")
+    rows = None
+    for t in ("customer", "supplier"):
+        one = spark.read.parquet(f"{out}/staged_{t}").groupBy(F.lit(f"staged_{t}").alias("target_table")).agg(F.count(F.lit(1)).alias("rows"))
+        rows = one if rows is None else rows.unionByName(one)
+    return meta.join(rows, "target_table").select("target_table", "source_type", "source_locator", "staged_at", "rows")
+
+
+def notes_records(spark: SparkSession, d: str) -> DataFrame:
+    """Claims taken as personal notes, normalised, as search records."""
+    c = rt.table(spark, d, "lnote_claims", "claim_order", "text", "subject_id", "source_document_id", "source_section_id", "claim_id")
+    relation = F.element_at(F.array(*map(F.lit, ["refines", "odd", "contradicts"])), (F.col("claim_order") % 3 + 1).cast("int"))
+    raw = c.select(
+        F.col("claim_order").cast("string").alias("id"), F.concat(F.lit("  Note "), "subject_id").alias("title"), F.col("text").alias("body"), relation.alias("relation"),
+        F.col("source_document_id").alias("targetDocumentId"), F.col("source_section_id").alias("targetSectionId"), F.col("claim_id").alias("targetClaimId"),
+        F.array("subject_id").alias("relatedEntityIds"), F.lit("2025").alias("createdAt"), F.lit(None).cast("string").alias("updatedAt"),
+    )
+    rows = notes.note_records(notes.normalized_notes(raw), rt.table(spark, d, "lnote_documents", "document_id", "title"))
+    return rows.select("id", "relation", "title", "document_title", "tags", F.md5("body").alias("digest"))
+
+
+def notes_targets(spark: SparkSession, d: str) -> DataFrame:
+    c = rt.table(spark, d, "lnote_claims", "claim_order", "text", "source_document_id", "source_section_id", "claim_id")
+    n = c.select(F.col("source_document_id").alias("document_id"), F.when(F.col("source_document_id").isNotNull(), F.col("source_section_id")).alias("section_id"), "claim_id")
+    return notes.targets(n)
+
+
+def graph_layout(spark: SparkSession, d: str) -> DataFrame:
+    return graph.layout(graph.nodes(spark, d))
+
+
+def task_store(spark: SparkSession, d: str) -> DataFrame:
+    """A keyed store of the users' last values after puts and deletions."""
+    e = rt.table(spark, d, "events", "user_id", "event_id", "event_type", "value")
+    last = tasks.latest(e, "user_id", ["event_id"])
+    store = tasks.KeyedStore(last.where("event_type <> 'view'"), "user_id")
+    store.put(last.where("event_type = 'click' or event_type = 'view'").withColumn("value", F.round(F.col("value") + 1, 6)))
+    store.delete(last.where("user_id % 5 = 0").select("user_id"))
+    return store.all().select("user_id", "event_id", "event_type", F.round("value", 6).alias("value"))
+
+
+def stream_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Windowed activity of the events read as a stream until it is exhausted; the last state of every window."""
+    out, schema = rt.new_path(spark, "stream"), rt.table(spark, d, "events").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))
+    windows = queue.windowed_activity(events, "10 minutes", "1 hour")
+    rows = windows.select(F.col("window.start").cast("timestamp_ntz").alias("starts_at"), "event_type", "n", F.round("value", 4).alias("value"))
+
+    def save(batch: DataFrame, number: int) -> None:  # a batch that is run again overwrites its own output
+        batch.write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
+
+    q = rows.writeStream.outputMode("complete").option("checkpointLocation", f"{out}/state").foreachBatch(save).trigger(availableNow=True).start()
+    q.awaitTermination()
+    last = max(rt.names_in(spark, f"{out}/rows"), key=lambda n: int(n.split("=")[1]))
+    return spark.read.parquet(f"{out}/rows/{last}")
+
+
 def ocr_review_state(spark: SparkSession, d: str) -> DataFrame:
     rows = rt.table(spark, d, "ocr_candidates", "pack_id", "decision", "average_confidence", "low_confidence_words")
     count = lambda v: F.sum((F.coalesce("decision", F.lit("pending")) == v).cast("long")).alias(v)
@@ -464,7 +572,7 @@ def queries() -> dict:
             model_resolved, model_relation_violations, model_packages, model_unique_sections, search_vocabulary, search_index, search_best_postings, search_top, search_fuzzy, search_bm25, search_fallback,
             search_suggest, search_corrections, search_stats, search_expansion, compare_related, compare_discrepancies, compare_subjects, chrono_documents, chrono_intervals,
             chrono_editions, graph_nodes, graph_degrees, graph_ego, evidence_coverage, evidence_support, evidence_citations, evidence_budget, evidence_base, evidence_sources, evidence_fragments, evidence_prompt, source_rows,
-            source_markdown, source_json, ocr_review_state, task_latest, task_summary, task_runnable, task_speed, task_windows, sql_pricing, sql_top_customers,
+            source_markdown, source_json, source_plain, source_documents, source_pages, interchange_round, staging_sources, notes_records, notes_targets, graph_layout, task_store, stream_windows, ocr_review_state, task_latest, task_summary, task_runnable, task_speed, task_windows, sql_pricing, sql_top_customers,
         )
     }
     named |= {
@@ -697,6 +805,27 @@ def oracle_sql() -> dict[str, str]:
           CASE WHEN head IS NULL THEN 'Содержание' ELSE regexp_extract(head, '^#{{1,6}}\\s+(.+?)\\s*$', 1) END AS title, line_start::INTEGER AS line_start, md5(body) AS digest FROM c WHERE body <> ''""",
         "ocr_review_state": """SELECT pack_id, sum((coalesce(decision, 'pending') = 'accept')::INT)::BIGINT AS accept, sum((coalesce(decision, 'pending') = 'dismiss')::INT)::BIGINT AS dismiss,
           sum((coalesce(decision, 'pending') = 'pending')::INT)::BIGINT AS pending, sum(low_confidence_words)::BIGINT AS low_words, round(avg(average_confidence), 6) AS mean_confidence FROM ocr_candidates GROUP BY pack_id""",
+        "source_pages": f"""WITH p AS (SELECT candidate_no::VARCHAR AS document_id, coalesce(page, 0) AS page, {clean.replace("text,", "originaltext,")} AS t FROM ocr_candidates)
+          SELECT document_id, 'page-' || page AS section_id, 'Страница ' || page AS title, length(t)::INTEGER AS chars FROM p WHERE t <> '' AND length(t) <= 5000""",
+        "interchange_round": f"""SELECT k.id AS pack_id, true AS same, (SELECT count(*) FROM {DOCS} x WHERE x.pack_id = k.id) AS documents,
+          (SELECT count(*) FROM {SECS} s SEMI JOIN {DOCS} d USING (pack_id, document_id) WHERE s.pack_id = k.id) AS sections,
+          (SELECT count(*) FROM {ENTS} x WHERE x.pack_id = k.id) AS entities, (SELECT count(*) FROM {CLAIMS} x WHERE x.pack_id = k.id) AS claims FROM catalog k""",
+        "staging_sources": " UNION ALL ".join(f"SELECT 'staged_{t}' AS target_table, 'parquet' AS source_type, '{t}.parquet' AS source_locator, '2025-01-01T00:00:00Z' AS staged_at, count(*) AS rows FROM {t}" for t in ("customer", "supplier")),
+        "notes_records": """WITH n AS (SELECT claim_order, trim('  Note ' || subject_id)[:160] AS title, trim(coalesce(text, ''))[:12000] AS body,
+            CASE claim_order % 3 WHEN 0 THEN 'refines' WHEN 1 THEN 'observation' ELSE 'contradicts' END AS relation, nullif(trim(source_document_id), '') AS doc FROM lnote_claims),
+          t AS (SELECT document_id, min(title) AS target FROM lnote_documents GROUP BY 1)
+          SELECT 'note:' || claim_order AS id, relation, title, coalesce(target, CASE relation WHEN 'refines' THEN 'Уточняет справочник' WHEN 'observation' THEN 'Практическое наблюдение' ELSE 'Противоречит справочнику' END) AS document_title,
+            'personal ' || relation || CASE WHEN doc IS NULL THEN '' ELSE ' source-annotation' END AS tags, md5(body) AS digest
+          FROM n LEFT JOIN t ON t.document_id = string_split(doc, '::')[-1] WHERE coalesce(title, '') <> '' AND body <> ''""",
+        "notes_targets": """SELECT level, target, count(*) AS notes FROM (SELECT 'document' AS level, source_document_id AS target FROM lnote_claims
+          UNION ALL SELECT 'section', source_document_id || '/' || source_section_id FROM lnote_claims UNION ALL SELECT 'claim', claim_id FROM lnote_claims) x WHERE target IS NOT NULL GROUP BY ALL""",
+        "graph_layout": f"""WITH d AS (SELECT x.* FROM {DOCS} x JOIN catalog k ON k.id = x.pack_id), s AS (SELECT y.* FROM {SECS} y SEMI JOIN d USING (pack_id, document_id)), e AS (SELECT x.* FROM {ENTS} x JOIN catalog k ON k.id = x.pack_id),
+          n AS (SELECT 'pack:' || id AS id, 0 AS c, title AS label FROM catalog UNION ALL SELECT 'document:' || pack_id || ':' || document_id, 1, title FROM d
+            UNION ALL SELECT 'section:' || pack_id || ':' || document_id || ':' || section_id, 2, title FROM s UNION ALL SELECT 'concept:' || entity_id, 3, arg_max(name, (entity_order, pack_id)) FROM e GROUP BY entity_id)
+          SELECT id, (c * 240)::INTEGER AS x, ((row_number() OVER (PARTITION BY c ORDER BY coalesce(label, ''), id) - 1) * 64)::INTEGER AS y FROM n""",
+        "task_store": """WITH l AS (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1)
+          SELECT user_id, event_id, event_type, round(CASE WHEN event_type IN ('click', 'view') THEN round(value + 1, 6) ELSE value END, 6) AS value FROM l WHERE user_id % 5 <> 0""",
+        "stream_windows": "SELECT date_trunc('hour', ts) AS starts_at, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL",
         "task_latest": "SELECT user_id, ts, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
         "task_summary": "SELECT event_type, count(value) AS samples, round(avg(value), 6) AS mean, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, max(value) AS max FROM events GROUP BY event_type",
         "task_runnable": "SELECT event_id AS id, floor(value)::BIGINT AS priority FROM events WHERE event_type = 'view' ORDER BY floor(value) DESC, ts, event_id LIMIT 10",

@@ -10,6 +10,7 @@ import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -75,26 +76,200 @@ def packed(paragraphs: list[str], limit: int, slice_long: str = "single") -> lis
     return out
 
 
-def markdown_sections(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, section_no, level, title, line_start, body): lines under their heading; text before the first heading gets a default title.
+def _markdown_parts(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(id, at, level, title, line_start, body) of the text before every heading and of the heading with what follows it.
 
-    The text is split before its headings in one pass of the JVM; only the few sections of a document meet again, to be numbered.
+    The text is split before its headings in one pass of the JVM; only the few parts of a document meet again, to be numbered.
     """
     parts = F.split(F.coalesce(F.col(text), F.lit("")), BEFORE_HEADING)
     each = docs.select(F.col(id_col), F.posexplode(parts).alias("at", "part"))
     first = F.regexp_extract("part", r"^([^\n]*?)\r?(?:\n|$)", 1)
     titled = first.rlike(HEADING)
     above = Window.partitionBy(id_col).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    rows = each.select(
+    return each.select(
         id_col, "at", (F.length("part") - F.length(F.replace("part", F.lit("\n"), F.lit("")))).alias("breaks"),
         F.when(titled, F.length(F.regexp_extract(first, HEADING, 1))).otherwise(0).alias("level"),
         F.when(titled, F.regexp_extract(first, HEADING, 2)).otherwise(DEFAULT_TITLE).alias("title"),
         tx.clean_text(F.when(titled, F.regexp_replace("part", r"^[^\n]*(?:\n|$)", "")).otherwise(F.col("part"))).alias("body"),
     ).withColumn("line_start", (F.coalesce(F.sum("breaks").over(above), F.lit(0)) + 1).cast("int"))
-    numbered = rows.where("body <> ''").withColumn("section_no", F.row_number().over(Window.partitionBy(id_col).orderBy("at")))
+
+
+def markdown_sections(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, section_no, level, title, line_start, body): lines under their heading; text before the first heading gets a default title."""
+    numbered = _markdown_parts(docs, id_col, text).where("body <> ''").withColumn("section_no", F.row_number().over(Window.partitionBy(id_col).orderBy("at")))
     return numbered.select(id_col, "section_no", "level", "title", "line_start", "body")
 
 
+def markdown_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", name: str | None = None) -> DataFrame:
+    """(id, document_title, base_id, title, body, at): the document's title and its sections, not yet cut to size.
+
+    A first heading of the first level with nothing before it is the title of the document, else its file name is; what follows
+    that heading stands under the default title. Texts without any section are one section.
+    """
+    parts = _markdown_parts(docs, id_col, text)
+    above = Window.partitionBy(id_col).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum((F.col("body") != "").cast("int") + (F.col("level") > 0).cast("int")).over(above), F.lit(0))
+    parts = parts.withColumn("heads", (F.col("level") == 1) & (before == 0))
+    titles = parts.where("heads").select(id_col, F.col("title").alias("own_title"))
+    rows = parts.where("body <> ''").withColumn("title", F.when(F.col("heads"), DEFAULT_TITLE).otherwise(F.col("title")))
+    place = F.row_number().over(Window.partitionBy(id_col).orderBy("at"))
+    rows = rows.withColumn("n", place).withColumn("base_id", slug_or(F.col("title"), F.concat(F.lit("section-"), F.col("n").cast("string"))))
+    named = docs.select(id_col, (tx.title_from_filename(F.col(name)) if name else F.lit("Документ")).alias("file_title"))
+    out = rows.join(titles, id_col, "left").join(named, id_col, "left")
+    return out.select(id_col, F.coalesce("own_title", "file_title").alias("document_title"), "base_id", "title", "body", F.col("n").alias("at"))
+
+
+def slug_or(c: Column, fallback: Column) -> Column:
+    s = tx.slugify(c, "")
+    return F.when(s == "", fallback).otherwise(s)
+
+
+def plain_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", name: str | None = None) -> DataFrame:
+    """As markdown_documents for plain text: a short first line is the title, the rest one section."""
+    clean = tx.clean_text(F.coalesce(F.col(text), F.lit("")))
+    lines = F.split(clean, "\n")
+    head = F.get(lines, F.lit(0))
+    titled = (head != "") & (F.length(head) <= 120) & (F.size(lines) > 1)
+    rest = tx.clean_text(F.array_join(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), "\n"))
+    own = tx.title_from_filename(F.col(name)) if name else F.lit("Документ")
+    rows = docs.select(
+        id_col, F.when(titled, F.trim(F.regexp_replace(head, r"^#+\s*", ""))).otherwise(own).alias("document_title"), F.lit("content").alias("base_id"),
+        F.lit(DEFAULT_TITLE).alias("title"), F.when(titled & (rest != ""), rest).otherwise(clean).alias("body"), F.lit(1).alias("at"),
+    )
+    return rows.where("body <> ''")
+
+
+def json_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", name: str | None = None) -> DataFrame:
+    """As markdown_documents for JSON: one line 'path: value' per leaf; unreadable texts have no section."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, titles, bodies = [], [], []
+            for key, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                try:
+                    tree = json.loads(source or "")
+                except ValueError:
+                    continue
+                keys.append(key)
+                titles.append(tree["title"] if isinstance(tree, dict) and isinstance(tree.get("title"), str) and tree["title"] else None)
+                bodies.append("\n".join(f"{p}: {json.dumps(v, ensure_ascii=False)}" for p, v in leaves(tree)) or "{}")
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(titles, pa.string()), pa.array(bodies, pa.string())], names=["k", "own", "body"])
+
+    read = docs.select(F.col(id_col).cast("string").alias("k"), text).mapInArrow(run, "k string, own string, body string")
+    named = docs.select(F.col(id_col), F.col(id_col).cast("string").alias("k"), (tx.title_from_filename(F.col(name)) if name else F.lit("Документ")).alias("file_title"))
+    return named.join(read, "k").select(id_col, F.coalesce("own", "file_title").alias("document_title"), F.lit("data").alias("base_id"), F.lit("Данные").alias("title"), "body", F.lit(1).alias("at"))
+
+
+def leaves(value: object, path: str = "$") -> Iterator[tuple[str, object]]:
+    """(path, value) of every leaf, keys in their order."""
+    if isinstance(value, dict):
+        for k, v in value.items():
+            yield from leaves(v, f"{path}.{k}")
+    elif isinstance(value, list):
+        for i, v in enumerate(value):
+            yield from leaves(v, f"{path}[{i}]")
+    else:
+        yield path, value
+
+
+def sized(rows: DataFrame, limit: int = MAX_SECTION, slice_long: str = "single") -> DataFrame:
+    """Sections (…, base_id, title, body) cut to the limit at blank lines: parts get '-part-n' and '· часть n', short ones stay.
+
+    Only sections beyond the limit leave the JVM. slice_long: see packed.
+    """
+
+    @F.pandas_udf("array<string>")
+    def cut(bodies: pd.Series) -> pd.Series:
+        return bodies.map(lambda b: None if b is None else packed([p for p in re.split(r"\n{2,}", b) if p], limit, slice_long))
+
+    long = F.length("body") > limit
+    parts = F.coalesce(cut(F.when(long, F.col("body"))), F.array("body"))
+    each = rows.withColumn("long", long).select("*", F.posexplode(parts).alias("part_at", "part")).drop("body")
+    number = (F.col("part_at") + 1).cast("string")
+    return each.withColumns({
+        "section_id": F.when(F.col("long"), F.concat("base_id", F.lit("-part-"), number)).otherwise(F.col("base_id")),
+        "title": F.when(F.col("long"), F.concat("title", F.lit(" · часть "), number)).otherwise(F.col("title")),
+    }).withColumnRenamed("part", "body").drop("long", "base_id")
+
+
+def docx_document(content: bytes, limit: int = MAX_SECTION) -> tuple[str | None, list[dict]]:
+    """(title, sections) of a word-processing document; a section keeps the numbers of its first and last paragraph.
+
+    A paragraph of the style Title is the title, headings begin sections, paragraphs are packed to the limit and never cut.
+    """
+    title, heading, group, out = None, DEFAULT_TITLE, [], []
+
+    def flush() -> None:
+        sections = len({s["group"] for s in out})
+        part, size, parts = [], 0, []
+        for number, text in group:
+            if part and size + len(text) + 2 > limit:
+                parts.append(part)
+                part, size = [], 0
+            size += len(text) + (2 if part else 0)
+            part.append((number, text))
+        parts += [part] if part else []
+        for k, p in enumerate(parts, 1):
+            out.append({
+                "group": sections, "base": heading, "title": heading if k == 1 else f"{heading} · часть {k}", "part": k,
+                "body": "\n\n".join(t for _, t in p), "first": p[0][0], "last": p[-1][0],
+            })
+        group.clear()
+
+    for number, (style, text) in enumerate(docx_paragraphs(content), 1):
+        text = re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+\n", "\n", text)).strip()
+        if not text:
+            continue
+        if title is None and re.fullmatch("title|заголовок", style, re.I):
+            title = text
+        elif re.search("(?:heading|заголовок)", style, re.I):
+            flush()
+            heading = text
+        else:
+            group.append((number, text))
+    flush()
+    return title, out
+
+
+def docx_sections(files: DataFrame) -> DataFrame:
+    """(path, document_title, section_id, title, body, paragraph_start, paragraph_end) of files (path, content)."""
+    shape = "path string, document_title string, base string, n int, part int, title string, body string, paragraph_start int, paragraph_end int"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                try:
+                    title, sections = docx_document(content)
+                except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, TypeError):
+                    continue
+                rows += [(path, title, s["base"], s["group"] + 1, s["part"], s["title"], s["body"], s["first"], s["last"]) for s in sections]
+            cols = list(zip(*rows, strict=True)) if rows else [[] for _ in range(9)]
+            types = [pa.string()] * 3 + [pa.int32()] * 2 + [pa.string()] * 2 + [pa.int32()] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[x.split()[0] for x in shape.split(", ")])
+
+    rows = files.select("path", "content").mapInArrow(run, shape)
+    base = slug_or(F.col("base"), F.concat(F.lit("section-"), F.col("n").cast("string")))
+    return rows.select(
+        "path", F.coalesce("document_title", tx.title_from_filename(F.col("path"))).alias("document_title"),
+        F.concat(base, F.when(F.col("part") > 1, F.concat(F.lit("-part-"), F.col("part").cast("string"))).otherwise("")).alias("section_id"),
+        "title", "body", "paragraph_start", "paragraph_end",
+    )
+
+
+def page_sections(pages: DataFrame, limit: int = MAX_SECTION) -> DataFrame:
+    """(document_id, page, section_id, title, body) of page texts (document_id, page, text), cut to the limit, also within paragraphs."""
+    number = F.col("page").cast("string")
+    rows = pages.select("document_id", "page", F.concat(F.lit("page-"), number).alias("base_id"), F.concat(F.lit("Страница "), number).alias("title"), tx.clean_text(F.coalesce("text", F.lit(""))).alias("body"))
+    out = sized(rows.where("body <> ''"), limit, "each")
+    # the first part keeps the page's own id and title
+    plain = F.col("part_at") == 0
+    return out.select(
+        "document_id", "page", F.when(plain, F.concat(F.lit("page-"), number)).otherwise(F.col("section_id")).alias("section_id"),
+        F.when(plain, F.concat(F.lit("Страница "), number)).otherwise(F.col("title")).alias("title"), "body",
+    )
+
+
 def plain_title(text: Column, limit: int = 120) -> Column:
     """The first line as title if it is short and not alone."""
     lines = F.split(tx.clean_text(text), "\n")

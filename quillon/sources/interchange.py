@@ -1,64 +1,86 @@
-"""Relational export of packs and its exact inverse."""
+"""Relational export of packs, its inverse, and JSON texts of packs of any size."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 TABLES = ["packs", "documents", "sections", "entities", "claims", "relations", "statement_relations"]
-SECTION = "struct<id:string,title:string,text:string,entityIds:array<string>,tags:array<string>>"
-PACK = (
-    f"id string, version string, title string, description string, language string, documents array<struct<id:string,title:string,summary:string,sections:array<{SECTION}>>>, "
-    "entities array<struct<id:string,name:string,type:string,aliases:array<string>>>, claims array<struct<id:string,text:string,subjectId:string,objectId:string,"
-    "source:struct<documentId:string,sectionId:string,quote:string>>>, relations array<struct<sourceId:string,targetId:string,predicate:string,type:string>>, "
-    "statementRelations array<struct<id:string,sourceClaimId:string,targetClaimId:string,type:string,status:string>>"
-)
 ARRAYS = {"entities": "entities", "claims": "claims", "relations": "relations", "statement_relations": "statementRelations"}
+#: Place of a line after all sections of a document.
+LAST = (1 << 31) - 1
+
+
+def _array(v: str, field: str) -> Column:
+    """An array field of a map of JSON values; null if it is absent or no array."""
+    return F.expr(f"try_cast({v}['{field}'] AS array<variant>)")
 
 
 def export(packs: DataFrame) -> dict[str, DataFrame]:
-    """Seven tables of packs (schema PACK): order columns and payloads keep everything; absent arrays stay absent in the manifest."""
-    arrays = ["documents", "entities", "claims", "relations", "statementRelations"]
-    out = {
-        "packs": packs.select(
-            F.col("id").alias("pack_id"), "version", "title", F.to_json(F.struct(*[c for c in packs.columns if c not in arrays])).alias("manifest_json"),
-            *[F.col(a).isNotNull().alias(f"has_{a}") for a in arrays],
-        )
-    }
-    docs = packs.select(F.col("id").alias("pack_id"), F.posexplode("documents").alias("document_order", "d"))
-    out["documents"] = docs.select("pack_id", "document_order", F.col("d.id").alias("document_id"), F.col("d.title").alias("title"), F.to_json(F.col("d").dropFields("sections")).alias("payload_json"), F.col("d.sections").isNotNull().alias("has_sections"))
-    secs = docs.select("pack_id", "document_order", F.col("d.id").alias("document_id"), F.posexplode("d.sections").alias("section_order", "s"))
-    out["sections"] = secs.select("pack_id", "document_order", "document_id", "section_order", F.col("s.id").alias("section_id"), F.col("s.title").alias("title"), F.col("s.text").alias("text"), F.to_json("s").alias("payload_json"))
+    """Seven tables of packs (pack_id, json): numbers of order and payloads keep every field of every record, also unknown ones.
+
+    Arrays that a pack does not have stay absent (has_…); objects lose nothing but the order of their keys.
+    """
+    top = packs.select("pack_id", F.from_json("json", "map<string,variant>").alias("top"))
+    arrays = ["documents", *ARRAYS.values()]
+    own = F.to_json(F.map_filter("top", lambda k, v: ~k.isin(arrays)))
+    out = {"packs": top.select("pack_id", own.alias("manifest_json"), *[_array("top", f).isNotNull().alias(f"has_{f}") for f in arrays])}
+    docs = top.select("pack_id", F.posexplode(_array("top", "documents")).alias("document_order", "v")).select("pack_id", "document_order", F.expr("cast(v AS map<string,variant>)").alias("d"))
+    out["documents"] = docs.select(
+        "pack_id", "document_order", F.expr("try_cast(d['id'] AS string)").alias("document_id"), F.expr("try_cast(d['title'] AS string)").alias("title"),
+        F.to_json(F.map_filter("d", lambda k, v: k != "sections")).alias("payload_json"), _array("d", "sections").isNotNull().alias("has_sections"),
+    )
+    secs = docs.select("pack_id", "document_order", F.expr("try_cast(d['id'] AS string)").alias("document_id"), F.posexplode(_array("d", "sections")).alias("section_order", "s"))
+    text = lambda f: F.expr(f"try_variant_get(s, '$.{f}', 'string')").alias
+    out["sections"] = secs.select("pack_id", "document_order", "document_id", "section_order", text("id")("section_id"), text("title")("title"), text("text")("text"), F.to_json("s").alias("payload_json"))
     for table, field in ARRAYS.items():
-        rows = packs.select(F.col("id").alias("pack_id"), F.posexplode(field).alias("row_order", "r"))
+        rows = top.select("pack_id", F.posexplode(_array("top", field)).alias("row_order", "r"))
         out[table] = rows.select("pack_id", "row_order", F.to_json("r").alias("payload_json"))
     return out
 
 
-def restore(tables: dict[str, DataFrame], spark: SparkSession) -> DataFrame:
-    """Packs from the seven tables, arrays in their order."""
-    schema = spark.createDataFrame([], PACK).schema
-    kind = lambda f: schema[f].dataType.elementType.simpleString()
-
-    def gathered(df: DataFrame, keys: list[str], order: str, value: str, name: str) -> DataFrame:
-        # the members of one pack or document, as the pack format itself holds them
-        return df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, value))).alias("x")).select(*keys, F.transform("x", lambda r: r[value]).alias(name))
-
-    secs = tables["sections"].select("pack_id", "document_order", "section_order", F.from_json("payload_json", SECTION).alias("s"))
-    secs = gathered(secs, ["pack_id", "document_order"], "section_order", "s", "sections")
-    empty = F.array().cast(f"array<{SECTION}>")
-    docs = tables["documents"].join(secs, ["pack_id", "document_order"], "left").select(
-        "pack_id", "document_order", F.from_json("payload_json", "id string, title string, summary string").alias("d"), F.when(F.col("has_sections"), F.coalesce("sections", empty)).alias("sections")
-    ).select("pack_id", "document_order", F.struct("d.id", "d.title", "d.summary", "sections").alias("d"))
-    out = tables["packs"].join(gathered(docs, ["pack_id"], "document_order", "d", "documents"), "pack_id", "left")
-    for table, field in ARRAYS.items():
-        rows = tables[table].select("pack_id", "row_order", F.from_json("payload_json", kind(field)).alias("r"))
-        out = out.join(gathered(rows, ["pack_id"], "row_order", "r", field), "pack_id", "left")
-    manifest = F.from_json("manifest_json", "id string, version string, title string, description string, language string")
-    names = ["documents", *ARRAYS.values()]
-    filled = [F.when(F.col(f"has_{f}"), F.coalesce(F.col(f), F.array().cast(schema[f].dataType.simpleString()))).alias(f) for f in names]
-    return out.withColumn("m", manifest).select("m.*", *filled)
+def pack_lines(tables: dict[str, DataFrame]) -> DataFrame:
+    """(pack_id, part, place, inner, line): the JSON text of every pack as lines; in this order they are the text.
+
+    However large a pack is, none of its records meets another: a line tells from its own number whether a comma goes before it.
+    """
+    number = lambda n: F.lit(n).cast("int")
+
+    def line(df: DataFrame, part: int, place: Column, inner: Column, text: Column) -> DataFrame:
+        return df.select("pack_id", number(part).alias("part"), place.cast("int").alias("place"), inner.cast("int").alias("inner"), text.alias("line"))
+
+    inside = lambda c: F.expr(f"substring({c}, 2, length({c}) - 2)")
+    comma = lambda before: F.when(before, ",").otherwise("")
+    packs = tables["packs"].withColumn("filled", F.col("manifest_json") != "{}")
+    out = line(packs, 0, number(0), number(0), F.concat(F.lit("{"), inside("manifest_json")))
+    before = F.col("filled")
+    for k, (table, field) in enumerate([("documents", "documents"), *ARRAYS.items()], 1):
+        has = packs.where(f"has_{field}")
+        out = out.unionByName(line(has, k, number(-1), number(0), F.concat(comma(before), F.lit(f'"{field}":['))))
+        out = out.unionByName(line(has, k, number(LAST), number(0), F.lit("]")))
+        before = before | F.col(f"has_{field}")
+        if table != "documents":
+            out = out.unionByName(line(tables[table], k, F.col("row_order"), number(0), F.concat(comma(F.col("row_order") > 0), "payload_json")))
+    docs = tables["documents"]
+    body = F.concat(comma(F.col("document_order") > 0), F.lit("{"), inside("payload_json"))
+    opened = F.concat(comma(F.col("payload_json") != "{}"), F.lit('"sections":['))
+    out = out.unionByName(line(docs, 1, F.col("document_order"), number(-1), F.concat(body, F.when(F.col("has_sections"), opened).otherwise("}"))))
+    out = out.unionByName(line(docs.where("has_sections"), 1, F.col("document_order"), number(LAST), F.lit("]}")))
+    out = out.unionByName(line(tables["sections"], 1, F.col("document_order"), F.col("section_order"), F.concat(comma(F.col("section_order") > 0), "payload_json")))
+    return out.unionByName(line(packs, 9, number(0), number(0), F.lit("}")))
+
+
+def write_pack_json(tables: dict[str, DataFrame], path: str) -> None:
+    """Text files below path whose lines, file by file, are the JSON texts of the packs in the order of their ids."""
+    order = ["pack_id", "part", "place", "inner"]
+    pack_lines(tables).repartitionByRange(*order).sortWithinPartitions(*order).select("line").write.text(path)
+
+
+def restore(tables: dict[str, DataFrame]) -> DataFrame:
+    """(pack_id, json): every pack in one value; for packs that fit into a row. write_pack_json has no such bound."""
+    lines = pack_lines(tables).groupBy("pack_id").agg(F.array_sort(F.collect_list(F.struct("part", "place", "inner", "line"))).alias("x"))
+    return lines.select("pack_id", F.array_join(F.transform("x", lambda r: r["line"]), "").alias("json"))
 
 
 def write(tables: dict[str, DataFrame], path: str) -> None:

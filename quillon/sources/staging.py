@@ -8,7 +8,7 @@ import re
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 from quillon import runtime as rt
@@ -62,15 +62,23 @@ def _options(kind: str, given: Mapping) -> dict:
 
 
 def read_file(spark: SparkSession, kind: str, path: str, o: Mapping) -> DataFrame:
-    """csv, json or parquet with the staging options."""
+    """csv, json or parquet with the staging options; an option that cannot be honoured is an error.
+
+    union_by_name matches the columns of several files by name (JSON files always are); hive_partitioning false keeps folder
+    names out of the columns.
+    """
     reader = spark.read
+    if o.get("hive_partitioning") is False:
+        reader = reader.option("recursiveFileLookup", True)
     if kind == "csv":
         reader = reader.option("header", o.get("header", True)).option("inferSchema", not o.get("all_varchar", False) and o.get("auto_detect", True))
         for ours, sparks in (("delim", "sep"), ("quote", "quote"), ("escape", "escape"), ("nullstr", "nullValue")):
             if ours in o:
                 reader = reader.option(sparks, o[ours])
-        df = reader.csv(path)
+        df = _by_name(spark, reader, path) if o.get("union_by_name") and o.get("header", True) else reader.csv(path)
     elif kind == "json":
+        if o.get("auto_detect", True) is not True or o.get("records", "auto") not in (True, "auto", "true") or "maximum_object_size" in o:
+            raise ConfigError("of auto_detect, records and maximum_object_size only the defaults are supported")
         df = reader.option("multiLine", o.get("format") == "array").json(path)
     else:
         df = reader.option("mergeSchema", o.get("union_by_name", False)).parquet(path)
@@ -81,6 +89,20 @@ def read_file(spark: SparkSession, kind: str, path: str, o: Mapping) -> DataFram
     return df
 
 
+def _by_name(spark: SparkSession, reader: DataFrameReader, path: str) -> DataFrame:
+    """CSV files with different columns: files of one header are read at once, and the few headers united by name."""
+    heads = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), "value")
+    heads = heads.where("at = 0").groupBy("file").agg(F.first("value").alias("head"))  # the first line of a file's first block
+    groups: dict[str, list[str]] = {}
+    for r in heads.collect():
+        groups.setdefault(r["head"], []).append(r["file"])
+    out = None
+    for head in sorted(groups):
+        df = reader.csv(sorted(groups[head]))
+        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+    return reader.csv(path) if out is None else out
+
+
 def plan(config: Mapping, base: str = ".", environment: Mapping | None = None) -> list[Target]:
     """Targets of a configuration {schemaVersion: 1, sources: [...]}; nothing is read yet."""
     if config.get("schemaVersion") != 1 or not config.get("sources"):

@@ -49,6 +49,10 @@ def test_highlight_ranges_merge(spark):
     assert [(r["start"], r["stop"]) for r in got] == [(0, 6), (7, 10)]
 
 
+def test_statements_keep_their_digits(spark):
+    assert one(spark, tx.split_statements(F.col("s")), s="T0\nGive 101. 10 mg of 1") == ["T0", "Give 101.", "10 mg of 1"]
+
+
 def test_statements_and_citations(spark):
     parts = one(spark, tx.split_statements(F.col("s")), s="One thing [S1]. Two. next\n3 items! Done")
     assert parts == ["One thing [S1].", "Two. next", "3 items!", "Done"]
@@ -100,8 +104,9 @@ def test_quantities(spark):
         return out
 
     assert got("500 мг, 0.5 г, 1 л и 2 см") == {"mass-mg": {500.0}, "volume-ml": {1000.0}, "length-mm": {20.0}}
+    assert got("0.0004 мкг") == {"mass-mg": {4e-7}} and got("５００ мг") == {"mass-mg": {500.0}}
     assert got("") == {} and got("12") == {"number": {12.0}}
-    diff = lambda a, b: one(spark, q.differing_dimensions(q.quantities(F.col("a")), q.quantities(F.col("b"))), a=a, b=b)
+    diff = lambda a, b: one(spark, q.differing_dimensions(q.quantities(F.col("a"), composed=True), q.quantities(F.col("b"), composed=True)), a=a, b=b)
     assert diff("500 мг", "0,5 г") == [] and diff("500 мг", "1 г") == ["mass-mg"] and diff("5 мг", "5 мл") == []
     assert one(spark, F.size(q.quantities(F.col("s"), strict=True)), s="5 месяцев") == 1
     assert one(spark, q.rounded(F.col("v"), 3), v=1234.5) == 1230.0
@@ -123,7 +128,10 @@ def test_orders(spark):
         assert one(spark, edition, k=k, a=a, b=b) == want
     t = lambda d: F.lit(f"2024-01-{d:02d}").cast("timestamp")
     for a, b, c, d, want in [(1, 5, 5, 9, "meets"), (5, 9, 1, 5, "met_by"), (1, 3, 5, 9, "before"), (7, 9, 1, 5, "after"), (1, 9, 2, 5, "contains"), (2, 5, 1, 9, "during"), (1, 5, 3, 9, "overlaps"), (1, 5, 1, 5, "equal"), (5, 1, 2, 3, "unknown")]:
-        assert one(spark, ch.validity_relation(t(a), t(b), t(c), t(d))) == want
+        assert one(spark, ch.validity_relation(*map(ch.instant, (t(a), t(b), t(c), t(d))))) == want
+    v = lambda x: ch.normalize_temporal(F.lit(x))
+    for a, b, c, d, want in [("2020", "2022", "2023", "2024", "before"), ("2020", "2022", "2022", "2024", "unknown"), ("2020-01-01", "2024", "2021", "2022", "contains"), ("2020", "2022-06", "2021", "2024", "overlaps"), ("2020", "2021", "2020", "2021", "equal"), ("2020", None, "2020", "2021", "unknown"), ("2022", "2021", "2019", "2020", "unknown")]:
+        assert one(spark, ch.validity_relation(v(a), v(b), v(c), v(d))) == want
 
 
 def test_skew_join_equals_plain_join(spark):

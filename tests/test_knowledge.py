@@ -9,9 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon import runtime as rt
-from quillon.operators import compare, evidence, graph, model, search, tasks
+from quillon.functions import chronology
+from quillon.operators import compare, evidence, graph, model, notes, search, tasks
 from quillon.plans import knowledge_queries
-from quillon.sources import database, documents, interchange, staging
+from quillon.sources import database, documents, interchange, packs, staging
 from quillon.streaming import queue
 
 RECORD = "id string, kind string, relation string, authority string, title string, document_title string, aliases string, entity_names string, tags string, body string"
@@ -256,13 +257,158 @@ def test_database_and_staging(spark, tmp_path):
     assert not (tmp_path / "out2").exists()
 
 
-def test_export_and_restore_are_inverse(spark):
+def test_export_and_restore_keep_every_field(spark, tmp_path):
     packs = [
-        {"id": "p", "version": "1.0.0", "title": "P", "description": "d", "language": "de", "documents": [{"id": "d2", "title": "B", "summary": None, "sections": [{"id": "s1", "title": "x", "text": "T", "entityIds": ["e"], "tags": []}, {"id": "s0", "title": "y", "text": "", "entityIds": None, "tags": None}]}, {"id": "d1", "title": "A", "summary": "z", "sections": []}], "entities": [{"id": "e", "name": "E", "type": None, "aliases": []}], "claims": [], "relations": None, "statementRelations": None},
-        {"id": "q", "version": "2", "title": "Q", "description": "", "language": "ru", "documents": [], "entities": None, "claims": [{"id": "c", "text": "t", "subjectId": None, "objectId": None, "source": {"documentId": "d", "sectionId": None, "quote": "«q»"}}], "relations": [], "statementRelations": []},
+        {"id": "p", "version": "1.0.0", "odd": {"a": [1, "1", None]}, "documents": [{"id": "d2", "x": 1, "sections": [{"id": "s1", "title": "x", "text": "T", "k": [True]}, {"id": "s0"}]}, {"id": "d1", "sections": []}, {}], "entities": [{"id": "e", "name": "E"}], "claims": []},
+        {"id": "q", "documents": [], "claims": [{"id": "c", "text": "t", "source": {"quote": "«q» \\ \"z\""}}], "relations": [], "statementRelations": [{"id": "r"}]},
+        {}, {"documents": [{"id": "only", "sections": [{"text": "a\nb"}]}]},
     ]
-    df = spark.createDataFrame(packs, interchange.PACK)
-    back = interchange.restore(interchange.export(df), spark)
-    plain = lambda x: sorted(json.dumps(r.asDict(recursive=True), sort_keys=True) for r in x.collect())
-    assert plain(back.select(df.columns)) == plain(df)
-    assert interchange.fingerprint(df).first() == interchange.fingerprint(back.select(df.columns)).first()
+    df = spark.createDataFrame([(f"k{i}", json.dumps(p)) for i, p in enumerate(packs)], "pack_id string, json string")
+    tables = interchange.export(df)
+    back = {r["pack_id"]: json.loads(r["json"]) for r in interchange.restore(tables).collect()}
+    assert back == {f"k{i}": p for i, p in enumerate(packs)}
+    interchange.write(tables, str(tmp_path / "t"))
+    again = interchange.read(spark, str(tmp_path / "t"))
+    assert interchange.fingerprint(again["sections"]).first() == interchange.fingerprint(tables["sections"]).first()
+    interchange.write_pack_json(again, str(tmp_path / "json"))
+    text = "".join(open(f, encoding="utf-8").read() for f in sorted(map(str, (tmp_path / "json").glob("part-*"))))
+    decoder, at, got = json.JSONDecoder(strict=False), 0, []
+    text = text.replace("\n", "")
+    while at < len(text):
+        one, at = decoder.raw_decode(text, at)
+        got.append(one)
+    assert got == packs
+
+
+def test_pack_of_a_folder(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "a.md").write_text("# Guide\n\nIntro text.\n\n## Part one\n\n" + "\n\n".join("word " * 300 for _ in range(9)) + "\n")
+    (tmp_path / "sub" / "b.txt").write_text("Short title\n\nMagnetic resonance imaging (MRI) is used.")
+    (tmp_path / "c.json").write_text('{"title": "Data", "n": [1, "x"]}')
+    (tmp_path / "d.bin").write_bytes(b"\0\1")
+    (tmp_path / ".hidden.md").write_text("# no")
+    (tmp_path / "bad.json").write_text("{")
+    pack = packs.build(spark, str(tmp_path))
+    docs = {r["document_id"]: r["title"] for r in pack.documents.collect()}
+    assert docs == {"doc.a-md": "Guide", "doc.sub-b-txt": "Short title", "doc.c-json": "Data"}
+    sections = pack.sections.orderBy("document_id", "section_order").collect()
+    own = [r for r in sections if r["document_id"] == "doc.a-md"]
+    assert [r["title"] for r in own] == ["Содержание", "Part one · часть 1", "Part one · часть 2", "Part one · часть 3"]
+    assert own[1]["section_id"] == "part-one-part-1-2" and all(len(r["text"]) <= 5000 for r in sections)
+    assert [r["text"] for r in sections if r["document_id"] == "doc.c-json"] == ['$.title: "Data"\n$.n[0]: 1\n$.n[1]: "x"']
+    assert [(r["name"], r["aliases"]) for r in pack.entities.collect()] == [("Magnetic resonance imaging", ["MRI"])]
+    whole = json.loads(interchange.restore(packs.as_json(pack, "kb.test")).first()["json"])
+    assert whole["id"] == "kb.test" and [len(d["sections"]) for d in whole["documents"]] == [4, 1, 1] and whole["schemaVersion"] == 1
+    with pytest.raises(ValueError):
+        packs.build(spark, _empty(tmp_path))
+
+
+def _empty(tmp_path):
+    (tmp_path / "empty").mkdir()
+    (tmp_path / "empty" / "x.bin").write_bytes(b"\0")
+    return str(tmp_path / "empty")
+
+
+def test_sections_of_documents_and_pages(spark):
+    ns = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    para = lambda t, style=None: f'<w:p>{f"<w:pPr><w:pStyle w:val=\"{style}\"/></w:pPr>" if style else ""}<w:r><w:t>{t}</w:t></w:r></w:p>'
+    buf = BytesIO()
+    with zipfile.ZipFile(buf, "w") as z:
+        z.writestr("word/document.xml", f"<w:document {ns}><w:body>{para('The title', 'Title')}{para('Dose', 'Heading1')}{para('one &amp; two')}{para('')}{para('x' * 4000)}{para('y' * 3000)}{para('Next', 'Heading2')}{para('last')}</w:body></w:document>")
+    rows = documents.docx_sections(spark.createDataFrame([("/a/f.docx", bytearray(buf.getvalue())), ("/a/broken.docx", bytearray(b"zz"))], "path string, content binary")).collect()
+    got = [(r["section_id"], r["title"], r["paragraph_start"], r["paragraph_end"], r["document_title"]) for r in rows]
+    assert got == [("dose", "Dose", 3, 5, "The title"), ("dose-part-2", "Dose · часть 2", 6, 6, "The title"), ("next", "Next", 8, 8, "The title")]
+    pages = spark.createDataFrame([("d", 1, "short"), ("d", 2, "z" * 6000 + "\n\nend"), ("d", 3, " "), ("d", 4, None)], "document_id string, page int, text string")
+    out = documents.page_sections(pages).orderBy("page", "section_id").collect()
+    assert [(r["section_id"], len(r["body"])) for r in out] == [("page-1", 5), ("page-2", 5000), ("page-2-part-2", 1000), ("page-2-part-3", 3)]
+
+
+def test_whole_tables_are_staged_and_rows_without_key_are_told_apart(spark, tmp_path):
+    path = str(tmp_path / "big.db")
+    with sqlite3.connect(path) as con:
+        con.execute("CREATE TABLE big (a TEXT, b INTEGER)")
+        con.executemany("INSERT INTO big VALUES (?, ?)", ((f"v{i % 7}", i % 3) for i in range(60_001)))
+        con.execute("DELETE FROM big WHERE rowid % 1000 = 5")
+        con.execute("CREATE VIEW small AS SELECT a FROM big WHERE b = 1 LIMIT 10")
+        con.execute("CREATE TABLE keyed (id INTEGER PRIMARY KEY, t TEXT)")
+        con.executemany("INSERT INTO keyed VALUES (?, ?)", ((i, "x") for i in (10, 2, 1)))
+    kept = 60_001 - 60
+    assert database.read_sqlite(spark, path, "big", 5_000).count() == kept and database.read_sqlite(spark, path, "small").count() == 10
+    config = {"schemaVersion": 1, "sources": [{"type": "sqlite", "path": "big.db", "tables": [{"source": "big", "target": "big"}]}]}
+    staging.stage(spark, staging.plan(config, str(tmp_path)), str(tmp_path / "staged"), "t")
+    assert spark.read.parquet(str(tmp_path / "staged" / "big")).count() == kept
+    part = database.read_sqlite(spark, path, "big").limit(50)
+    ids = [r["section_id"] for r in database.row_sections(part, database.Mapping("big", [])).collect()]
+    assert len(set(ids)) == 50
+    double = spark.createDataFrame([("1", "x"), ("1", "x"), ("2", "y"), (None, "z"), (None, "z")], "id string, t string")
+    out = database.row_sections(double, database.Mapping("t", ["id"])).collect()
+    assert len({r["section_id"] for r in out}) == 5 and sum("row" in r["identity_json"] for r in out) == 2
+    first, said = database.import_sqlite(spark, path, database.Mapping("keyed", []), 2)
+    assert sorted(r["title"] for r in first.collect()) == ["keyed · 1", "keyed · 2"] and len(said) == 1
+    docs, sections, said = database.import_directory(spark, path, [database.Mapping("keyed", []), database.Mapping("small", [], kind="view")])
+    assert {r["title"] for r in docs.collect()} == {"keyed", "small"} and sections.count() == 13 and not said
+
+
+def test_staging_options(spark, tmp_path):
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / "1.csv").write_text("id,title\n1,x\n")
+    (tmp_path / "c" / "2.csv").write_text("title,note,id\ny,n,2\n")
+    got = staging.read_file(spark, "csv", str(tmp_path / "c"), {"union_by_name": True, "all_varchar": True})
+    assert sorted((r["id"], r["title"], r["note"]) for r in got.collect()) == [("1", "x", None), ("2", "y", "n")]
+    (tmp_path / "h" / "p=1").mkdir(parents=True)
+    spark.range(3).write.parquet(str(tmp_path / "h" / "p=1" / "f.parquet"))
+    assert "p" not in staging.read_file(spark, "parquet", str(tmp_path / "h"), {"hive_partitioning": False}).columns
+    with pytest.raises(staging.ConfigError):
+        staging.read_file(spark, "json", str(tmp_path), {"maximum_object_size": 5})
+
+
+def test_chronology_of_statements(spark):
+    claim = "claim_ref string, text string, quote string, subject string, object string, side " + chronology.SIDE
+    side = lambda **k: tuple(k.get(f) for f in "ref doc pub vf vu series ident alg pred rel".split())
+    rows = [
+        ("p::a", "Dose is 5 mg", "", "Amox", "", side(ref="p::1", doc="1", pub="2025", series="s", ident="2.0.0", alg="semver", pred="2", rel="Replaces")),
+        ("p::b", "Dose is 9 mg", "", "Amox", "", side(ref="p::2", doc="2", pub="2024-05", series="s", ident="2.0.0-rc.1", alg="semver")),
+        ("p::c", "Dose is 7 mg", "", "Amox", "", side(ref="p::3", doc="3", vf="2020", vu="2021-06")),
+        ("p::d", "Dose is 8 mg", "", "Amox", "", side(ref="p::4", doc="4", vf="2022-01", vu="2023", pred="3", rel="amends")),
+        ("p::e", "Dose is 6 mg", "", "Amox", "", None),
+    ]
+    res = compare.resources(spark.createDataFrame(rows, claim))
+    got = {(r["left_ref"], r["right_ref"]): r for r in compare.detect(res, res.limit(0)).collect()}
+    ab, cd, ae = got["p::a", "p::b"], got["p::c", "p::d"], got["p::a", "p::e"]
+    assert ab["suggested_type"] == "supersedes" and ab["signals"] == "numeric_difference,same_edition_series,later_issue_date,later_edition,explicit_replacement"
+    assert cd["suggested_type"] == "different_scope" and "validity_intervals_do_not_overlap,explicit_amendment" in cd["signals"]
+    assert ae["suggested_type"] == "contradicts" and ae["signals"] == "numeric_difference"
+
+
+def test_evidence_of_a_question(spark):
+    body = "id string, title string, document_title string, body string"
+    recs = spark.createDataFrame([(f"section:p:d:{i}", f"T{i}", "D", f"Body {i}. More text here.") for i in range(6)], body)
+    results = spark.createDataFrame([(1, r, f"section:p:d:{i}", k) for r, (i, k) in enumerate([(0, "section"), (9, "note"), (1, "section"), (2, "section"), (3, "section"), (4, "section")], 1)], "answer_id long, rank int, id string, kind string")
+    said = spark.createDataFrame([("p::c1", "section:p:d:0", "Claim one.", "more text here"), ("p::c2", "section:p:d:4", "Other.", None)], "claim_ref string, section_ref string, text string, quote string")
+    conflicts = spark.createDataFrame([("section:p:d:1", "section:p:d:5"), ("section:p:d:5", "section:p:d:1")], "section_ref string, counterpart string")
+    raw = [("n1", "about it", "b", "contradicts", None, None, "c1", None, "t", None), ("n2", "Dosing of amox", "x", "observation", None, None, None, None, "t", None), ("n3", "else", "y", "supersedes", None, None, None, None, "t", None)]
+    own = notes.normalized_notes(spark.createDataFrame(raw, notes.NOTE))
+    got = evidence.collected(evidence.base_sources(results), recs, said, own, conflicts, "dosing", "compact")
+    sources = got["sources"].orderBy("source_no").collect()
+    assert [(r["source_id"], r["section_ref"][-1], r["supplemental"], r["claims"]) for r in sources] == [("S1", "0", False, 1), ("S2", "1", False, 0), ("S3", "5", True, 0), ("S4", "2", False, 0), ("S5", "3", False, 0)]
+    assert {r["id"] for r in got["notes"].collect()} == {"n1", "n2"} and {r["id"] for r in got["conflicts"].collect()} == {"n1"}
+    first = {r["fragment"] for r in evidence.fragments(got["sources"], got["claims"]).where("source_id = 'S1'").collect()}
+    assert first == {"T0", "Body 0.", "More text here.", "more text here", "D", "Claim one."}
+
+
+def test_keyed_store_removes_what_it_replaces(spark):
+    store = tasks.KeyedStore(spark.createDataFrame([("a", 1), ("b", 2)], "id string, v int"))
+    old = store.rows.__dict__["_written_at"]
+    store.put(spark.createDataFrame([("b", 3), ("c", 1), ("c", 4)], "id string, v int"))
+    assert sorted(map(tuple, store.all().collect())) == [("a", 1), ("b", 3), ("c", 4)] and not rt.path_exists(spark, old)
+    store.delete(spark.createDataFrame([("a",), ("a",)], "id string"))
+    assert sorted(r["id"] for r in store.all().collect()) == ["b", "c"] and store.one("c").first()["v"] == 4
+    store.clear()
+    assert store.all().count() == 0
+
+
+def test_relation_rules(spark):
+    rows = [(1, "p", "r1", "a", "b", "supports", "confirmed", "0.5"), (2, "p", "r1", "a", "p::a", "odd", "strange", "2"), (3, "p", None, "", None, "refines", None, None), (4, "p", "r4", "zz", "q::a", "refines", None, "x")]
+    rel = spark.createDataFrame(rows, "relation_order long, pack_id string, relation_id string, source_claim_id string, target_claim_id string, type string, status string, confidence string")
+    got = {(r["relation_order"], r["rule"]) for r in model.relation_violations(rel, spark.createDataFrame([("p", "a"), ("p", "b")], "pack_id string, claim_id string")).collect()}
+    assert got == {(2, "same_statement"), (2, "type_unsupported"), (2, "status_unsupported"), (2, "confidence_out_of_range"), (2, "id_repeated"), (3, "id_missing"), (3, "source_missing"), (3, "target_missing"), (4, "confidence_out_of_range"), (4, "statement_unknown")}
