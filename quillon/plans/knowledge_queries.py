@@ -11,7 +11,7 @@ from quillon import runtime as rt
 from quillon.functions import chronology as ch
 from quillon.functions import quantities as qt
 from quillon.functions import text as tx
-from quillon.operators import compare, evidence, graph, model, notes, search, tasks
+from quillon.operators import compare, evidence, graph, model, notes, reviews, search, tasks, views
 from quillon.sources import database, documents as docs_src, interchange, staging
 from quillon.streaming import queue
 
@@ -487,6 +487,56 @@ def notes_targets(spark: SparkSession, d: str) -> DataFrame:
     return notes.targets(n)
 
 
+def view_statements(spark: SparkSession, d: str) -> DataFrame:
+    rows = views.statements_of(model.claims(spark, d).where("source_document_id is not null and source_section_id is not null"))
+    return rows.groupBy("section_key").agg(F.count(F.lit(1)).alias("statements"), F.min("runtime_id").alias("first_id"))
+
+
+def view_linked_entities(spark: SparkSession, d: str) -> DataFrame:
+    return views.linked_entities(model.claims(spark, d), model.entities(spark, d))
+
+
+def view_snippets(spark: SparkSession, d: str) -> DataFrame:
+    """The text around the quote of every live claim."""
+    cla = model.claims(spark, d).select("claim_order", "pack_id", F.col("source_document_id").alias("document_id"), F.col("source_section_id").alias("section_id"), "source_quote")
+    met = rt.skew_join(cla, model.sections(spark, d).select("pack_id", "document_id", "section_id", "text"), ["pack_id", "document_id", "section_id"], "inner")
+    return met.select("claim_order", F.md5(views.context_snippet(F.col("text"), F.col("source_quote"))).alias("digest"))
+
+
+def view_labels(spark: SparkSession, d: str) -> DataFrame:
+    rows = rt.table(spark, d, "lnote_statement_relations", "relation_order", "type", "source_claim_id")
+    return rows.select("relation_order", views.statement_label(F.col("type")).alias("label"), views.duration(F.col("relation_order") * 40).alias("duration"), views.megabytes(F.col("relation_order") * 1.0).alias("size"))
+
+
+def view_corpus(spark: SparkSession, d: str) -> DataFrame:
+    return views.corpus_bytes(model.search_records(spark, d))
+
+
+def view_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Where the subject and the object of a live claim stand in its text."""
+    cla = model.claims(spark, d).select(F.col("claim_order").alias("id"), "pack_id", "text", "subject_id", "object_id")
+    refs = cla.select("id", "pack_id", F.explode(F.array_distinct(F.array("subject_id", "object_id"))).alias("entity_id"))
+    terms = F.transform(F.array_compact(F.concat(F.array("name"), model.strings("aliases_json"))), lambda t: F.struct(t.alias("term"), F.col("entity_id").alias("entity_id")))
+    ents = model.entities(spark, d).select("pack_id", "entity_id", terms.alias("terms"))
+    listed = rt.skew_join(refs, ents, ["pack_id", "entity_id"], "inner").groupBy("id").agg(F.flatten(F.array_sort(F.collect_list("terms"))).alias("terms"))
+    return views.entity_spans(cla.select("id", "text").join(listed, "id"))
+
+
+def view_assets(spark: SparkSession, d: str) -> DataFrame:
+    """Addresses of the pages of scanned files, and routes of their documents."""
+    rows = rt.table(spark, d, "ocr_candidates", "candidate_no", "source_path", "page", "document_id")
+    return rows.select(
+        "candidate_no", views.asset_url(F.col("source_path"), tx.mime_type(F.col("source_path")), F.col("page"), F.lit(None).cast("string")).alias("url"),
+        views.route_hash("document", F.col("document_id"), section=F.concat(F.lit("page-"), F.col("page").cast("string"))).alias("route"),
+    )
+
+
+def review_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Accepted scanned pages as sections."""
+    rows = rt.table(spark, d, "ocr_candidates", F.col("candidate_no").cast("string").alias("candidate_id"), "page", "decision", "text")
+    return reviews.accepted_pages(rows).select("candidate_id", "section_id", "title", F.md5("body").alias("digest"))
+
+
 def graph_layout(spark: SparkSession, d: str) -> DataFrame:
     return graph.layout(graph.nodes(spark, d))
 
@@ -572,7 +622,7 @@ def queries() -> dict:
             model_resolved, model_relation_violations, model_packages, model_unique_sections, search_vocabulary, search_index, search_best_postings, search_top, search_fuzzy, search_bm25, search_fallback,
             search_suggest, search_corrections, search_stats, search_expansion, compare_related, compare_discrepancies, compare_subjects, chrono_documents, chrono_intervals,
             chrono_editions, graph_nodes, graph_degrees, graph_ego, evidence_coverage, evidence_support, evidence_citations, evidence_budget, evidence_base, evidence_sources, evidence_fragments, evidence_prompt, source_rows,
-            source_markdown, source_json, source_plain, source_documents, source_pages, interchange_round, staging_sources, notes_records, notes_targets, graph_layout, task_store, stream_windows, ocr_review_state, task_latest, task_summary, task_runnable, task_speed, task_windows, sql_pricing, sql_top_customers,
+            source_markdown, source_json, source_plain, source_documents, source_pages, interchange_round, staging_sources, notes_records, notes_targets, graph_layout, view_statements, view_linked_entities, view_snippets, view_labels, view_corpus, view_spans, view_assets, review_pages, task_store, stream_windows, ocr_review_state, task_latest, task_summary, task_runnable, task_speed, task_windows, sql_pricing, sql_top_customers,
         )
     }
     named |= {
@@ -819,6 +869,23 @@ def oracle_sql() -> dict[str, str]:
           FROM n LEFT JOIN t ON t.document_id = string_split(doc, '::')[-1] WHERE coalesce(title, '') <> '' AND body <> ''""",
         "notes_targets": """SELECT level, target, count(*) AS notes FROM (SELECT 'document' AS level, source_document_id AS target FROM lnote_claims
           UNION ALL SELECT 'section', source_document_id || '/' || source_section_id FROM lnote_claims UNION ALL SELECT 'claim', claim_id FROM lnote_claims) x WHERE target IS NOT NULL GROUP BY ALL""",
+        "view_statements": f"""SELECT pack_id || '::' || trim(source_document_id) || '/' || trim(source_section_id) AS section_key, count(*) AS statements, min({_sql_qualify('claim_id')}) AS first_id
+          FROM {CLAIMS} x WHERE trim(source_document_id) <> '' AND trim(source_section_id) <> '' GROUP BY 1""",
+        "view_linked_entities": f"""WITH c AS (SELECT pack_id, {_sql_qualify('claim_id')} AS claim_ref, subject_id, object_id FROM {CLAIMS} x), e AS {ENTS},
+          r AS (SELECT pack_id, claim_ref, 'subject' AS role, subject_id AS entity_id FROM c UNION ALL SELECT pack_id, claim_ref, 'object', object_id FROM c)
+          SELECT claim_ref, role, entity_id, name FROM r JOIN e USING (pack_id, entity_id)""",
+        "view_snippets": f"""WITH m AS (SELECT claim_order, trim(coalesce(s.text, '')) AS t, trim(coalesce(source_quote, '')) AS q FROM {CLAIMS} c JOIN {SECS} s ON s.pack_id = c.pack_id AND s.document_id = c.source_document_id AND s.section_id = c.source_section_id),
+          p AS (SELECT *, CASE WHEN q = '' THEN 0 ELSE strpos(t, q) END AS f, greatest(0, (520 - length(q)) // 2) AS w FROM m), b AS (SELECT *, greatest(0, f - 1 - w) AS a, least(length(t), f - 1 + length(q) + w) AS z FROM p)
+          SELECT claim_order, md5(CASE WHEN f > 0 THEN CASE WHEN a > 0 THEN '…' ELSE '' END || substr(t, a + 1, z - a) || CASE WHEN z < length(t) THEN '…' ELSE '' END ELSE substr(t, 1, 520) END) AS digest FROM b""",
+        "view_labels": f"""SELECT relation_order, coalesce(map {{{', '.join(f"'{k}': '{v}'" for k, v in views.STATEMENT_LABELS.items())}}}[type], '{views.OTHER_STATEMENT}') AS label,
+          CASE WHEN ms < 1000 THEN ms || ' мс' WHEN ms < 10000 THEN printf('%.1f', ms / 1000) || ' с' ELSE printf('%.0f', ms / 1000) || ' с' END AS duration,
+          CASE WHEN relation_order >= 1024 THEN printf('%.1f', relation_order / 1024) || ' ГБ' WHEN relation_order >= 10 THEN relation_order || ' МБ' ELSE printf('%.1f', relation_order::DOUBLE) || ' МБ' END AS size
+          FROM (SELECT *, relation_order * 40 AS ms FROM lnote_statement_relations) x""",
+        "view_corpus": f"WITH {RECORDS} SELECT count(*) AS records, (2 * sum(length(coalesce(title, '')) + length(coalesce(document_title, '')) + length(coalesce(body, '')) + length(aliases) + length(entity_names) + length(tags)))::BIGINT AS bytes FROM records",
+        "view_assets": """SELECT candidate_no, source_path || '#page=' || greatest(1, coalesce(page, 1)) || '&view=FitH' AS url,
+          '#/document/' || url_encode(document_id) || '?from=search&depth=1' || CASE WHEN page IS NULL THEN '' ELSE '&section=page-' || page END AS route FROM ocr_candidates""",
+        "review_pages": f"""WITH p AS (SELECT candidate_no::VARCHAR AS candidate_id, coalesce(page, 1) AS page, {clean} AS t FROM ocr_candidates WHERE decision = 'accept')
+          SELECT candidate_id, 'page-' || page AS section_id, 'Страница ' || page AS title, md5(t) AS digest FROM p WHERE t <> '' AND length(t) <= 5000""",
         "graph_layout": f"""WITH d AS (SELECT x.* FROM {DOCS} x JOIN catalog k ON k.id = x.pack_id), s AS (SELECT y.* FROM {SECS} y SEMI JOIN d USING (pack_id, document_id)), e AS (SELECT x.* FROM {ENTS} x JOIN catalog k ON k.id = x.pack_id),
           n AS (SELECT 'pack:' || id AS id, 0 AS c, title AS label FROM catalog UNION ALL SELECT 'document:' || pack_id || ':' || document_id, 1, title FROM d
             UNION ALL SELECT 'section:' || pack_id || ':' || document_id || ':' || section_id, 2, title FROM s UNION ALL SELECT 'concept:' || entity_id, 3, arg_max(name, (entity_order, pack_id)) FROM e GROUP BY entity_id)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillon import runtime as rt
 from quillon.functions import chronology
-from quillon.operators import compare, evidence, graph, model, notes, search, tasks
+from quillon.operators import compare, evidence, graph, model, notes, reviews, search, tasks, views
 from quillon.plans import knowledge_queries
 from quillon.sources import database, documents, interchange, packs, staging
 from quillon.streaming import queue
@@ -396,6 +396,46 @@ def test_evidence_of_a_question(spark):
     assert first == {"T0", "Body 0.", "More text here.", "more text here", "D", "Claim one."}
 
 
+def test_views_and_reviews(spark):
+    spans = spark.createDataFrame([(1, "Amox and amoxicillin, AMOX.", [("Amox", "e1"), ("amoxicillin", "e2"), ("amox", "e3")]), (2, "none", []), (3, None, [("x", "e")])], "id long, text string, terms array<struct<term:string, entity_id:string>>")
+    got = [tuple(r) for r in views.entity_spans(spans).orderBy("start").collect()]
+    assert got == [(1, 0, 4, "e1"), (1, 9, 20, "e2"), (1, 22, 26, "e1")]
+    pages = views.inspector_pages(spark.createDataFrame([("d", "first\n<!-- Page 2 -->\nsecond\n<!-- page 3 -->\n\n<!-- Page 2 -->more"), ("e", None)], "document_id string, markdown string"))
+    assert sorted(map(tuple, pages.collect())) == [("d", 1, "first"), ("d", 2, "second\n\nmore")]
+    names = {r["path"]: r["name"] for r in views.asset_names(spark.createDataFrame([("a/Übersicht 1.PDF",), ("b/Übersicht 1.pdf",), ("c",)], "path string")).collect()}
+    assert names["a/Übersicht 1.PDF"].endswith("bersicht-1.pdf") and len(set(names.values())) == 3 and names["c"] == "c"
+    shown = views.with_assets(spark.createDataFrame([("s", "![x](asset:1) [y](asset:2)"), ("t", "z")], "section_ref string, text string"), spark.createDataFrame([("s", "1", "/u/1.png")], "section_ref string, asset_id string, url string"))
+    assert {r["section_ref"]: r["text"] for r in shown.collect()} == {"s": "![x](/u/1.png) [y](asset:2)", "t": "z"}
+    line = spark.createDataFrame([("c", i, float(i)) for i in range(32)], "clip_id string, at long, value double")
+    half = views.resampled_audio(line, 32_000).orderBy("at").collect()
+    assert len(half) == 16 and [r["value"] for r in half[:3]] == [0.0, 2.0, 4.0]
+    assert views.resampled_audio(line, 0).count() == 0 and len(views.resampled_audio(line, 8_000).collect()) == 64
+    assert views.mixed_audio(spark.createDataFrame([("c", 0, 0, 1.0), ("c", 1, 0, 0.0)], "clip_id string, channel int, at int, value double")).first()["value"] == 0.5
+
+    item = lambda **k: ("d", "s", *[k.get(f) for f in "kind name type aliases text quote subject object source target".split()])
+    items = spark.createDataFrame([
+        item(kind="entity", name="Amox", type="drug", aliases=["AMX"]), item(kind="entity", name=" known ", aliases=["K"]), item(kind="claim", text="Amox helps", quote="Amox helps", subject="amox", object="Fever"),
+        item(kind="claim", text="No quote", quote="not there", subject="Ghost"), item(kind="relation", type="Treats With", source="Amox", target="Fever"), item(kind="relation", type=None, source="Amox", target="Fever"),
+    ], "document_id string, section_id string, " + reviews.ITEM)
+    sections = spark.createDataFrame([("d", "s", "We saw that Amox helps.")], "document_id string, section_id string, text string")
+    entities = spark.createDataFrame([("e.known", "Known", "term", ["kn"]), ("entity.fever", "Other", "term", [])], "entity_id string, name string, type string, aliases array<string>")
+    none = spark.createDataFrame([], "claim_id string"), spark.createDataFrame([], "relation_id string")
+    out = reviews.merged(items, sections, entities, *none)
+    made = {r["name"]: r for r in out["entities"].collect()}
+    assert made["Amox"]["entity_id"] == "entity.amox" and made["Amox"]["type"] == "drug" and made["known"]["entity_id"] == "e.known" and not made["known"]["created"]
+    fever = made["Fever"]["entity_id"]
+    assert fever.startswith("entity-fever.") and fever != "entity.fever" and "Ghost" not in made
+    claim, relation = out["claims"].collect(), out["relations"].collect()
+    assert [(r["subject_id"], r["object_id"], r["authority"]) for r in claim] == [("entity.amox", fever, "reviewed")]
+    assert [(r["source_id"], r["target_id"], r["predicate"]) for r in relation] == [("entity.amox", fever, "treats_with")]
+    assert {r["entity_id"] for r in out["links"].collect()} == {"entity.amox", "e.known", fever}
+    again = reviews.merged(items, sections, entities, out["claims"].select("claim_id"), out["relations"].select("relation_id"))
+    assert again["claims"].count() == again["relations"].count() == 0
+    bad = spark.createDataFrame([("c1", "accept", False), ("c2", "pending", True)], "id string, decision string, eligible boolean")
+    with pytest.raises(Exception, match="cannot be accepted"):
+        reviews.accepted(bad).collect()
+
+
 def test_keyed_store_removes_what_it_replaces(spark):
     store = tasks.KeyedStore(spark.createDataFrame([("a", 1), ("b", 2)], "id string, v int"))
     old = store.rows.__dict__["_written_at"]
