@@ -43,11 +43,24 @@ def restored(tasks: DataFrame) -> DataFrame:
 
 
 def timing_summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """count, mean, nearest-rank p50 and p95, maximum."""
-    exact = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})")
-    return df.groupBy(*keys).agg(
-        F.count(value).alias("samples"), F.round(F.avg(value), 6).alias("mean"), exact(0.5).alias("p50"), exact(0.95).alias("p95"), F.max(value).alias("max")
-    )
+    """count, mean, nearest-rank p50 and p95, maximum; exact, and no key's values have to fit in one task. Null values do not count."""
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__v"))
+    sums = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("samples"), F.round(F.avg("__v"), 6).alias("mean"), F.max("__v").alias("max"))
+    ranked = rt.row_numbers(rows, keys, ["__v"], "__rank").join(F.broadcast(sums) if rt.fits_broadcast(sums) else sums, keys)
+    at = lambda p: F.max(F.when(F.col("__rank") == F.greatest(F.lit(1), F.ceil(F.col("samples") * p)), F.col("__v")))
+    return ranked.groupBy(*keys, "samples", "mean", "max").agg(at(0.5).alias("p50"), at(0.95).alias("p95")).select(*keys, "samples", "mean", "p50", "p95", "max")
+
+
+def smoothed_by(df: DataFrame, key: str, order: list[str], value: str, keep: float = 0.65) -> DataFrame:
+    """(key, speed): the running speed after the last row of every key, as a weighted sum, so that no key's rows are collected.
+
+    The speed is keep x old + (1 - keep) x new: a row k from the end weighs (1 - keep) keep^k, the first one keep^(n - 1).
+    """
+    rows = rt.row_numbers(df.select(key, *order, F.col(value).alias("__v")), [key], order, "__n")
+    last = rows.groupBy(key).agg(F.max("__n").alias("__last"))
+    aged = rt.skew_join(rows, last, [key], "inner").withColumn("age", F.pow(F.lit(keep), (F.col("__last") - F.col("__n")).cast("double")))
+    weight = F.when(F.col("__n") == 1, F.col("age")).otherwise(F.col("age") * (1 - keep))
+    return aged.groupBy(key).agg(F.sum(F.col("__v") * weight).alias("speed"))
 
 
 def smoothed(values: Column) -> Column:

@@ -588,10 +588,9 @@ def task_runnable(spark: SparkSession, d: str) -> DataFrame:
 
 
 def task_speed(spark: SparkSession, d: str) -> DataFrame:
-    """Smoothed value per user over the events in order (a user's events are folded, as the stream does)."""
-    rows = rt.table(spark, d, "events", "user_id", "event_id", "value")
-    folded = rows.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", "value"))).alias("e"))
-    return folded.select("user_id", F.round(tasks.smoothed(F.transform("e", lambda x: x["value"])), 6).alias("speed"))
+    """Smoothed value per user over the events in order."""
+    rows = tasks.smoothed_by(rt.table(spark, d, "events", "user_id", "event_id", "value"), "user_id", ["event_id"], "value")
+    return rows.select("user_id", F.round("speed", 6).alias("speed"))
 
 
 def task_windows(spark: SparkSession, d: str) -> DataFrame:
@@ -737,6 +736,37 @@ def _sql_coverage() -> str:
              regexp_matches(statement, '{neg}') <> regexp_matches(fragment, '{neg}') AS negation_mismatch FROM m"""
 
 
+def _sql_graph_nodes() -> str:
+    """Nodes with the categories that their own words, else their parents', suggest."""
+    words = {"child": "pediatr|детск|реб[её]н|младен|груднич", "tooth": "dent|стомат|зуб", "eruption": "прорезыван[а-я]*\\s+зуб|срок[а-я]*\\s+прорезыван|tooth\\s+eruption"}
+
+    def guess(*parts: str) -> str:
+        has = {k: f"regexp_matches(lower(concat_ws(' ', {', '.join(parts)})), '{w}')" for k, w in words.items()}
+        one = lambda c, w: f"{{'id': '{c}', 'w': {w}::DOUBLE}}"
+        return (
+            f"CASE WHEN {has['eruption']} OR ({has['child']} AND {has['tooth']}) THEN [{one('pediatrics', 0.5)}, {one('dentistry', 0.5)}] "
+            f"WHEN {has['child']} THEN [{one('pediatrics', 1)}] WHEN {has['tooth']} THEN [{one('dentistry', 1)}] ELSE [] END"
+        )
+
+    given = """list_transform(list_filter(coalesce(try_cast(categories_json AS STRUCT(id VARCHAR, weight DOUBLE)[]), []), lambda c: coalesce(trim(c.id), '') <> ''),
+      lambda c: {'id': trim(c.id), 'w': CASE WHEN c.weight > 0 THEN c.weight ELSE 1.0::DOUBLE END})"""
+    own = "CASE WHEN len(g) > 0 THEN g ELSE up END AS cats, CASE WHEN len(g) > 0 THEN 2 WHEN len(up) > 0 THEN 1 ELSE 0 END AS priority"
+    return f"""WITH p0 AS (SELECT id AS pack_id, title, {given} AS x, {guess('id', 'title', 'kind', 'description')} AS g FROM catalog),
+      p AS (SELECT pack_id, title, CASE WHEN len(x) > 0 THEN x ELSE g END AS cats, CASE WHEN len(x) > 0 THEN 3 WHEN len(g) > 0 THEN 2 ELSE 0 END AS priority FROM p0),
+      d0 AS (SELECT d.*, p.cats AS up, {guess('d.title', 'summary', 'tags_json')} AS g FROM {DOCS} d JOIN p USING (pack_id)), d AS (SELECT *, {own} FROM d0),
+      s0 AS (SELECT s.*, d.cats AS up, {guess('s.title', 's.tags_json')} AS g FROM {SECS} s JOIN d USING (pack_id, document_id)), s AS (SELECT *, {own} FROM s0),
+      e0 AS (SELECT e.*, p.cats AS up, {guess('name', 'type', 'e.description')} AS g FROM {ENTS} e JOIN p USING (pack_id)), e AS (SELECT *, {own} FROM e0),
+      raw AS (SELECT 'pack:' || pack_id AS id, 'pack' AS type, title AS label, pack_id, 0 AS seen, cats, priority FROM p
+        UNION ALL SELECT 'document:' || pack_id || ':' || document_id, 'document', title, pack_id, document_order, cats, priority FROM d
+        UNION ALL SELECT 'section:' || pack_id || ':' || document_id || ':' || section_id, 'section', title, pack_id, section_row, cats, priority FROM s
+        UNION ALL SELECT 'concept:' || entity_id, 'concept', name, pack_id, entity_order, cats, priority FROM e),
+      m AS (SELECT id, type, arg_max(label, (seen, pack_id)) AS label, count(DISTINCT pack_id) AS pack_count, max(priority)::INTEGER AS priority FROM raw WHERE id IS NOT NULL GROUP BY id, type),
+      c AS (SELECT id, u.id AS category, sum(u.w) AS w FROM (SELECT raw.id, unnest(cats) AS u FROM raw JOIN m ON m.id = raw.id AND m.priority = raw.priority) x GROUP BY ALL),
+      w AS (SELECT id, string_agg(category || '=' || printf('%.4f', w / t), ',' ORDER BY category || '=' || printf('%.4f', w / t)) AS categories
+            FROM (SELECT *, sum(w) OVER (PARTITION BY id) AS t FROM c) y GROUP BY id)
+      SELECT m.id, type, label, pack_count, priority, coalesce(categories, '') AS categories FROM m LEFT JOIN w ON w.id = m.id"""
+
+
 def _sql_graph_edges() -> str:
     return f"""d AS (SELECT x.pack_id, document_id FROM {DOCS} x JOIN catalog k ON k.id = x.pack_id), s AS (SELECT y.* FROM {SECS} y SEMI JOIN d USING (pack_id, document_id)),
       e AS {ENTS}, r AS (SELECT pack_id, document_id, section_id, unnest({LIST.format('entity_ids_json')}) AS entity_id FROM s),
@@ -810,7 +840,7 @@ def oracle_sql() -> dict[str, str]:
         "search_vocabulary": f"WITH {POSTINGS} SELECT token, count(*) AS df, round(sum(score), 4) AS weight FROM posted GROUP BY token",
         "search_best_postings": f"""WITH {POSTINGS}, best AS (SELECT token, id, row_number() OVER (PARTITION BY token ORDER BY score DESC, id) AS n FROM posted)
           SELECT token, df, string_agg(id, ';' ORDER BY n) AS best FROM best JOIN vocab USING (token) WHERE n <= 3 GROUP BY token, df""",
-        "search_index": f"WITH {POSTINGS} SELECT token, df, row_number() OVER (PARTITION BY token ORDER BY score DESC, id)::INTEGER AS rank, id, score FROM posted JOIN vocab USING (token)",
+        "search_index": f"WITH {POSTINGS} SELECT token, df, row_number() OVER (PARTITION BY token ORDER BY score DESC, id) AS rank, id, score FROM posted JOIN vocab USING (token)",
         "search_top": _sql_search_top(),
         "search_bm25": _sql_bm25(),
         "search_fallback": _sql_fallback(),
@@ -831,6 +861,7 @@ def oracle_sql() -> dict[str, str]:
           WHEN {a} <= {c_} AND {b} >= {d_} THEN 'contains' WHEN {c_} <= {a} AND {d_} >= {b} THEN 'during' ELSE 'overlaps' END AS relation, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1""",
         "chrono_editions": """WITH p AS (SELECT id, list_transform(string_split(version, '.'), lambda x: x::INT) AS v FROM catalog)
           SELECT id, CASE WHEN v > [2, 1, 0] THEN 'source_after_target' WHEN v < [2, 1, 0] THEN 'source_before_target' ELSE 'equal' END AS version_order FROM p""",
+        "graph_nodes": _sql_graph_nodes(),
         "graph_degrees": f"WITH {_sql_graph_edges()} SELECT id, type, count(*) AS degree FROM (SELECT source AS id, type FROM edges UNION ALL SELECT target, type FROM edges) x GROUP BY ALL",
         "graph_ego": f"WITH {_sql_graph_edges()} SELECT target AS neighbour, type, 'out' AS direction FROM edges WHERE source = '{EGO}' UNION ALL SELECT source, type, 'in' FROM edges WHERE target = '{EGO}'",
         "evidence_coverage": _sql_coverage(),

@@ -245,4 +245,4 @@ def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str], name:
     shift = spans.select(*keys, "__part", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__shift"))
     own = F.row_number().over(Window.partitionBy("__part", *keys).orderBy(*order))
     out = ranged.withColumn("__own", own).join(F.broadcast(shift), [*keys, "__part"], "left")  # one row per partition boundary
-    return out.withColumn(name, (F.col("__own") + F.coalesce("__shift", F.lit(0))).cast("int")).drop("__own", "__shift", "__part")
+    return out.withColumn(name, (F.col("__own") + F.coalesce("__shift", F.lit(0))).cast("long")).drop("__own", "__shift", "__part")

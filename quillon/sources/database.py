@@ -82,7 +82,7 @@ def row_sections(df: DataFrame, m: Mapping, source: str = "sqlite") -> DataFrame
         counted = rows.groupBy("__id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("__id")
         repeated = None if counted.isEmpty() else rt.written(counted, "repeated-keys")
     if m.id_columns and repeated is None:
-        rows = rows.withColumns({"__row": F.lit(None).cast("int"), "__again": F.lit(False)})
+        rows = rows.withColumns({"__row": F.lit(None).cast("long"), "__again": F.lit(False)})
     else:
         order = [c for c in (*m.order_columns, *cells) if dict(df.dtypes)[c] != "binary"]
         rows = rt.row_numbers(rows.withColumn("__all", F.lit(0)), ["__all"], list(dict.fromkeys(order)), "__row").drop("__all")
