@@ -116,7 +116,7 @@ STATES = {
 #: Folders by key hash that a state has, and log entries after which they are merged into one.
 BUCKETS, COMPACT_AFTER = 8, 24
 #: Keys, and their bytes, that a batch may have for its keys to be broadcast to the state.
-SMALL_BATCH, SMALL_BATCH_BYTES = 50_000, 4 << 20
+SMALL_BATCH, SMALL_BATCH_BYTES = 150_000, 12 << 20
 REFERENCE = ["table_name", "row_order", "field_name"]
 
 
@@ -324,10 +324,12 @@ def track(spark: SparkSession, parents: DataFrame, refs: DataFrame, cuts: Sequen
     batch, gone_in = F.coalesce(number("arrived_at"), F.lit(0)), number("removed_at")
     removed_later = F.coalesce(F.col("gone_in") > F.col("batch"), F.lit(False))
     fed = parents.withColumn("batch", batch).withColumn("gone_in", gone_in)
-    told = refs.withColumn("batch", batch)
+    told, gone = refs.withColumn("batch", batch), fed.where(removed_later)
+    if len(cuts) > 1:  # each batch reads its own part instead of all rows
+        fed, told, gone = rt.written(fed, "feed-parents", ["batch"]), rt.written(told, "feed-references", ["batch"]), rt.written(gone, "feed-removals", ["gone_in"])
     for n in range(len(cuts) + 1):
         arrived = fed.where(F.col("batch") == n).withColumn("removed_at", F.when(~removed_later, F.col("removed_at"))).drop("batch", "gone_in")
-        removals = fed.where((F.col("gone_in") == n) & removed_later).drop("batch", "gone_in") if n else None
+        removals = gone.where(F.col("gone_in") == n).drop("batch", "gone_in") if n else None
         label = f"before {cuts[n]}" if n < len(cuts) else "all"
         tracker.step(arrived, told.where(F.col("batch") == n).drop("batch"), removals, label, label)
     return tracker

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,6 +18,7 @@ from quillon.streaming import queue
 
 QUERY = "urine sample storage проба мочи"
 PREFIX = "sam"
+CORRECTED = ["sampel", "protocl", "urnie"]
 EXPANDED = "Vudobibezil infant formula and Lugosaditral"
 EGO = "pack:kb.babivinodor.en"
 
@@ -232,7 +234,7 @@ def search_suggest(spark: SparkSession, d: str) -> DataFrame:
 
 
 def search_corrections(spark: SparkSession, d: str) -> DataFrame:
-    return search.corrections(_index(spark, d).vocabulary.select("token", "df"), ["sampel", "protocl", "urnie"])
+    return search.corrections(_index(spark, d).vocabulary.select("token", "df"), CORRECTED)
 
 
 def search_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -250,8 +252,8 @@ def _claim_pairs(spark: SparkSession, d: str) -> DataFrame:
     return rel.select(tx.qualify(F.col("pack_id"), F.col("source_claim_id")).alias("left_ref"), tx.qualify(F.col("pack_id"), F.col("target_claim_id")).alias("right_ref")).distinct()
 
 
-def _claim_texts(spark: SparkSession, d: str) -> DataFrame:
-    """Live claims with what comparison reads of them and of their documents."""
+def _claim_texts(spark: SparkSession, d: str, claims: DataFrame | None = None) -> DataFrame:
+    """Live claims (or these) with what comparison reads of them and of their documents."""
     said = lambda f: F.get_json_object("source_json", f"$.{f}")
     edition = lambda f: F.get_json_object("source_json", f"$.edition.{f}")
     docs = model.documents(spark, d).select(
@@ -264,7 +266,7 @@ def _claim_texts(spark: SparkSession, d: str) -> DataFrame:
         ).alias("side"),
     )
     named = model.entities(spark, d).select("pack_id", F.col("entity_id"), "name")
-    cla = rt.skew_join(model.claims(spark, d), docs, ["pack_id", "source_document_id"], "left")
+    cla = rt.skew_join(model.claims(spark, d) if claims is None else claims, docs, ["pack_id", "source_document_id"], "left")
     for c in ("subject", "object"):
         cla = rt.skew_join(cla, named.select("pack_id", F.col("entity_id").alias(f"{c}_id"), F.col("name").alias(f"{c}_name")), ["pack_id", f"{c}_id"], "left")
     return cla.select(
@@ -273,10 +275,18 @@ def _claim_texts(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _pairs_and_claims(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Related pairs, and the texts of the claims they name only."""
+    pairs = rt.written(_claim_pairs(spark, d), "related-pairs")
+    refs = rt.written(pairs.select(F.explode(F.array("left_ref", "right_ref")).alias("claim_ref")).distinct(), "related-claims")
+    cla = model.claims(spark, d).withColumn("claim_ref", tx.qualify(F.col("pack_id"), F.col("claim_id")))
+    return pairs, rt.checked_semi_join(cla, refs, "claim_ref").drop("claim_ref")
+
+
 def compare_related(spark: SparkSession, d: str) -> DataFrame:
     """Discrepancy signals of the claim pairs that statement relations name."""
-    res = compare.resources(_claim_texts(spark, d))
-    return compare.signals(compare.paired(_claim_pairs(spark, d), res))
+    pairs, cla = _pairs_and_claims(spark, d)
+    return compare.signals(compare.paired(pairs, rt.written(compare.resources(_claim_texts(spark, d, cla)), "resources")))
 
 
 def compare_discrepancies(spark: SparkSession, d: str) -> DataFrame:
@@ -330,11 +340,11 @@ def graph_ego(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- evidence
 def evidence_coverage(spark: SparkSession, d: str) -> DataFrame:
     """Lexical support of the source claim of every related pair by the target claim."""
-    texts = _claim_texts(spark, d).select("claim_ref", "text")
-    pairs = _claim_pairs(spark, d).join(texts.select(F.col("claim_ref").alias("left_ref"), F.col("text").alias("statement")), "left_ref").join(
-        texts.select(F.col("claim_ref").alias("right_ref"), F.col("text").alias("fragment")), "right_ref"
-    )
-    return evidence.fragment_support(pairs).select("left_ref", "right_ref", "terms", "matched", "coverage", "negation_mismatch")
+    pairs, cla = _pairs_and_claims(spark, d)
+    texts = rt.written(cla.select(tx.qualify(F.col("pack_id"), F.col("claim_id")).alias("claim_ref"), "text"), "related-texts")
+    rows = rt.skew_join(pairs, texts.select(F.col("claim_ref").alias("left_ref"), F.col("text").alias("statement")), ["left_ref"], "inner")
+    rows = rt.skew_join(rows, texts.select(F.col("claim_ref").alias("right_ref"), F.col("text").alias("fragment")), ["right_ref"], "inner")
+    return evidence.fragment_support(rows).select("left_ref", "right_ref", "terms", "matched", "coverage", "negation_mismatch")
 
 
 def evidence_support(spark: SparkSession, d: str) -> DataFrame:
@@ -775,6 +785,72 @@ def _sql_graph_edges() -> str:
         UNION SELECT 'mentions', 'section:' || pack_id || ':' || document_id || ':' || section_id, 'concept:' || entity_id FROM r SEMI JOIN e USING (pack_id, entity_id))"""
 
 
+def s_words(x: str) -> str:
+    """Words of claim comparison."""
+    return f"trim(regexp_replace(regexp_replace(replace(lower(trim({s_nfkc(f"coalesce({x}, '')")})), 'ё', 'е'), '[^\\p{{L}}\\p{{N}}%.,°-]+', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+def s_scope(x: str) -> str:
+    """Cues that limit whom a statement is about, of words x: the patterns without look-around, between doubled blanks."""
+    inner = [re.fullmatch(r"\(\?iu\)\(\?<!.*?\)(.*)\(\?!.*?\)", p)[1] for p in tx.SCOPE_PATTERNS]
+    edges = ["[^\\p{L}\\p{N}_]", "[^A-Za-z0-9_]"] * 2
+    found = [f"regexp_extract_all(replace({x}, ' ', '  '), '(?:^|{e})({p})(?:$|{e})', 1)" for p, e in zip(inner, edges, strict=True)]
+    return f"list_sort(list_distinct(list_transform(list_concat({', '.join(found)}), lambda c: replace(c, '  ', ' '))))"
+
+
+def _sql_compare() -> str:
+    """Signals of related claims: contents, and the order of issue dates (no claim's document tells an edition or an end of validity)."""
+    words = lambda items: "[" + ", ".join(f"'{w}'" for w in dict.fromkeys(items)) + "]"
+    iso = "^\\d{4}-\\d{2}-\\d{2}T\\d{2}:\\d{2}(:\\d{2}(\\.\\d{1,9})?)?(Z|[+-]\\d{2}:\\d{2})$"
+    kinds = [("^\\d{4}$", "try_cast(p || '-01-01' AS TIMESTAMP)", "INTERVAL 1 YEAR"), ("^\\d{4}-\\d{2}$", "try_cast(p || '-01' AS TIMESTAMP)", "INTERVAL 1 MONTH"), ("^\\d{4}-\\d{2}-\\d{2}$", "try_cast(p AS TIMESTAMP)", "INTERVAL 1 DAY")]
+    instant = "try_cast(regexp_replace(p, 'T(\\d\\d:\\d\\d)([Z+-])', 'T\\1:00\\2') AS TIMESTAMPTZ) AT TIME ZONE 'UTC'"
+    lo = "CASE " + " ".join(f"WHEN regexp_matches(p, '{k}') THEN {e}" for k, e, _ in kinds) + f" WHEN regexp_matches(p, '{iso}') THEN {instant} END"
+    hi = "CASE " + " ".join(f"WHEN regexp_matches(p, '{k}') THEN lo + {w} - INTERVAL 1 MILLISECOND" for k, _, w in kinds) + " ELSE lo END"
+    facts = _facts_sql("ref", "(SELECT ref, body AS text FROM c1)")
+    return f"""WITH e AS {ENTS}, d AS {DOCS},
+      c0 AS (SELECT ref, x.text, coalesce(source_quote, x.text) AS quote, coalesce(s.name, subject_id) AS subject, coalesce(o.name, object_id) AS object,
+             trim(coalesce(d.source_json->>'publishedAt', d.source_json->>'date')) AS p
+             FROM (SELECT *, {_sql_qualify('claim_id')} AS ref FROM {CLAIMS} x0) x LEFT JOIN d ON d.pack_id = x.pack_id AND d.document_id = source_document_id
+             LEFT JOIN e s ON s.pack_id = x.pack_id AND s.entity_id = subject_id LEFT JOIN e o ON o.pack_id = x.pack_id AND o.entity_id = object_id),
+      pairs AS (SELECT DISTINCT {_sql_qualify('source_claim_id')} AS left_ref, {_sql_qualify('target_claim_id')} AS right_ref FROM {RELS} r),
+      c1 AS (SELECT *, coalesce(text, '') || ' ' || coalesce(quote, '') AS body, {lo} AS lo FROM c0 WHERE ref IN (SELECT left_ref FROM pairs UNION SELECT right_ref FROM pairs)),
+      c2 AS (SELECT *, {hi} AS hi, {s_words('text')} AS w, {s_words('body')} AS bw, {s_words('subject')} AS sk, {s_words('object')} AS ok FROM c1),
+      c AS (SELECT *, list_filter(list_distinct(list_filter(string_split(w, ' '), lambda t: length(t) >= 3)), lambda t: NOT list_contains({words(tx.CLAIM_STOP_WORDS)}, t)) AS tokens,
+            list_has_any(string_split(w, ' '), {words(tx.NEGATIONS)}) AS neg, {s_scope('bw')} AS scope FROM c2),
+      q AS (SELECT ref, dimension, list_sort(list(DISTINCT value)) AS vs FROM ({facts}) f GROUP BY ref, dimension),
+      n AS (SELECT left_ref, right_ref, count(*) AS dims FROM pairs JOIN q a ON a.ref = left_ref JOIN q b ON b.ref = right_ref AND b.dimension = a.dimension AND a.vs <> b.vs GROUP BY ALL),
+      m AS (SELECT p.*, len(list_intersect(l.tokens, r.tokens)) AS shared, least(len(l.tokens), len(r.tokens)) AS small, l.sk <> '' AND l.sk = r.sk AS same, coalesce(dims, 0) > 0 AS num, l.neg <> r.neg AS neg,
+              len(l.scope) > 0 AND len(r.scope) > 0 AND l.scope <> r.scope AS sc, l.sk <> '' AND l.sk = r.sk AND l.ok <> '' AND r.ok <> '' AND l.ok <> r.ok AS ob,
+              CASE WHEN l.lo > r.hi THEN 'later_issue_date' WHEN l.hi < r.lo THEN 'earlier_issue_date' END AS issue
+            FROM pairs p JOIN c l ON l.ref = left_ref JOIN c r ON r.ref = right_ref LEFT JOIN n USING (left_ref, right_ref)),
+      o AS (SELECT *, shared / greatest(1, small) AS overlap, list_filter([CASE WHEN num THEN 'numeric_difference' END, CASE WHEN neg THEN 'negation_difference' END, CASE WHEN sc THEN 'scope_difference' END,
+              CASE WHEN ob THEN 'object_difference' END], lambda x: x IS NOT NULL) AS sig FROM m)
+      SELECT left_ref, right_ref, array_to_string(list_filter(list_concat(sig, [issue]), lambda x: x IS NOT NULL), ',') AS signals,
+        CASE WHEN sc AND NOT neg AND NOT ob THEN 'different_scope' ELSE 'contradicts' END AS suggested_type, round(overlap, 3) AS similarity,
+        round(least(0.98::DOUBLE, 0.5::DOUBLE + CASE WHEN same THEN 0.18::DOUBLE ELSE 0.0::DOUBLE END + overlap * 0.2::DOUBLE + len(sig) * 0.07::DOUBLE), 3) AS confidence,
+        substr(sha256(left_ref || '␟' || right_ref || '␟' || array_to_string(sig, ',')), 1, 16) AS candidate_id
+      FROM o WHERE (same OR (shared >= 3 AND overlap >= 0.45)) AND len(sig) > 0"""
+
+
+def _sql_support() -> str:
+    strip = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '\\[S\\d+\\]', ' ', 'g'), '(?m)^\\s*(?:[-*+]|\\d+[.)]|#{{1,6}})\\s+', '', 'g'), '[*_`>#]', '', 'g'), '\\s+', ' ', 'g'))"
+    stop = "[" + ", ".join(f"'{w}'" for w in dict.fromkeys(tx.STOP_WORDS)) + "]"
+    unit = "(?:\\s*%|\\s*(?:мг|мл|г|кг|см|мм|дн|дней|час|ч|лет|месяц[A-Za-z0-9_]*))?"
+    numbers = lambda x: f"list_distinct(list_transform(regexp_extract_all({strip.format(x)}, '(?i)(?:^|[^A-Za-z0-9_])(\\d+(?:[.,]\\d+)?{unit})', 1), lambda n: trim(regexp_replace(regexp_replace(lower(n), '[^\\p{{L}}\\p{{N}}+%./-]+', ' ', 'g'), '\\s+', ' ', 'g'))))"
+    terms = f"list_distinct(list_filter({s_tokens(strip.format('s'))}, lambda t: length(t) >= 3 AND NOT regexp_matches(t, '^\\d+([.,]\\d+)?$') AND NOT list_contains({stop}, t)))"
+    neg = "(?i)(?:^|[^\\p{L}\\p{N}])(?:не|нет|без|not|no|without)(?:$|[^\\p{L}\\p{N}])|отсутств|не\\s+выяв|не\\s+обнаруж|absent"
+    meta = tx.META_PATTERN.replace("(?iu)", "(?i)")
+    return f"""WITH c AS (SELECT claim_order, text || ' [S1]' AS s0, source_quote AS f0 FROM {CLAIMS} x WHERE source_quote IS NOT NULL),
+      v AS (SELECT *, {strip.format('s0')} AS clean FROM c), k AS (SELECT claim_order, {s_nfkc('s0')} AS s, {s_nfkc('f0')} AS f FROM v
+            WHERE NOT (clean = '' OR regexp_matches(clean, '^.{{1,80}}:$') OR regexp_matches(clean, '{meta}'))),
+      w AS (SELECT *, {terms} AS terms, list_distinct({s_tokens('f')}) AS words, {numbers('s')} AS ns, {numbers('f')} AS nf, regexp_matches(s, '{neg}') <> regexp_matches(f, '{neg}') AS mis FROM k),
+      m AS (SELECT *, len(terms) AS t, len(list_filter(terms, lambda t: len(list_filter(words, lambda k: k = t OR (least(length(k), length(t)) >= 5
+              AND left(k, greatest(4, least(length(k), length(t)) - 2)) = left(t, greatest(4, least(length(k), length(t)) - 2))))) > 0)) AS hit FROM w),
+      r AS (SELECT *, CASE WHEN t > 0 THEN hit / t ELSE 0 END AS share FROM m),
+      z AS (SELECT claim_order, round(share, 6) AS coverage, t > 0 AND share >= CASE WHEN t <= 2 THEN 0.5 WHEN t <= 5 THEN 0.6 ELSE 0.55 END AND len(list_filter(ns, lambda n: NOT list_contains(nf, n))) = 0 AND NOT mis AS supported FROM r)
+      SELECT claim_order AS statement_no, coverage, supported, CASE WHEN supported THEN 'supported' ELSE 'unsupported' END AS reason FROM z"""
+
+
 def oracle_sql() -> dict[str, str]:
     clean = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '[ \\t]+\\n', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '^\\s+', ''), '\\s+$', '')"
     source = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
@@ -798,6 +874,14 @@ def oracle_sql() -> dict[str, str]:
         "text_statements": """WITH l AS (SELECT doc_id, unnest(string_split_regex(regexp_replace(coalesce(text, ''), '([.!?])\\s+([\\p{Lu}\\p{N}])', '\\1' || chr(10) || '\\2', 'g'), '\\n+')) AS s,
           generate_subscripts(string_split_regex(regexp_replace(coalesce(text, ''), '([.!?])\\s+([\\p{Lu}\\p{N}])', '\\1' || chr(10) || '\\2', 'g'), '\\n+'), 1) AS i FROM documents)
           SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INTEGER AS statement_no, trim(s) AS statement FROM l WHERE trim(s) <> ''""",
+        "text_scope": f"""SELECT * FROM (SELECT claim_order, array_to_string({s_scope('w')}, ';') AS scope FROM (SELECT claim_order, {s_words('text')} AS w FROM lnote_claims) x) y WHERE scope <> ''""",
+        "compare_related": _sql_compare(),
+        "evidence_support": _sql_support(),
+        "search_corrections": f"WITH {POSTINGS} SELECT query_token, token, distance::INTEGER AS distance, df, place FROM (SELECT *, row_number() OVER (PARTITION BY query_token ORDER BY distance, df DESC, token) AS place FROM ("
+        + " UNION ALL ".join(f"SELECT '{q}' AS query_token, token, damerau_levenshtein(token, '{q}') AS distance, df FROM vocab WHERE left(token, 2) = '{q[:2]}' AND damerau_levenshtein(token, '{q}') <= {1 if len(q) <= 6 else 2}" for q in CORRECTED)
+        + ") x) y WHERE place <= 3",
+        "source_json": """WITH k AS (SELECT document_order AS id, source_json AS j, unnest(json_keys(source_json)) AS k, generate_subscripts(json_keys(source_json), 1) AS i FROM lnote_documents WHERE json_valid(source_json))
+          SELECT id, i::INTEGER AS leaf_no, '$.' || k AS path, coalesce(j->>k, 'null') AS value FROM k""",
         "text_stable_ids": "SELECT entity_order, substr(sha256(pack_id || '␟' || entity_id), 1, 12) AS digest FROM lnote_entities",
         "model_records": f"WITH {RECORDS} SELECT * REPLACE (md5(body) AS body) FROM records",
         "model_merged_entities": f"""WITH e AS {ENTS} SELECT entity_id, arg_min(name, entity_order) AS name, count(DISTINCT pack_id) AS pack_count,

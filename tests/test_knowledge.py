@@ -111,6 +111,10 @@ def test_registered_discrepancies_equal_all_pairs(spark, monkeypatch, tmp_path):
     related = [(i, f"p{i % 3}", f"r{i}", f"c{i}", f"p{(i + 1) % 3}::c{i + 1}") for i in range(0, 118, 2)]
     spark.createDataFrame(related, "relation_order long, pack_id string, relation_id string, source_claim_id string, target_claim_id string").selectExpr(
         "*", "'contradicts' as type", "'confirmed' as status", *map(empty, ("reason",))).write.parquet(f"{tmp_path}/lnote_statement_relations.parquet")
+    doc = "document_order long, pack_id string, document_id string, title string, summary string, authority string, effective_from string, source_json string, tags_json string, deleted_at timestamp"
+    spark.createDataFrame([], doc).write.parquet(f"{tmp_path}/lnote_documents.parquet")
+    ent = "entity_order long, pack_id string, entity_id string, name string, type string, aliases_json string, description string"
+    spark.createDataFrame([], ent).write.parquet(f"{tmp_path}/lnote_entities.parquet")
     monkeypatch.setattr(compare, "HOT_CLAIMS", 5)
     got = knowledge_queries.queries()["compare_discrepancies"](spark, str(tmp_path)).collect()
     live = [f"{p}::{c}" for i, p, c, *_ in rows if i % 10 != 7]
