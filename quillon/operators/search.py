@@ -18,6 +18,8 @@ FIELD_WEIGHTS = {"title": 4.5, "document_title": 3.5, "aliases": 5.0, "entity_na
 BM25_WEIGHTS = {"title": 4.5, "document_title": 3.5, "body": 1.0, "aliases": 5.0, "entity_names": 4.5, "tags": 1.4}
 PREFIX_CAP, FUZZY_CAP = 32, 48
 K1, B = 1.2, 0.75
+#: Of what an index holds; an index of another version is not opened.
+INDEX_VERSION = 1
 
 
 def query_tokens(query: str) -> list[str]:
@@ -73,7 +75,7 @@ class SearchIndex:
     @classmethod
     def opened(cls, spark: SparkSession, state: str, records: Callable[[], DataFrame]) -> SearchIndex:
         """The index of a state of the sources (a fingerprint); built from records() if there is none yet."""
-        root = f"{rt.shared_dir(spark)}/search-index-{state}"
+        root = f"{rt.shared_dir(spark)}/search-index-{INDEX_VERSION}-{state}"
         for name in rt.names_in(spark, root):
             if any(n.startswith("complete-") for n in rt.names_in(spark, f"{root}/{name}")):
                 return cls(spark, f"{root}/{name}")

@@ -2,6 +2,7 @@ import json
 import math
 import random
 import sqlite3
+import uuid
 import zipfile
 from io import BytesIO
 
@@ -62,11 +63,11 @@ def test_whole_postings_of_a_frequent_token(spark):
 
 
 def test_index_is_built_once_per_state(spark):
-    built = []
+    built, state = [], uuid.uuid4().hex
     make = lambda: built.append(1) or records(spark)
-    one = search.SearchIndex.opened(spark, "state-a", make)
-    two = search.SearchIndex.opened(spark, "state-a", make)
-    search.SearchIndex.opened(spark, "state-b", make)
+    one = search.SearchIndex.opened(spark, f"a-{state}", make)
+    two = search.SearchIndex.opened(spark, f"a-{state}", make)
+    search.SearchIndex.opened(spark, f"b-{state}", make)
     assert one.path == two.path and len(built) == 2
     wide = records(spark).withColumn("title", F.regexp_replace("title", "Amoxil", "Ａｍｏｘｉｌ"))  # full-width letters
     assert "r1" in [r["id"] for r in search.search_postings(wide, search.token_scores(wide), "dosing amoxil", 10, fuzzy=False).collect()]
