@@ -49,10 +49,26 @@ def _form(name: str):
 _FORMS: dict[str, object] = {}
 
 
+def _stable(form: str) -> str:
+    """Pattern of texts that are surely in a normal form, made by rule: characters of common blocks that it keeps, no combining marks."""
+    blocks = [(0x00, 0x180), (0x2B0, 0x300), (0x370, 0x530), (0x2010, 0x2060), (0x20A0, 0x20C0), (0x2190, 0x2600)]
+    kept = [c for low, high in blocks for c in range(low, high) if unicodedata.normalize(form, chr(c)) == chr(c) and unicodedata.category(chr(c))[0] != "M"]
+    ranges: list[list[int]] = []
+    for c in kept:
+        if ranges and ranges[-1][1] == c - 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return "(?s)^[" + "".join(f"\\x{{{x:X}}}-\\x{{{y:X}}}" for x, y in ranges) + "]*+$"
+
+
+_STABLE = {form: _stable(form) for form in ("NFKC", "NFKD")}
+
+
 def compose(c: Column, form: str = "NFKC") -> Column:
-    """Unicode normal form. ASCII text is left in the JVM; only other text is sent to Python."""
+    """Unicode normal form. Texts that have it already, as most have, stay in the JVM; only others are sent to Python."""
     udf = _FORMS.setdefault(form, _form(form))
-    return F.coalesce(udf(F.when(~c.rlike(r"^\p{ASCII}*$"), c)), c)
+    return F.coalesce(udf(F.when(~c.rlike(_STABLE[form]), c)), c)
 
 
 def normalize_text(c: Column, composed: bool = False) -> Column:

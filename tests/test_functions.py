@@ -158,3 +158,16 @@ def test_row_numbers_of_a_hot_key(spark):
             want[x[0]] = n
     assert got == want
     assert rt.row_numbers(df.limit(0), ["k"], ["o"]).count() == 0
+
+
+def test_composition_sends_away_only_what_changes(spark):
+    import unicodedata
+
+    texts = ["plain", "Größe naïve — «проба» №5", "ё é Ａ", "ﬁ … ½ ™", "", None, "line\nbreak\r\n x", "ℌ ", "\U0001d400 ok", "가각"]
+    rows = spark.createDataFrame([(t,) for t in texts], "s string")
+    for form in ("NFKC", "NFKD"):
+        got = [r["r"] for r in rows.select(tx.compose(F.col("s"), form).alias("r")).collect()]
+        assert got == [None if t is None else unicodedata.normalize(form, t) for t in texts]
+    every = "".join(chr(x) for x in range(0x20, 0x3100))
+    chars = spark.createDataFrame([(c,) for c in every], "s string")
+    assert all(r["r"] == unicodedata.normalize("NFKC", r["s"]) for r in chars.select("s", tx.compose(F.col("s")).alias("r")).collect())
