@@ -238,6 +238,7 @@ def search_fallback(records: DataFrame, query: str, limit: int = 40) -> DataFram
         "id", "kind", "title", "authority", "relation", norm("title", "document_title").alias("n_title"), norm("aliases", "entity_names").alias("n_aliases"),
         norm("body").alias("n_body"), norm("tags").alias("n_tags"),
     )
+    rows = rt.written(rows, "normalised-records")  # else every use of a field normalises it again
     tokens = query_tokens(query)
     scored = rows.withColumn("score", F.round(fallback_score(tokens, " ".join(tokens)) * multiplier(), 6)).where("score > 0")
     return ranked(scored, limit)
