@@ -71,6 +71,48 @@ def pack_lines(tables: dict[str, DataFrame]) -> DataFrame:
     return out.unionByName(line(packs, 9, number(0), number(0), F.lit("}")))
 
 
+def line_json(lines: DataFrame) -> DataFrame:
+    """Lines of packs with `json`, what a line says as a JSON value of its own; null for lines that only close something."""
+    bare = F.regexp_replace("line", "^,", "")
+    own = F.when(F.col("part") == 0, F.concat(bare, F.lit("}"))).when(F.col("line").isin("]", "]}", "}"), None)
+    own = own.when(F.col("place") == -1, F.concat(F.lit("{"), bare, F.lit("]}")))
+    opened = (F.col("part") == 1) & (F.col("inner") == -1) & F.col("line").endswith("[")
+    return lines.withColumn("json", own.when(opened, F.concat(bare, F.lit("]}"))).otherwise(bare))
+
+
+def export_lines(lines: DataFrame) -> dict[str, DataFrame]:
+    """The seven tables of packs given as lines (see pack_lines), record by record, so that a pack may be of any size."""
+    own, fields = line_json(lines), ["documents", *ARRAYS.values()]
+    records = own.where("place >= 0 and json is not null")
+    head = own.where("part = 0 or place = -1").groupBy("pack_id").agg(
+        F.max(F.when(F.col("part") == 0, F.to_json(F.from_json("json", "map<string,variant>")))).alias("manifest_json"),
+        *[F.bool_or((F.col("part") == k) & (F.col("place") == -1)).alias(f"has_{f}") for k, f in enumerate(fields, 1)],
+    )
+    out = {"packs": head}
+    docs = records.where("part = 1 and inner = -1").select("pack_id", F.col("place").alias("document_order"), F.from_json("json", "map<string,variant>").alias("d"))
+    out["documents"] = docs.select(
+        "pack_id", "document_order", F.expr("try_cast(d['id'] AS string)").alias("document_id"), F.expr("try_cast(d['title'] AS string)").alias("title"),
+        F.to_json(F.map_filter("d", lambda k, v: k != "sections")).alias("payload_json"), _array("d", "sections").isNotNull().alias("has_sections"),
+    )
+    secs = records.where("part = 1 and inner >= 0").select("pack_id", F.col("place").alias("document_order"), F.col("inner").alias("section_order"), F.parse_json("json").alias("s"))
+    text = lambda f: F.expr(f"try_variant_get(s, '$.{f}', 'string')").alias
+    secs = secs.select("pack_id", "document_order", "section_order", text("id")("section_id"), text("title")("title"), text("text")("text"), F.to_json("s").alias("payload_json"))
+    ids = out["documents"].select("pack_id", "document_order", "document_id")
+    out["sections"] = secs.join(ids, ["pack_id", "document_order"], "left").select("pack_id", "document_order", "document_id", *secs.columns[2:])
+    for k, table in enumerate(ARRAYS, 2):
+        out[table] = records.where(F.col("part") == k).select("pack_id", F.col("place").alias("row_order"), F.to_json(F.parse_json("json")).alias("payload_json"))
+    return out
+
+
+def pack_digests(lines: DataFrame) -> DataFrame:
+    """(pack_id, digest) of packs given as lines: equal if the lines are, but for the order of keys. Summed over the lines, so no pack meets in a task before it is one row."""
+    said = F.coalesce(F.to_json(F.parse_json("json")), "line")
+    comma = F.when(F.startswith("line", F.lit(",")), ",").otherwise("")
+    each = line_json(lines).select("pack_id", F.sha2(F.concat_ws("␟", "part", "place", "inner", comma, said), 256).alias("h"))
+    part = lambda at: F.sum(F.conv(F.substring("h", at, 15), 16, 10).cast("decimal(20,0)")).cast("string")
+    return each.groupBy("pack_id").agg(F.concat_ws(":", F.count(F.lit(1)), part(1), part(16), part(31)).alias("digest"))
+
+
 def write_pack_json(tables: dict[str, DataFrame], path: str) -> None:
     """Text files below path whose lines, file by file, are the JSON texts of the packs in the order of their ids."""
     order = ["pack_id", "part", "place", "inner"]

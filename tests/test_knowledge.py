@@ -285,6 +285,44 @@ def test_export_and_restore_keep_every_field(spark, tmp_path):
     assert got == packs
 
 
+def test_packs_as_lines_of_any_size(spark, tmp_path, monkeypatch):
+    """Lines of packs become the tables that whole packs become, and the round trip of the query gathers no pack in a row."""
+    whole = [
+        {"id": "k0", "x": [1], "documents": [{"id": "d", "title": "T[", "sections": [{"id": "s", "text": ",a\n]}"}, {"id": "t", "n": {"b": 1, "a": 2}}]}, {"id": "e"}, {"id": "f", "sections": []}], "entities": [], "claims": [{"id": "c", "text": "{"}, "]", [1]]},
+        {"documents": [], "relations": [{"id": "r"}]}, {},
+    ]
+    tables = interchange.export(spark.createDataFrame([(f"k{i}", json.dumps(p)) for i, p in enumerate(whole)], "pack_id string, json string"))
+    lines = interchange.pack_lines(tables)
+    again = interchange.export_lines(lines)
+    assert set(again) == set(tables)
+    for name, df in tables.items():
+        assert again[name].columns == df.columns and sorted(map(str, again[name].collect())) == sorted(map(str, df.collect())), name
+    own = {r["pack_id"]: r["digest"] for r in interchange.pack_digests(lines).collect()}
+    assert len(set(own.values())) == 3
+    for change in (lines.where("line not like '%\"t\"%'"), lines.withColumn("line", F.expr("if(part = 3 and place = 1, ltrim(',', line), line)")), lines.withColumn("inner", F.expr("if(part = 1 and place = 0 and inner in (0, 1), 1 - inner, inner)"))):
+        changed = {r["pack_id"]: r["digest"] for r in interchange.pack_digests(change).collect()}
+        assert {k for k in own if own[k] != changed[k]} <= {"k0"} and changed != own, change
+
+    frame = lambda name, rows, schema, extra="": spark.createDataFrame(rows, schema).selectExpr("*", *extra.split("; ")).write.parquet(f"{tmp_path}/{name}.parquet")
+    frame("catalog", [("p",), ("q",), ("r",)], "id string", "'1' version; 'T' title; 1L bytes")
+    null, kept = "cast(null as string) {0}".format, "cast(null as timestamp) deleted_at"
+    frame("lnote_documents", [(1, "p", "d1"), (2, "p", "d0"), (3, "q", "d1"), (4, "p", "d1"), (5, "gone", "d1")], "document_order long, pack_id string, document_id string", "; ".join(["document_id title", *map(null, ("summary", "authority", "effective_from", "source_json", "tags_json")), kept]))
+    frame("lnote_sections", [(i, "p", f"d{i % 3}", f"s{i // 4}") for i in range(40)], "section_row long, pack_id string, document_id string, section_id string", "; ".join(["1 section_order", "section_id title", "repeat(',]}', 3) text", *map(null, ("entity_ids_json", "tags_json")), kept]))
+    frame("lnote_entities", [(1, "p", "e"), (2, "gone", "e")], "entity_order long, pack_id string, entity_id string", "; ".join(map(null, ("name", "type", "aliases_json", "description"))))
+    frame("lnote_claims", [(i, "p", f"c{i % 30}") for i in range(50)], "claim_order long, pack_id string, claim_id string", "; ".join([*map(null, ("text", "subject_id", "object_id", "source_document_id", "source_section_id", "source_quote")), kept]))
+
+    def gathered(*_):
+        raise AssertionError("a whole pack in a row")
+
+    monkeypatch.setattr(interchange, "restore", gathered)
+    monkeypatch.setattr(interchange, "export", gathered)
+    got = {r["pack_id"]: tuple(r)[1:] for r in knowledge_queries.interchange_round(spark, str(tmp_path)).collect()}
+    live = len({(f"d{i % 3}", f"s{i // 4}") for i in range(40) if i % 3 < 2})
+    assert got == {"p": (True, 2, live, 1, 30), "q": (True, 1, 0, 0, 0), "r": (True, 0, 0, 0, 0)}
+    text = [json.loads("".join(r["line"] for r in knowledge_queries._packs_lines(spark, str(tmp_path)).where(f"pack_id = '{k}'").orderBy("part", "place", "inner").collect())) for k in "pqr"]
+    assert [d["id"] for d in text[0]["documents"]] == ["d0", "d1"] and [len(text[0][f]) for f in ("entities", "claims")] == [1, 30] and text[2] == {"id": "r", "version": "1", "title": "T", "bytes": 1}
+
+
 def test_pack_of_a_folder(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "a.md").write_text("# Guide\n\nIntro text.\n\n## Part one\n\n" + "\n\n".join("word " * 300 for _ in range(9)) + "\n")
