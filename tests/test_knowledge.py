@@ -127,6 +127,17 @@ def test_registered_discrepancies_equal_all_pairs(spark, monkeypatch, tmp_path):
     assert {s for x in got for s in x["signals"].split(",")} == {"numeric_difference", "negation_difference", "scope_difference", "object_difference"}
 
 
+def test_masks_never_hide_a_pair(spark):
+    """What masks tell of shared tokens is never too little, also where ranks share bits, and rejects most unlike pairs."""
+    r = random.Random(5)
+    rows = [(sorted(r.sample(range(1, 600), r.randint(3, 40))), sorted(r.sample(range(1, 600), r.randint(3, 40)))) for _ in range(300)] + [([1, 129, 257], [257, 385, 513]), ([2, 130], [2, 130])]
+    masked = spark.createDataFrame(rows, "a array<long>, b array<long>").select(*[F.struct(F.col(c).alias("tokens"), *[m.alias(f"m{i}") for i, m in enumerate(compare.token_masks(F.col(c)))]).alias(s) for c, s in (("a", "x"), ("b", "y"))])
+    got = masked.select(compare.most_shared("x", "y").alias("most"), F.size(F.array_intersect("x.tokens", "y.tokens")).alias("shared"), F.size("x.tokens").alias("n")).collect()
+    assert len(got) == 302 and all(x["shared"] <= x["most"] <= x["n"] for x in got)
+    few = [x for x in got if x["n"] <= 15 and x["shared"] == 0]
+    assert few and sum(x["most"] < 6 for x in few) > 0.7 * len(few)
+
+
 def test_discrepancies_between_targets_and_references(spark):
     rows = [claim(f"{k}{i}", f"Adults receive amoxil {i} mg twice daily") for k in "amz" for i in (100, 200)]
     res = compare.resources(spark.createDataFrame(rows, CLAIM))
