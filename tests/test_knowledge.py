@@ -127,6 +127,27 @@ def test_registered_discrepancies_equal_all_pairs(spark, monkeypatch, tmp_path):
     assert {s for x in got for s in x["signals"].split(",")} == {"numeric_difference", "negation_difference", "scope_difference", "object_difference"}
 
 
+def test_blocks_give_all_pairs_once(spark, monkeypatch):
+    """Long claims, dates of documents, small blocks and frequent tokens change nothing; sorting does not compare the claims anew."""
+    r = random.Random(6)
+    words = [f"word{i}" for i in range(24)]
+    long = " ".join(f"rare{i}" for i in range(400))
+    rows = [(f"c{i}", " ".join(["often", *r.sample(words, r.randint(2, 12)), r.choice(["", "250 mg", "2 hours", "not", "children", "adults"])]), None, r.choice(["", "s1", f"s{i}"]), r.choice([None, "o1", "o2"]), r.choice([None, "2020-01-01", "2024-05-01"])) for i in range(90)]
+    rows += [("long1", f"{long} 5 mg", None, None, None, None), ("long2", f"{long} 7 mg", None, None, None, "2021-01-01"), ("short", "rare1 rare2 rare3 9 mg", None, None, None, None)]
+    side = F.when(F.col("date").isNotNull(), F.struct(*[(F.col("date") if f == "published_at" else F.lit(None).cast("string")).alias(f) for f in (x.split(":")[0].strip() for x in chronology.SIDE[7:-1].split(","))]))
+    res = compare.resources(spark.createDataFrame(rows, CLAIM + ", date string").withColumn("side", side.cast(chronology.SIDE)).drop("date")).localCheckpoint()
+    monkeypatch.setattr(compare, "HOT_CLAIMS", 40)
+    found = compare.detect(res, res.limit(0))
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    every = spark.createDataFrame([(a[0], b[0]) for a in rows for b in rows if a[0] < b[0]], "left_ref string, right_ref string")
+    want = compare.signals(compare.paired(every, res)).collect()
+    got = found.collect()
+    assert len(want) > 200 and sorted(map(tuple, got)) == sorted(map(tuple, want))
+    assert [(-x["confidence"], x["candidate_id"]) for x in got] == sorted((-x["confidence"], x["candidate_id"]) for x in got)
+    assert {("long1", "long2"), ("long1", "short")} <= {(x["left_ref"], x["right_ref"]) for x in got}
+    assert {"later_issue_date", "earlier_issue_date"} <= {s for x in got for s in x["signals"].split(",")}
+
+
 def test_masks_never_hide_a_pair(spark):
     """What masks tell of shared tokens is never too little, also where ranks share bits, and rejects most unlike pairs."""
     r = random.Random(5)
